@@ -33,6 +33,12 @@ def floor_to(value: str | Column, step: int, origin: int = 0) -> Column:
     return v - F.pmod(v - o, F.lit(step).cast("long"))
 
 
+def round_scaled(value: Column, digits: int) -> Column:
+    """Binary half-up rounding: scale, add a half, floor (as array libraries round, unlike decimal rounding)."""
+    scale = float(10**digits)
+    return F.floor(value * scale + 0.5).cast("double") / scale
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

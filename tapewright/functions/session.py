@@ -34,8 +34,14 @@ FIRST_MONDAY_MS = 4 * DAY_MS
 
 
 def utc_ms(ts_ntz: str) -> Column:
-    """Epoch milliseconds of a zone-less UTC timestamp, whatever the session time zone is."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_ntz}) div 1000")
+    """Epoch milliseconds of a zone-less UTC timestamp; sessions run in UTC (see `use_utc`)."""
+    return F.expr(f"unix_millis(CAST({ts_ntz} AS TIMESTAMP))")
+
+
+def use_utc(spark) -> None:
+    """Pin the session zone, so zone-less timestamps are read as UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def to_et_ms(ms: str | Column) -> Column:

@@ -201,8 +201,9 @@ def decimate(points: DataFrame, max_points: int, bucket_ms: int = 3_600_000) ->
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_total") / max_points))
     return (
         p.join(base, ["ticker", "_b"])
-        .filter((F.col("_base") + F.row_number().over(w) - 1) % step == 0)
-        .drop("_b", "_base", "_total")
+        .withColumn("_i", F.col("_base") + F.row_number().over(w) - 1)
+        .filter(F.col("_i") % step == 0)
+        .drop("_b", "_base", "_total", "_i")
     )
 
 

@@ -11,6 +11,7 @@ class Tables:
     """Lazy readers over one directory of parquet tables; every method declares a plan and runs nothing."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        S.use_utc(spark)
         self.spark, self.dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
