@@ -111,14 +111,16 @@ def signal_exit_stats(signals: DataFrame, trades: DataFrame, hold_ms: int | Colu
 def forward_returns(
     points: DataFrame, trades: DataFrame, horizons: Mapping[str, int], ts: str = "ts_ms", price: str = "price", bucket_ms: int = HOUR
 ) -> DataFrame:
-    """fwd_<label> = percent return to the last trade in (t, t + h]; null when that span has no trade."""
-    out = points
-    for label, h in horizons.items():
-        out = out.withColumn("_t", F.col(ts) + F.lit(h).cast("long"))
-        out = asof_join(out, trades.select("ticker", "ts_ms", "seq", F.col("price").alias("_px")), ["ticker"], "_t", "ts_ms", ["_px"], "seq", bucket_ms=bucket_ms, prefix="_h_")
-        fwd = F.when(F.col("_h_ts_ms") > F.col(ts), ratio(F.col("_h__px") - F.col(price), price) * 100)
-        out = out.withColumn(f"fwd_{label}", fwd).drop("_t", "_h_ts_ms", "_h__px")
-    return out
+    """fwd_<label> = percent return to the last trade in (t, t + h]; null when that span has no trade.
+
+    Points are distinct rows; all horizons share one as-of lookup.
+    """
+    pairs = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(h).cast("long").alias("off")) for n, h in horizons.items()])
+    at = points.withColumn("_h", F.explode(pairs)).withColumn("_t", F.col(ts) + F.col("_h.off"))
+    px = trades.select("ticker", F.col("ts_ms").alias("_pt"), F.col("seq").alias("_ps"), F.col("price").alias("_px"))
+    rows = asof_join(at, px, ["ticker"], "_t", "_pt", ["_px"], "_ps", bucket_ms=bucket_ms)
+    fwd = F.when(F.col("_pt") > F.col(ts), ratio(F.col("_px") - F.col(price), price) * 100)
+    return rows.groupBy(*points.columns).agg(*[F.max(F.when(F.col("_h.label") == n, fwd)).alias(f"fwd_{n}") for n in horizons])
 
 
 def split_factors(splits: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
