@@ -44,7 +44,7 @@ fragment(
 fragment(
     "priced",
     f"""SELECT e.* EXCLUDE (et), arg_max(c.price, (c.ts_ms, c.seq)) FILTER (c.ts_ms <= e.ts_ms) AS price,
-      CASE WHEN max(c.ts_ms) > e.ts_ms THEN (arg_max(c.price, (c.ts_ms, c.seq)) / arg_max(c.price, (c.ts_ms, c.seq)) FILTER (c.ts_ms <= e.ts_ms) - 1) * 100 END AS ret
+      CASE WHEN max(c.ts_ms) > any_value(e.ts_ms) THEN (arg_max(c.price, (c.ts_ms, c.seq)) / arg_max(c.price, (c.ts_ms, c.seq)) FILTER (c.ts_ms <= e.ts_ms) - 1) * 100 END AS ret
     FROM event_table e JOIN clean c ON c.ticker = e.ticker AND c.ts_ms <= e.ts_ms + {FWD} GROUP BY ALL""",
 )
 
@@ -207,8 +207,8 @@ def _(t):
 
 _VALID = """SELECT rule, CAST(sum(c) AS BIGINT) AS total_signals, avg(m) AS avg_return, avg(w) AS win_rate, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END) AS positive_dates_ratio,
       stddev_pop(m) AS return_std, stddev_pop(w) AS win_rate_std, count(*) AS n_dates FROM (
-      SELECT rule, date, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) AS w, count(*) AS c
-      FROM rule_matches JOIN (SELECT ticker, ts_ms, ret FROM priced) USING (ticker, ts_ms) GROUP BY 1, 2 HAVING avg(ret) IS NOT NULL) GROUP BY 1"""
+      SELECT r.rule, r.date, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) AS w, count(*) AS c
+      FROM rule_matches r JOIN priced p ON p.ticker = r.ticker AND p.ts_ms = r.ts_ms GROUP BY 1, 2 HAVING avg(ret) IS NOT NULL) GROUP BY 1"""
 _VALID = f"""SELECT *, CASE WHEN return_std = 0 THEN 1 ELSE greatest(0, 1 - return_std / (abs(avg_return) + 0.01)) END AS stability,
   avg_return > 0 AND win_rate > 0.4 AS passes_basic, CASE WHEN rule = 'quiet_buyers' THEN avg_return < -0.02 AND win_rate < 0.40 AND positive_dates_ratio < 0.4 AND total_signals >= 100
   ELSE avg_return > 0.02 AND win_rate > 0.45 AND positive_dates_ratio > 0.6 AND total_signals >= 100 END AS is_valid FROM ({_VALID})"""
