@@ -256,3 +256,19 @@ def schema_report(snap: DataFrame, schema: dict[str, str] = SNAPSHOT_SCHEMA) ->
         for c, t in schema.items()
     ]
     return one.select(F.inline(F.array(*entries)))
+
+
+# Bounds of the low-volume exclusion list.
+MAX_PAUSE_DAYS = 50
+MIN_TURNOVER = 60_000.0
+
+
+def low_volume_tickers(daily: DataFrame, max_days: int = MAX_PAUSE_DAYS, min_turnover: float = MIN_TURNOVER) -> DataFrame:
+    """Tickers that paused longer than `max_days` or turned over less than `min_turnover` a day on average."""
+    gap = F.datediff("date", F.lag("date").over(Window.partitionBy("ticker").orderBy("date")))
+    g = daily.withColumn("_g", gap).groupBy("ticker").agg(F.max("_g").alias("_g"), F.avg("turnover").alias("_t"))
+    return g.filter((F.col("_g") > max_days) | (F.col("_t") < min_turnover)).select("ticker")
+
+
+def drop_low_volume(daily: DataFrame, max_days: int = MAX_PAUSE_DAYS, min_turnover: float = MIN_TURNOVER) -> DataFrame:
+    return daily.join(low_volume_tickers(daily, max_days, min_turnover), "ticker", "left_anti")

@@ -8,6 +8,8 @@ FRAGMENTS: dict[str, str] = {}
 
 
 def fragment(name: str, sql: str) -> None:
+    if FRAGMENTS.get(name, sql.strip()) != sql.strip():
+        raise ValueError(f"two fragments named {name}")
     FRAGMENTS[name] = sql.strip()
 
 

@@ -47,13 +47,13 @@ _FILL = """SELECT s.* EXCLUDE (window_ms, nxt), w.window_ms, w.window_ms <> s.wi
       AND (s.nxt IS NULL OR w.window_ms < s.nxt)"""
 fragment("filled", _FILL.format(snap="snap"))
 fragment("ranked_filled", f"SELECT *, {_RANK} AS rank FROM filled")
-fragment("entries", "SELECT * FROM (SELECT *, max(change_pct) OVER (PARTITION BY date, window_ms) AS best FROM ranked_filled) WHERE rank <= 20 AND best > 0")
+fragment("top_rows", "SELECT * FROM (SELECT *, max(change_pct) OVER (PARTITION BY date, window_ms) AS best FROM ranked_filled) WHERE rank <= 20 AND best > 0")
 fragment(
     "subs",
     """SELECT date, ticker, min(window_ms) AS first_entry_ms, arg_min(change_pct, window_ms) AS gain_at_entry,
       arg_min(price, window_ms) AS price_at_entry, arg_min(volume, window_ms) AS volume_at_entry,
       CASE WHEN arg_min(prev_volume, window_ms) > 0 THEN arg_min(volume, window_ms) / arg_min(prev_volume, window_ms) ELSE 1 END AS relative_volume
-    FROM entries GROUP BY 1, 2""",
+    FROM top_rows GROUP BY 1, 2""",
 )
 fragment(
     "peaks",
