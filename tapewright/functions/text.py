@@ -6,6 +6,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Aggregator prefixes (checked in this order) and patterns of multi-stock summary titles.
 TITLE_PREFIXES = (
@@ -57,7 +58,7 @@ def strip_tags(text: str) -> Column:
     return F.regexp_replace(F.col(text), "<[^>]+>", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if v and "&" in v else v)
 
