@@ -49,6 +49,8 @@ def first_wins(articles: DataFrame, order: str = "order", url: str = "url_id", t
             break
         kept = won if kept is None else kept.unionByName(won)
         rest = rest.join(won.select(url).distinct(), url, "left_anti").join(won.select(title).distinct(), title, "left_anti")
+    else:
+        raise RuntimeError(f"deduplication not settled after {max_rounds} rounds")
     if kept is None:
         return articles.limit(0)
     return articles.join(kept.select(F.col("_o").alias(order)), order, "left_semi")

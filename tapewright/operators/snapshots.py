@@ -18,7 +18,7 @@ def previous_day(daily: DataFrame, max_days: int = 7) -> DataFrame:
     """Per date: the newest earlier date with data, at most `max_days` back. One row per date."""
     days = daily.select("date").distinct()
     # The distinct dates are a calendar, so this unpartitioned order is over a few thousand rows.
-    prev = F.lag("date").over(Window.orderBy("date"))
+    prev = F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date"))
     return days.select("date", prev.alias("prev_date")).filter(F.datediff("date", "prev_date") <= max_days)
 
 

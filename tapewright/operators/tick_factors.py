@@ -1,8 +1,8 @@
 """Trade and quote factors over time windows.
 
-A compute grid (or the ticks themselves) is evaluated against the ticks in [t - window, t]. Ticks and
-grid points are unioned and windowed per (ticker, time bucket) with a halo, so a hot ticker is spread
-over its time buckets and no pair of rows is ever joined.
+A compute grid is evaluated against the ticks in [t - window, t]. Ticks are first summed into grid
+cells; cells and grid points are unioned and windowed per (ticker, time bucket) with a halo. A hot
+ticker is spread over its time buckets, a hot second is one row, and no pair of rows is ever joined.
 """
 
 from __future__ import annotations
@@ -22,11 +22,6 @@ def compute_grid(ticks: DataFrame, step_ms: int = 1_000) -> DataFrame:
     return span.filter(first <= F.col("_b")).select("ticker", F.explode(F.sequence(first, F.col("_b"), step)).alias("ts_ms"))
 
 
-def _on_grid(ticks: DataFrame, grid: DataFrame, cols: list[str]) -> DataFrame:
-    t = ticks.select("ticker", "ts_ms", *cols, F.lit(1).alias("_tick"))
-    return t.unionByName(grid.select("ticker", "ts_ms"), allowMissingColumns=True)
-
-
 def _back(w: WindowSpec, window_ms: int) -> WindowSpec:
     return w.rangeBetween(-window_ms, 0)
 
@@ -52,6 +47,42 @@ def tick_side(trades: DataFrame, sticky: bool = False, bucket_ms: int = 3_600_00
     return b.withColumn("is_buy", side).drop("_b", "_in", "_prev", "_chg", "_cin", "_lp")
 
 
+def _cells(ticks: DataFrame, step_ms: int, sums: dict[str, Column]) -> DataFrame:
+    """Ticks summed into grid cells (t - step, t], with the part lying exactly on t kept apart as edge_<name>.
+
+    A hash aggregation with map-side combining: however many ticks a second has, one row per ticker and
+    cell goes on. The edge sums let a window closed on both sides be put together from whole cells.
+    """
+    step = F.lit(step_ms).cast("long")
+    cell = F.col("ts_ms") + F.pmod(-F.col("ts_ms"), step)
+    on_edge = F.col("ts_ms") == F.col("_cell")
+    t = ticks.withColumn("_cell", cell)
+    aggs = []
+    for n, c in sums.items():
+        aggs += [F.sum(c).alias(n), F.sum(F.when(on_edge, c)).alias(f"edge_{n}")]
+    return t.groupBy("ticker", F.col("_cell").alias("ts_ms")).agg(*aggs)
+
+
+def _window_sum(name: str, window_ms: int, step_ms: int):
+    """Sum over the ticks in [t - window, t]: the cells after t - window, and that cell's edge."""
+
+    def make(w: WindowSpec) -> Column:
+        inner = F.sum(name).over(w.rangeBetween(-window_ms + step_ms, 0))
+        edge = F.sum(f"edge_{name}").over(w.rangeBetween(-window_ms, -window_ms))
+        return F.coalesce(inner, F.lit(0)) + F.coalesce(edge, F.lit(0))
+
+    return make
+
+
+def _check_step(step_ms: int, *windows: int) -> None:
+    if any(x % step_ms for x in windows):
+        raise ValueError(f"windows {windows} must be multiples of the grid step {step_ms}")
+
+
+def _grid_union(cells: DataFrame, grid: DataFrame) -> DataFrame:
+    return cells.withColumn("_cellrow", F.lit(True)).unionByName(grid.select("ticker", "ts_ms"), allowMissingColumns=True)
+
+
 def trade_factors(
     trades: DataFrame,
     grid: DataFrame,
@@ -59,27 +90,48 @@ def trade_factors(
     min_trades: int = 5,
     large_multiplier: float = 2.0,
     names: tuple[str, ...] = ("trade_rate", "large_trade_ratio", "aggressor_ratio"),
+    step_ms: int = 1_000,
 ) -> DataFrame:
-    """trade_rate, large_trade_ratio and aggressor_ratio at each grid point; null below `min_trades`."""
-    src = tick_side(trades) if "aggressor_ratio" in names else trades.withColumn("is_buy", F.lit(1))
-    rows = _on_grid(src, grid, ["size", "is_buy"])
-    exprs = {"_n": lambda w: F.count("_tick").over(_back(w, window_ms))}
+    """trade_rate, large_trade_ratio and aggressor_ratio at each grid point; null below `min_trades`.
+
+    Grid points are multiples of `step_ms`, and so is the window. Frames run over cells (one row per
+    ticker and step), so their cost does not depend on the tick density.
+    """
+    _check_step(step_ms, window_ms)
+    src = tick_side(trades) if "aggressor_ratio" in names else trades
+    sums = {"_n": F.lit(1).cast("long")}
     if "aggressor_ratio" in names:
-        exprs["_buys"] = lambda w: F.sum("is_buy").over(_back(w, window_ms))
+        sums["_buys"] = F.col("is_buy").cast("long")
+    exprs = {f"{k}_w": _window_sum(k, window_ms, step_ms) for k in sums}
+    cells = _cells(src, step_ms, sums)
     if "large_trade_ratio" in names:
-        exprs["_sizes"] = lambda w: F.collect_list("size").over(_back(w, window_ms))
-    out = range_windows(rows, ["ticker"], "ts_ms", exprs, window_ms, keep=F.col("_tick").isNull())
-    ready = F.col("_n") >= min_trades
+        # Sizes repeat, so a cell carries its distinct sizes with their counts.
+        step = F.lit(step_ms).cast("long")
+        by_size = trades.groupBy("ticker", (F.col("ts_ms") + F.pmod(-F.col("ts_ms"), step)).alias("_c"), "size").agg(
+            F.count(F.lit(1)).alias("_k"), F.count(F.when(F.pmod(F.col("ts_ms"), step) == 0, 1)).alias("_e")
+        )
+        sizes = by_size.groupBy("ticker", F.col("_c").alias("ts_ms")).agg(
+            F.collect_list(F.struct("size", F.col("_k").alias("k"))).alias("_sz"),
+            F.collect_list(F.when(F.col("_e") > 0, F.struct("size", F.col("_e").alias("k")))).alias("_esz"),
+        )
+        cells = cells.join(sizes, ["ticker", "ts_ms"])
+        exprs["_in"] = lambda w: F.flatten(F.collect_list("_sz").over(w.rangeBetween(-window_ms + step_ms, 0)))
+        exprs["_ed"] = lambda w: F.flatten(F.collect_list("_esz").over(w.rangeBetween(-window_ms, -window_ms)))
+    out = range_windows(_grid_union(cells, grid), ["ticker"], "ts_ms", exprs, window_ms, keep=F.col("_cellrow").isNull())
+    n = F.col("_n_w")
+    ready = n >= min_trades
     cols: dict[str, Column] = {}
     if "trade_rate" in names:
-        cols["trade_rate"] = F.when(ready, F.col("_n") / (window_ms / 1000.0))
+        cols["trade_rate"] = F.when(ready, n / (window_ms / 1000.0))
     if "large_trade_ratio" in names:
-        total = F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-        limit = total / F.col("_n") * large_multiplier
-        cols["large_trade_ratio"] = F.when(ready, F.size(F.filter("_sizes", lambda x: x > limit)) / F.col("_n"))
+        out = out.withColumn("_all", F.concat("_in", "_ed"))
+        total = F.aggregate("_all", F.lit(0).cast("long"), lambda acc, x: acc + x["size"] * x["k"])
+        out = out.withColumn("_limit", total / F.when(n > 0, n) * large_multiplier)
+        large = F.aggregate("_all", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["size"] > F.col("_limit"), x["k"]).otherwise(F.lit(0)))
+        cols["large_trade_ratio"] = F.when(ready, large / n)
     if "aggressor_ratio" in names:
-        cols["aggressor_ratio"] = F.when(ready, F.col("_buys") / F.col("_n"))
-    return out.select("ticker", "ts_ms", *[c.alias(n) for n, c in cols.items()])
+        cols["aggressor_ratio"] = F.when(ready, F.col("_buys_w") / n)
+    return out.select("ticker", "ts_ms", *[c.alias(k) for k, c in cols.items()])
 
 
 def quote_factors(
@@ -90,22 +142,30 @@ def quote_factors(
     rate_ms: int = 10_000,
     min_quotes: int = 10,
     names: tuple[str, ...] = ("bid_ask_spread", "order_imbalance", "quote_rate"),
+    step_ms: int = 1_000,
 ) -> DataFrame:
-    """Window mean of the spread in basis points, size imbalance in [-1, 1], and quotes per second."""
-    q = quotes.withColumn("_bps", F.when(valid_quote(), spread_bps()))
-    rows = _on_grid(q, grid, ["_bps", "bid_size", "ask_size"])
-    bid = lambda w: F.sum("bid_size").over(_back(w, imbalance_ms))
-    ask = lambda w: F.sum("ask_size").over(_back(w, imbalance_ms))
+    """Window mean of the spread in basis points, size imbalance in [-1, 1], and quotes per second, on a grid."""
+    spans = {"bid_ask_spread": spread_ms, "order_imbalance": imbalance_ms, "quote_rate": rate_ms}
+    _check_step(step_ms, *[spans[n] for n in names])
+    bps = F.when(valid_quote(), spread_bps())
+    needed = {
+        "bid_ask_spread": {"_bps": bps, "_nbps": F.when(bps.isNotNull(), 1).otherwise(0).cast("long")},
+        "order_imbalance": {"_bid": F.col("bid_size"), "_ask": F.col("ask_size")},
+        "quote_rate": {"_n": F.lit(1).cast("long")},
+    }
+    sums, exprs = {}, {}
+    for f in names:
+        for k, c in needed[f].items():
+            sums[k] = c
+            exprs[f"{k}_w"] = _window_sum(k, spans[f], step_ms)
+    rows = _grid_union(_cells(quotes, step_ms, sums), grid)
+    out = range_windows(rows, ["ticker"], "ts_ms", exprs, max(spans[n] for n in names), keep=F.col("_cellrow").isNull())
     makers = {
-        "bid_ask_spread": lambda w: F.avg("_bps").over(_back(w, spread_ms)),
-        "order_imbalance": lambda w: ratio(bid(w) - ask(w), bid(w) + ask(w)),
-        "quote_rate": lambda w: F.when(
-            F.count("_tick").over(_back(w, rate_ms)) >= min_quotes, F.count("_tick").over(_back(w, rate_ms)) / (rate_ms / 1000.0)
-        ),
+        "bid_ask_spread": lambda: ratio("_bps_w", "_nbps_w"),
+        "order_imbalance": lambda: ratio(F.col("_bid_w") - F.col("_ask_w"), F.col("_bid_w") + F.col("_ask_w")),
+        "quote_rate": lambda: F.when(F.col("_n_w") >= min_quotes, F.col("_n_w") / (rate_ms / 1000.0)),
     }
-    halo = max(ms for n, ms in (("bid_ask_spread", spread_ms), ("order_imbalance", imbalance_ms), ("quote_rate", rate_ms)) if n in names)
-    out = range_windows(rows, ["ticker"], "ts_ms", {n: makers[n] for n in names}, halo, keep=F.col("_tick").isNull())
-    return out.select("ticker", "ts_ms", *names)
+    return out.select("ticker", "ts_ms", *[makers[n]().alias(n) for n in names])
 
 
 def rolling_at_ticks(

@@ -15,6 +15,7 @@ from tapewright.functions.ranks import attach_scalars, exact_quantiles
 # Phase codes and the default regression parameters.
 PHASES = {"early": 0, "mid": 1, "late": 2}
 RIDGE_ALPHA = 10.0
+TREES = 100
 CLIP = 0.995
 
 
@@ -38,7 +39,7 @@ def split_by_ratio(df: DataFrame, key: str, test_ratio: float = 0.3, seed: int =
 def date_folds(df: DataFrame, n: int = 5) -> DataFrame:
     """Contiguous date folds of equal date counts, the remainder in the last. The distinct dates are a calendar."""
     dates = df.select("date").distinct()
-    i = F.row_number().over(Window.orderBy("date")) - 1
+    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1
     k = F.greatest(F.floor(F.col("_n") / n), F.lit(1)).cast("int")
     folds = attach_scalars(dates.withColumn("_i", i), dates.agg(F.count(F.lit(1)).alias("_n"))).select("date", F.least(F.floor(F.col("_i") / k).cast("int"), F.lit(n - 1)).alias("fold"))
     return df.join(folds, "date")
@@ -56,14 +57,14 @@ def preprocess(df: DataFrame, factors: Sequence[str], q: float = CLIP) -> DataFr
     return out.select(*keep, *[F.least(F.col(f), F.col(f"_u_{f}")).alias(f) for f in factors], code.alias("phase_code"))
 
 
-def train(df: DataFrame, features: Sequence[str], target: str, kind: str = "ridge", alpha: float = RIDGE_ALPHA):
+def train(df: DataFrame, features: Sequence[str], target: str, kind: str = "ridge", alpha: float = RIDGE_ALPHA, trees: int = TREES):
     """Fit a ridge or boosted-tree regression with distributed training; rows with nulls are left out."""
     d = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df.filter(F.col(target).isNotNull()))
     if kind == "ridge":
         # The penalty is alpha on the summed squared error; the estimator takes it per row.
         n = d.count()
         return LinearRegression(featuresCol="features", labelCol=target, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False).fit(d)
-    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=20, maxDepth=3, stepSize=0.1, seed=42).fit(d)
+    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, maxDepth=3, stepSize=0.1, seed=42).fit(d)
 
 
 def score(model, df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -55,12 +55,12 @@ def clean(t):
 
 def trade_table(t, names=("trade_rate", "large_trade_ratio", "aggressor_ratio")):
     tr = clean(t)
-    return T.trade_factors(tr, T.compute_grid(tr, GRID), WIN, 5, names=names)
+    return T.trade_factors(tr, T.compute_grid(tr, GRID), WIN, 5, names=names, step_ms=GRID)
 
 
 def quote_table(t, names=("bid_ask_spread", "order_imbalance", "quote_rate")):
     q = t.quotes()
-    return T.quote_factors(q, T.compute_grid(q, GRID), SPREAD_WIN, SPREAD_WIN, RATE_WIN, 3, names)
+    return T.quote_factors(q, T.compute_grid(q, GRID), SPREAD_WIN, SPREAD_WIN, RATE_WIN, 3, names, GRID)
 
 
 for _id, _f in (("T1", "trade_rate"), ("T2", "large_trade_ratio"), ("T3", "aggressor_ratio")):

@@ -93,7 +93,7 @@ def _(t):
 @query("L5_boosted_trees_metrics")
 def _(t):
     tr, te = split(t)
-    m = L.train(tr, FACTORS, "ret", "gbt")
+    m = L.train(tr, FACTORS, "ret", "gbt", trees=20)
     return L.model_fit(L.score(m, te, FACTORS), "prediction", "ret")
 
 

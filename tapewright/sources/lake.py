@@ -44,7 +44,7 @@ CSV_ROUNDED = ("volume",)
 def work_dir(spark: SparkSession) -> str:
     """Folder for written intermediates: the cluster's shared checkpoint folder, a new temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="tapewright-", dir=None) if named is None else f"{named.rstrip('/')}/tapewright-{spark.sparkContext.applicationId}-{_next()}"
+    return tempfile.mkdtemp(prefix="tapewright-") if named is None else f"{named.rstrip('/')}/tapewright-{spark.sparkContext.applicationId}-{_next()}"
 
 
 _counter = [0]
@@ -72,7 +72,7 @@ def convert_csv(spark: SparkSession, src: str, dst: str, kind: str, columns: Seq
     read_csv(spark, src, kind, columns).write.mode("overwrite").option("compression", "zstd").parquet(dst)
 
 
-def write_by_date(df: DataFrame, path: str, keys: Sequence[str] = ("date",), order: Sequence[str] = ("ticker", "ts_ms"), per_key: int = 1) -> None:
+def write_by_date(df: DataFrame, path: str, keys: Sequence[str] = ("date",), order: Sequence[str] = ("ticker", "ts_ms"), per_key: int = 8) -> None:
     """Idempotent partitioned write: only the partitions present in `df` are replaced.
 
     Each (date) partition is spread over `per_key` tasks by ticker hash, so a big day is not one task's
