@@ -52,13 +52,7 @@ def _(t):
     path = work_dir(t.spark)
     out = B.keyed_bars(live_trades(t), "1h")
 
-    def rows():
-        try:
-            return t.spark.read.parquet(f"{path}/data").count()
-        except Exception:  # noqa: BLE001 - nothing is written before the first batch ends
-            return -1
-
-    until_idle(out, path, 5.0, rows)
+    until_idle(out, path, 5.0)
     return t.spark.read.parquet(f"{path}/data").select(*BAR)
 
 

@@ -30,20 +30,20 @@ def each_batch(stream: DataFrame, path: str, fn: Callable[[DataFrame, int], None
     q.awaitTermination()
 
 
-def until_idle(stream: DataFrame, path: str, idle_s: float, rows: Callable[[], int], limit_s: float = 60.0) -> None:
-    """Run with a clock trigger until output has appeared and none was added for `idle_s` (for timer output).
+def until_idle(stream: DataFrame, path: str, idle_s: float, limit_s: float = 60.0) -> None:
+    """Run with a clock trigger until, after the first input, no batch read or changed anything for `idle_s`.
 
-    A query with timers has batches forever, so it is ended by its output and not by its input.
+    A query with timers has batches forever, so its progress reports decide when it is done.
     """
     q = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(processingTime="1 second").start()
     try:
-        start, last, since = time.time(), 0, time.time()
+        start, seen, since = time.time(), -1, time.time()
         while q.isActive and time.time() - start < limit_s:
             time.sleep(0.5)
-            n = rows()
-            if n != last:
-                last, since = n, time.time()
-            elif n > 0 and time.time() - since >= idle_s:
+            busy = [p for p in q.recentProgress if p["numInputRows"] > 0 or any(o["numRowsUpdated"] > 0 for o in p["stateOperators"])]
+            if busy and busy[-1]["batchId"] != seen:
+                seen, since = busy[-1]["batchId"], time.time()
+            elif busy and time.time() - since >= idle_s:
                 break
         if q.exception() is not None:
             raise q.exception()
