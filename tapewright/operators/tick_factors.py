@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tapewright.functions.numeric import floor_div, floor_to, ratio
-from tapewright.functions.timewin import asof_join, range_windows
+from tapewright.functions.timewin import asof_join, interval_join, range_windows
 from tapewright.operators.ticks import spread_bps, valid_quote
 
 
@@ -217,33 +217,30 @@ def labeling_factors(trades: DataFrame, window_ms: int = 30_000, max_points: int
     """Trade rate over the effective span, large-trade and sticky-side aggressor shares at every trade.
 
     A ticker with more than `max_points` trades keeps every n-th point, n = trades div max_points (the
-    chart's own decimation). The point number is built from per-bucket counts.
+    chart's own decimation). The points are chosen first, and only they meet the trades of their windows;
+    of equal times a point sees the trades up to its own sequence number.
     """
-    t = tick_side(trades, sticky=True)
-    # Rows are ordered by a composite (ts, seq); equal timestamps see only the trades before them.
-    out = range_windows(
-        t,
-        ["ticker"],
-        "ts_ms",
-        {"_w": lambda w: F.collect_list(F.struct("ts_ms", "seq", "size", "is_buy")).over(_back(w, window_ms))},
-        window_ms,
+    points = decimate(trades.select("ticker", "ts_ms", "seq"), max_points)
+    t = tick_side(trades, sticky=True).select("ticker", F.col("ts_ms").alias("_t"), F.col("seq").alias("_q"), "size", "is_buy")
+    j = interval_join(points, t, ["ticker"], F.col("ts_ms") - window_ms, "ts_ms", "_t", include_start=True, how="inner")
+    j = j.filter((F.col("_t") < F.col("ts_ms")) | (F.col("_q") <= F.col("seq")))
+    # Equal sizes of a point are counted together, so the second pass is over distinct sizes.
+    g = j.groupBy("ticker", "seq", "ts_ms", "size").agg(F.count(F.lit(1)).alias("_k"), F.sum("is_buy").alias("_b"), F.min("_t").alias("_f"))
+    whole = Window.partitionBy("ticker", "seq", "ts_ms")
+    g = g.withColumn("_limit", F.sum(F.col("size") * F.col("_k")).over(whole) / F.sum("_k").over(whole) * 2.0)
+    out = g.groupBy("ticker", "seq", "ts_ms").agg(
+        F.sum("_k").alias("_n"), F.sum("_b").alias("_buys"), F.min("_f").alias("_first"), F.coalesce(F.sum(F.when(F.col("size") > F.col("_limit"), F.col("_k"))), F.lit(0)).alias("_large")
     )
-    seen = F.filter("_w", lambda x: (x["ts_ms"] < F.col("ts_ms")) | (x["seq"] <= F.col("seq")))
-    out = out.withColumn("_w", seen).withColumn("_n", F.size("_w"))
-    total = F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + x["size"])
-    buys = F.aggregate("_w", F.lit(0), lambda a, x: a + x["is_buy"])
-    span = F.col("ts_ms") - F.array_min(F.transform("_w", lambda x: x["ts_ms"]))
+    span = F.col("ts_ms") - F.col("_first")
     ok = (F.col("_n") >= min_trades) & (span > 0)
-    limit = total / F.col("_n") * 2.0
-    out = out.select(
+    return out.select(
         "ticker",
         "seq",
         "ts_ms",
         F.when(ok, F.round(F.col("_n") / (F.when(span > 0, span) / 1000.0), 3)).otherwise(0.0).alias("trade_rate"),
-        F.when(ok, F.round(F.size(F.filter("_w", lambda x: x["size"] > limit)) / F.col("_n"), 3)).otherwise(0.0).alias("large_trade_ratio"),
-        F.when(ok, F.round(buys / F.col("_n"), 3)).otherwise(0.0).alias("aggressor_ratio"),
+        F.when(ok, F.round(F.col("_large") / F.col("_n"), 3)).otherwise(0.0).alias("large_trade_ratio"),
+        F.when(ok, F.round(F.col("_buys") / F.col("_n"), 3)).otherwise(0.0).alias("aggressor_ratio"),
     )
-    return decimate(out, max_points)
 
 
 def decimate(points: DataFrame, max_points: int, bucket_ms: int = 3_600_000) -> DataFrame:
