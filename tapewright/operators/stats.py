@@ -200,23 +200,40 @@ def condition_matrix(df: DataFrame, factors: Sequence[str], grid: Mapping[str, S
     expanded to the combinations they satisfy. Factors without a given grid use exact quantiles.
     """
     grid = dict(grid or {})
-    auto = [f for f in factors if f not in grid]
-    d = df.select(*factors, value, F.col("tier").isin(*winners).cast("int").alias("_w"))
-    for f in auto:
+    d = _cell_numbers(df.select(*factors, value, F.col("tier").isin(*winners).cast("int").alias("_w")), factors, grid)
+    cells = d.groupBy(*[f"_i_{f}" for f in factors], *[f"_g_{f}" for f in factors]).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"), F.sum(value).alias("_s"))
+    total = cells.agg(F.sum("_w").alias("_total"))
+    cells = _expand_cells(cells, factors)
+    g = cells.groupBy(*factors, *[f"_k_{f}" for f in factors]).agg(F.sum("_n").alias("n_signals"), F.sum("_w").alias("_hit"), F.sum("_s").alias("_s")).filter(F.col("n_signals") >= min_rows)
+    g = attach_scalars(g, total)
+    return g.select(*factors, "n_signals", ratio("_hit", "n_signals").alias("precision"), ratio("_hit", "_total").alias("recall"), ratio("_s", "n_signals").alias("avg_return"))
+
+
+def condition_medians(df: DataFrame, factors: Sequence[str], grid: Mapping[str, Sequence[float]], value: str = "max_ret") -> DataFrame:
+    """Exact median of the value for every combination of given thresholds, from counted (cell, value) pairs."""
+    d = _cell_numbers(df.select(*factors, value), factors, grid)
+    pairs = d.groupBy(*[f"_i_{f}" for f in factors], *[f"_g_{f}" for f in factors], value).agg(F.count(F.lit(1)).alias("_n"))
+    return exact_quantiles(_expand_cells(pairs, factors), value, {"median_return": 0.5}, list(factors), "_n")
+
+
+def _cell_numbers(d: DataFrame, factors: Sequence[str], grid: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Per factor its threshold array and how many of the thresholds the row exceeds."""
+    for f in [f for f in factors if f not in grid]:
         q = exact_quantiles(d, f, {f"_q{i}": p for i, p in enumerate(GRID_PROBS)})
         d = attach_scalars(d, q.select(F.array(*[f"_q{i}" for i in range(len(GRID_PROBS))]).alias(f"_g_{f}")))
     for f in grid:
         d = d.withColumn(f"_g_{f}", F.array(*[F.lit(float(x)) for x in grid[f]]))
     for f in factors:
         d = d.withColumn(f"_i_{f}", F.size(F.filter(f"_g_{f}", _below(f))))
-    cells = d.groupBy(*[f"_i_{f}" for f in factors], *[f"_g_{f}" for f in factors]).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"), F.sum(value).alias("_s"))
-    total = cells.agg(F.sum("_w").alias("_total"))
+    return d
+
+
+def _expand_cells(cells: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Repeat each cell for the combinations it satisfies; the factor columns become thresholds."""
     for f in factors:
         cells = cells.filter(F.col(f"_i_{f}") > 0).withColumn(f"_k_{f}", F.explode(F.sequence(F.lit(1), F.col(f"_i_{f}"))))
         cells = cells.withColumn(f, F.element_at(f"_g_{f}", F.col(f"_k_{f}")))
-    g = cells.groupBy(*factors, *[f"_k_{f}" for f in factors]).agg(F.sum("_n").alias("n_signals"), F.sum("_w").alias("_hit"), F.sum("_s").alias("_s")).filter(F.col("n_signals") >= min_rows)
-    g = attach_scalars(g, total)
-    return g.select(*factors, "n_signals", ratio("_hit", "n_signals").alias("precision"), ratio("_hit", "_total").alias("recall"), ratio("_s", "n_signals").alias("avg_return"))
+    return cells
 
 
 def pareto_frontier(matrix: DataFrame, x: str = "recall", y: str = "precision") -> DataFrame:

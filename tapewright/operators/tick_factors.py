@@ -184,25 +184,31 @@ def z_score(values: DataFrame, value: str, history: int, keys: tuple[str, ...] =
 
 
 def price_acceleration(trades: DataFrame, half_ms: int) -> DataFrame:
-    """Return per second over (t - half, t] minus the same over (t - 2 half, t - half], at every trade."""
+    """Return per second over (t - half, t] minus the same over (t - 2 half, t - half], at every trade.
 
-    key = F.struct("ts_ms", "seq")
-
-    def rate(w: WindowSpec, lo: int, hi: int) -> Column:
-        f = w.rangeBetween(lo, hi)
-        first, last = F.min_by(F.struct("ts_ms", "price"), key).over(f), F.max_by(F.struct("ts_ms", "price"), key).over(f)
-        secs = (last["ts_ms"] - first["ts_ms"]) / 1000.0
-        ok = (F.count(F.lit(1)).over(f) >= 2) & (secs > 0) & (first["price"] > 0)
-        return F.when(ok, (last["price"] / first["price"] - 1) / F.when(secs > 0, secs)).otherwise(0.0)
-
-    out = range_windows(
-        trades,
-        ["ticker"],
-        "ts_ms",
-        {"price_accel": lambda w: rate(w, -half_ms + 1, 0) - rate(w, -2 * half_ms + 1, -half_ms)},
-        2 * half_ms,
-    )
-    return out.select("ticker", "seq", "ts_ms", "price_accel")
+    Only the first and last trade of each half matter. They are as-of lookups at t, t - half and
+    t - 2 half, so the cost does not grow with the number of trades in a window.
+    """
+    px = trades.select("ticker", F.col("ts_ms").alias("_pt"), F.col("seq").alias("_ps"), F.col("price").alias("_px"))
+
+    def at(offsets: tuple[int, int], direction: str, tag: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(o).cast("long").alias("off")) for i, o in enumerate(offsets)])
+        p = trades.select("ticker", "seq", "ts_ms", F.explode(pairs).alias("_o")).withColumn("_at", F.col("ts_ms") - F.col("_o.off"))
+        j = asof_join(p, px, ["ticker"], "_at", "_pt", ["_px"], "_ps", direction, strict=direction == "forward")
+        return j.select("ticker", "seq", "ts_ms", F.concat(F.lit(tag), F.col("_o.i").cast("string")).alias("_k"), "_pt", "_px")
+
+    # last0/first0 bound the recent half, last1/first1 the older one.
+    rows = at((0, half_ms), "backward", "last").unionByName(at((half_ms, 2 * half_ms), "forward", "first"))
+    pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{k}{c}")
+    g = rows.groupBy("ticker", "seq", "ts_ms").agg(*[pick(k, c) for k in ("first0", "last0", "first1", "last1") for c in ("_pt", "_px")])
+
+    def rate(i: int) -> Column:
+        t0, t1, p0, p1 = F.col(f"first{i}_pt"), F.col(f"last{i}_pt"), F.col(f"first{i}_px"), F.col(f"last{i}_px")
+        secs = (t1 - t0) / 1000.0
+        # Both ends lie in the half exactly when the first one is not after the last one.
+        return F.when((secs > 0) & (p0 > 0), (p1 / p0 - 1) / F.when(secs > 0, secs)).otherwise(0.0)
+
+    return g.select("ticker", "seq", "ts_ms", (rate(0) - rate(1)).alias("price_accel"))
 
 
 def signal_density(factors: DataFrame, value: str, threshold: float, window_ms: int) -> DataFrame:

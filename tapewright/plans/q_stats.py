@@ -165,6 +165,16 @@ def _(t):
     return matrix(t)
 
 
+@query(
+    "R10_condition_medians",
+    """SELECT q.v AS quantity, d.v AS discount, median(max_ret) AS median_return FROM tiered s JOIN (VALUES (10.0::DOUBLE), (25.0::DOUBLE), (40.0::DOUBLE)) q(v) ON s.quantity > q.v
+    JOIN (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.08::DOUBLE)) d(v) ON s.discount > d.v GROUP BY 1, 2""",
+    "quantity discount median_return",
+)
+def _(t):
+    return R.condition_medians(tiered(t), list(_MG), _MG)
+
+
 fragment("frontier", """SELECT * FROM matrix a WHERE NOT EXISTS (SELECT 1 FROM matrix b WHERE b.recall >= a.recall AND b.precision >= a.precision AND (b.recall > a.recall OR b.precision > a.precision))""")
 
 
