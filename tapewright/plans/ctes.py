@@ -69,7 +69,7 @@ FROM documents JOIN labels USING (doc_id)""",
 fragment(
     "samples",
     """
-SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_id,
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS sample_id,
   'S' || CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, l_orderkey AS orderkey,
   l_linenumber AS linenumber, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
   l_extendedprice / 1000 - l_quantity AS ret, l_extendedprice / 1000 AS max_ret,

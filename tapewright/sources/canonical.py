@@ -77,7 +77,7 @@ class Tables:
         """Numeric training/research samples: four factors, a 30-minute return and a maximum return."""
         l = self.read("lineitem")
         return l.select(
-            F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("sample_id"),
+            F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_shipdate").cast("date").cast("string")).alias("sample_id"),
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
             F.col("l_shipdate").cast("date").alias("date"),
             F.col("l_orderkey").alias("orderkey"),
