@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import decontaminate, line_dedup
+from tapewright.llm import decontaminate, line_dedup, packing
 from tapewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
     "op5_decontaminate": lambda spark, d: decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
