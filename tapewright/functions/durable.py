@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -16,3 +18,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse.rstrip('/')}/checkpoints")
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name for `what` below the shared checkpoint folder (the warehouse where none is named)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
