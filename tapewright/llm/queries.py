@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import decontaminate, line_dedup, minmax, packing
+import corpus_pipeline
+from tapewright.llm import decontaminate, importance, line_dedup, minmax, packing
 from tapewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
     "op5_decontaminate": lambda spark, d: decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op8_importance_resampling": lambda spark, d: importance.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_minmax": lambda spark, d: minmax.digest(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
