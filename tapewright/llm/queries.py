@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapewright.llm import decontaminate, importance, line_dedup, minmax, packing
+from tapewright.llm import decontaminate, importance, line_dedup, minmax, packing, secret_scan
 from tapewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": lambda spark, d: decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_importance_resampling": lambda spark, d: importance.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_minmax": lambda spark, d: minmax.digest(table(spark, d, "documents")),
+    "op10_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
