@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapewright.llm import decontaminate, html_template, importance, line_dedup, minmax, packing, secret_scan
+from tapewright.llm import decontaminate, html_template, importance, line_dedup, minmax, packing, secret_scan, spotsigs
 from tapewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": lambda spark, d: html_template.extract(table(spark, d, "pages")),
     "op2_best_fit_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
+    "op4_spotsigs": lambda spark, d: spotsigs.digest(table(spark, d, "documents")),
     "op5_decontaminate": lambda spark, d: decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_importance_resampling": lambda spark, d: importance.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_minmax": lambda spark, d: minmax.digest(table(spark, d, "documents")),
