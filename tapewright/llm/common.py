@@ -42,6 +42,12 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["id"].eqNullSafe(right["id"]) & (left["mark"] == right["mark"])
 
 
+def join_documents(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """`left` with the other columns of `right`, joined by document."""
+    r = right.withColumnsRenamed({"id": "_rid", "mark": "_rmark"})
+    return left.join(r, left["id"].eqNullSafe(r["_rid"]) & (left["mark"] == r["_rmark"]), how).drop("_rid", "_rmark")
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join on `keys` where one key may hold a large share of `big`.
 
