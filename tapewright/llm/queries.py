@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapewright.llm import bloom_lm, decontaminate, html_template, importance, line_dedup, minmax, packing, secret_scan, spotsigs
+from tapewright.llm import bloom_lm, decontaminate, html_template, importance, line_dedup, minmax, packing, pii, secret_scan, spotsigs
 from tapewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
     "op4_spotsigs": lambda spark, d: spotsigs.digest(table(spark, d, "documents")),
     "op5_decontaminate": lambda spark, d: decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op6_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
     "op7_bloom_lm": lambda spark, d: bloom_lm.score(table(spark, d, "documents")),
     "op8_importance_resampling": lambda spark, d: importance.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_minmax": lambda spark, d: minmax.digest(table(spark, d, "documents")),
