@@ -12,18 +12,17 @@ from tapewright.llm.common import documents, salted_join, same_document, whole_r
 
 PERMUTATIONS, BANDS, ROWS = 56, 28, 4
 
-#: Largest number of differing 2-bit sketch entries, of 112, at which a pair is still compared in full. At
-#: likeness 0.8 16.8 differ on average, with a deviation of 3.8.
-MAX_SKETCH_DIFF = 36
+#: 64-bit words of the bit sets that tell what a text has besides, and lacks of, the text it was compared with.
+SET_WORDS = 8
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, mark, n, key, bands, sketch) of every document.
+    """(id, mark, n, key, bands) of every document.
 
     Under each of 56 permutations the smallest and the largest value are kept, so 56 evaluations give 112
     signature entries. `bands` hashes 28 groups of 4 entries: a pair at likeness 0.8 shares none with
-    probability 4e-7. `key` is a 128-bit hash of the word sequence, `sketch` two bits of every entry. A
-    document without words has n = 0 and no bands.
+    probability 4e-7. `key` is a 128-bit hash of the word sequence. A document without words has n = 0 and no
+    bands.
     """
 
     def sign(batches: Iterable) -> Iterable:
@@ -39,7 +38,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
         def of(some: list) -> pd.DataFrame:
             sets = [x[3] for x in some]
             full = [i for i, s in enumerate(sets) if len(s)]
-            bands, sketch = np.zeros((len(some), BANDS), np.int64), np.zeros((len(some), 4), np.int64)
+            bands = np.zeros((len(some), BANDS), np.int64)
             if full:
                 flat, starts = np.concatenate([sets[i] for i in full]), np.cumsum([0, *(len(sets[i]) for i in full)])[:-1]
                 entries = np.empty((len(full), 2 * PERMUTATIONS), np.uint64)
@@ -51,14 +50,10 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 for r in range(ROWS):
                     h = mix(h + entries[:, r :: ROWS])
                 bands[full] = h.view(np.int64)
-                two = np.zeros((len(full), 128), np.uint64)
-                two[:, : 2 * PERMUTATIONS] = mix(entries) & np.uint64(3)
-                packed = (two.reshape(-1, 4, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-                sketch[full] = packed.view(np.int64)
             has = set(full)
             return pd.DataFrame({
                 "id": [x[0] for x in some], "mark": [x[1] for x in some], "n": [len(s) for s in sets], "key": [x[2] for x in some],
-                "bands": [bands[i] if i in has else None for i in range(len(some))], "sketch": list(sketch),
+                "bands": [bands[i] if i in has else None for i in range(len(some))],
             })
 
         for b in batches:
@@ -75,11 +70,14 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     d = documents(docs).select("id", "mark", F.col("text").cast("binary").alias("text"))
-    return d.mapInPandas(sign, f"id {kind}, mark long, n long, key binary, bands array<long>, sketch array<long>")
+    return d.mapInPandas(sign, f"id {kind}, mark long, n long, key binary, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, common, na, nb) of the pairs (a, b), from the full shingle sets of their texts."""
+    """(a, b, common, na, nb, more, less) of the pairs (a, b), from the full shingle sets of their texts.
+
+    `more` and `less` are bit sets of the shingles that only b and only a has.
+    """
 
     def compare(batches: Iterable) -> Iterable:
         import numpy as np
@@ -87,6 +85,11 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
 
         from tapewright.llm.shingles import shingle_set
 
+        def bits(only):
+            out = np.zeros(64 * SET_WORDS, bool)
+            out[only % np.uint64(64 * SET_WORDS)] = True
+            return np.packbits(out, bitorder="little").view("<i8")
+
         last, held = None, None
         for p in batches:
             out = []
@@ -94,8 +97,10 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
                 if ta != last:
                     last, held = ta, shingle_set(ta, shingle)
                 other = shingle_set(tb, shingle)
-                out.append((a, b, len(np.intersect1d(held, other, assume_unique=True)), len(held), len(other)))
-            yield pd.DataFrame(out, columns=["a", "b", "common", "na", "nb"])
+                common = np.intersect1d(held, other, assume_unique=True)
+                more, less = (bits(np.setdiff1d(s, common, assume_unique=True)) for s in (other, held))
+                out.append((a, b, len(common), len(held), len(other), more, less))
+            yield pd.DataFrame(out, columns=["a", "b", "common", "na", "nb", "more", "less"])
 
     ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
     wanted = nodes.join(ends, "nid").select(F.col("nid").alias("id"), "mark")
@@ -104,22 +109,41 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     with_b = pairs.join(text.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(text.select(F.col("nid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     kind = dict(pairs.dtypes)["a"]
-    return both.mapInPandas(compare, f"a {kind}, b {kind}, common long, na long, nb long")
+    return both.mapInPandas(compare, f"a {kind}, b {kind}, common long, na long, nb long, more array<long>, less array<long>")
 
 
 def _linked(similarity: int) -> Column:
     return 100 * F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))
 
 
+def _may_link(similarity: int) -> Column:
+    """False for x and y that cannot be linked, from what each has of, besides and not of the same center.
+
+    They share at most what the center has less what either lacks (but for what both lack), and besides
+    that what both have more. Two sets share at most the bits that both bit sets have, and the elements
+    that fell on a bit of their own set already taken.
+    """
+
+    def at_most(name: str, nx: Column, ny: Column) -> Column:
+        both = sum((F.bit_count(F.get(f"x_{name}", F.lit(i)).bitwiseAND(F.get(f"y_{name}", F.lit(i)))) for i in range(SET_WORDS)), F.lit(0))
+        own = lambda p: sum((F.bit_count(F.get(f"{p}_{name}", F.lit(i))) for i in range(SET_WORDS)), F.lit(0))
+        return F.least(nx, ny, both + nx - own("x"), both + ny - own("y"))
+
+    less_x, less_y = F.col("x_size") - F.col("x_common"), F.col("y_size") - F.col("y_common")
+    more_x, more_y = F.col("x_n") - F.col("x_common"), F.col("y_n") - F.col("y_common")
+    of_center = F.least("x_common", "y_common", F.col("x_size") - less_x - less_y + at_most("less", less_x, less_y))
+    return (100 + similarity) * (of_center + at_most("more", more_x, more_y)) >= similarity * (F.col("x_n") + F.col("y_n"))
+
+
 def groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     """(id, mark, n, component_id) of every document: the smallest id reachable over links.
 
     Documents are linked if their shingle sets have at least `similarity` percent in common, exactly; the
     bands only propose pairs. Documents of equal words are one node. In a band bucket every node is
-    compared with the bucket's smallest node, which is linear and joins most groups. Buckets whose nodes
-    are then still of several groups are gone through in full, for pairs across groups only; a pair is
-    left out if its sketch or the overlaps with the smallest node exclude a link. What is left is
-    compared on the full sets.
+    compared with the bucket's center, the node that shares most buckets with others, which is linear and
+    joins most groups. Buckets whose nodes are then still of several groups are gone through for pairs
+    across groups. What both have of the center, and what they have besides, bounds what they can share,
+    so only pairs that may be linked are compared on the full sets; none that is linked is left out.
 
     Documents without words or without an id are linked with nothing; their component is their own id.
     Repeated rows share one answer. Rows that repeat an id with another text are linked by their own text.
@@ -128,12 +152,15 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame
     nodes = checkpoint(
         signed.filter(F.col("id").isNotNull() & (F.col("n") > 0))
         .groupBy("key")
-        .agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
-        .select("key", F.col("first.id").alias("nid"), F.col("first.mark").alias("mark"), "n", "bands", "sketch", "copies")
+        .agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+        .select("key", F.col("first.id").alias("nid"), F.col("first.mark").alias("mark"), "n", "bands", "copies")
     )
-    buckets = nodes.select(F.explode("bands").alias("bucket"), "nid")
-    centers = buckets.groupBy("bucket").agg(F.min("nid").alias("center"), F.count("*").alias("members")).filter(F.col("members") > 1).drop("members")
-    members = checkpoint(salted_join(buckets, centers, ["bucket"], F.col("nid")))
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "nid", "n")
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
+    held = checkpoint(salted_join(buckets, several, ["bucket"], F.col("nid")))
+    weight = held.groupBy("nid").agg(F.sum("members").alias("weight"))
+    centers = held.join(weight, "nid").groupBy("bucket").agg(F.max(F.struct("weight", "nid")).alias("c")).select("bucket", F.col("c.nid").alias("center"))
+    members = checkpoint(salted_join(held.drop("members"), centers, ["bucket"], F.col("nid")))
     stars = members.filter(F.col("nid") != F.col("center")).select(F.col("center").alias("a"), F.col("nid").alias("b")).distinct()
     first = checkpoint(_confirm(stars, nodes, docs, shingle))
     links = first.filter(_linked(similarity)).select("a", "b")
@@ -142,23 +169,14 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame
     # Pairs across groups, in the buckets that hold several.
     comp = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     open_buckets = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi")).select("bucket")
-    size = nodes.select("nid", "n", "sketch")
-    overlap = first.select(F.col("a").alias("center"), F.col("b").alias("nid"), "common")
-    side = (
-        comp.join(open_buckets, "bucket").join(size, "nid").join(overlap, ["center", "nid"], "left")
-        .select("bucket", "nid", "center", "comp", "n", "sketch", F.coalesce("common", "n").alias("common"))
-    )
-    side = checkpoint(side)
-    x = side.select("bucket", *[F.col(c).alias(f"x_{c}") for c in side.columns if c != "bucket"])
-    y = side.select("bucket", *[F.col(c).alias(f"y_{c}") for c in side.columns if c != "bucket"])
-    lo, hi = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    most = F.least("x_common", "y_common") + F.least(F.col("x_n") - F.col("x_common"), F.col("y_n") - F.col("y_common"))
-    odd_bits = F.lit(0x5555555555555555)
-    diff = sum((_sketch_diff(i, odd_bits) for i in range(4)), F.lit(0))
-    may = (100 * lo >= similarity * hi) & ((100 + similarity) * most >= similarity * (F.col("x_n") + F.col("y_n"))) & (diff <= MAX_SKETCH_DIFF)
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") < F.col("y_comp")) & (F.col("x_nid") != F.col("x_center")) & (F.col("y_nid") != F.col("y_center")) & may)
-    pairs = across.select(F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = checkpoint(_confirm(checkpoint(pairs), nodes, docs, shingle)).filter(_linked(similarity)).select("a", "b")
+    compared = first.select(F.col("a").alias("center"), F.col("b").alias("nid"), F.col("na").alias("size"), "common", "more", "less")
+    side = checkpoint(salted_join(comp, open_buckets, ["bucket"], F.col("nid"), "left_semi").join(compared, ["center", "nid"]).drop("center"))
+    x, y = (side.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in side.columns if c != "bucket"]) for p in "xy")
+    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") < F.col("y_comp")) & _may_link(similarity))
+    pairs = across.select(F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b")).distinct()
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = checkpoint(pairs.join(done, ["a", "b"], "left_anti"))
+    more = checkpoint(_confirm(pairs, nodes, docs, shingle).filter(_linked(similarity)).select("a", "b"))
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -169,12 +187,6 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame
     )
 
 
-def _sketch_diff(i: int, odd_bits: Column) -> Column:
-    """Differing 2-bit entries in word i of the sketches."""
-    w = F.get("x_sketch", F.lit(i)).bitwiseXOR(F.get("y_sketch", F.lit(i)))
-    return F.bit_count(w.bitwiseOR(F.shiftrightunsigned(w, 1)).bitwiseAND(odd_bits))
-
-
 def digest(docs: DataFrame, shingle: int = 4, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; kept names the one that stays of a group."""
     return groups(docs, shingle, similarity).select(
