@@ -11,7 +11,7 @@ from tapewright.functions.durable import shared_folder
 from tapewright.llm.common import documents, join_documents, salted_join
 
 #: Base of the count levels, hash functions and bits of each key in the filter.
-LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 5, 8
+LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 6, 10
 
 #: Pseudo-count of the unigram model behind a bigram context.
 BACKOFF = 60.0
