@@ -12,7 +12,6 @@ PART = re.compile(
     re.I | re.S,
 )
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -24,6 +23,8 @@ BOILER_TAGS = frozenset("head nav header footer aside form menu dialog script st
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies footer gdpr header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A longer text is taken as tokens of so many words.
+PHRASE = 8
 MAIN_TAGS = frozenset(("article", "main"))
 
 
@@ -39,67 +40,73 @@ def _boiler(tag: str, attrs: str) -> bool:
 
 
 def read(page: str) -> tuple[list, list]:
-    """(tokens, blocks) of a page.
+    """(segments, blocks) of a page.
 
-    A token is (path, index, word): the chain of open elements with, for a tag, index -1 and no word, and
-    for a word of a text its place in that text. A block is (text, boiler, main, first token, end token).
+    A segment is (path, words, is tag): the chain of open elements with the words, or phrases, of a text in it, or, for
+    an opening tag, with the name of an inline element. A block is (text, boiler, main, first, end) with
+    its range of segments.
     """
-    tokens: list[tuple[int, int, str]] = []
+    segments: list[tuple[int, list[str], bool]] = []
     blocks: list[tuple[str, bool, bool, int, int]] = []
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, path, depth of boilerplate, depth of main
+    paths: dict[tuple[int, str, str], tuple[int, bool]] = {}
     parts: list[str] = []
     first = 0
 
     def flush() -> None:
-        nonlocal first
-        text = SPACE.sub(" ", "".join(parts)).strip()
+        text = " ".join("".join(parts).split())
         if text:
-            blocks.append((text, at[2] > 0, at[3] > 0, first, len(tokens)))
+            blocks.append((text, at[2] > 0, at[3] > 0, first, len(segments)))
         parts.clear()
-        first = len(tokens)
 
     at = stack[-1]
     for m in PART.finditer(page):
-        text = m["text"]
-        if text is not None:
-            text = html.unescape(text)
+        kind = m.lastgroup
+        if kind == "text":
+            text = html.unescape(m["text"])
             parts.append(text)
-            tokens.extend((at[1], i, w) for i, w in enumerate(text.split()))
+            words = text.split()
+            if len(words) > PHRASE:
+                words = [" ".join(words[i : i + PHRASE]) for i in range(0, len(words), PHRASE)]
+            if words:
+                segments.append((at[1], words, False))
             continue
-        tag = m["tag"]
-        if tag is None:
+        if kind != "attrs":
             continue
+        end, tag, attrs = m.group("end", "tag", "attrs")
         tag = tag.lower()
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             flush()
         elif tag in ("br", "td", "th"):
             parts.append(" ")
-        if m["end"]:
+        if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    if tag not in BLOCKS and any(stack[j][0] in BLOCKS for j in range(k + 1, len(stack))):
-                        break  # an inline element ends with the block that it was opened in
                     del stack[k:]
                     break
+                if not block and stack[k][0] in BLOCKS:
+                    break  # an inline element ends with the block that it was opened in
         else:
-            shut = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else ())
-            for k in range(len(stack) - 1, 0, -1):
+            shut = CLOSES.get(tag) or ({"p"} if block else ())
+            for k in range(len(stack) - 1, 0, -1) if shut else ():
                 if stack[k][0] in shut:
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCKS and stack[k][0] not in ("p", "li", "dt", "dd", "tr"):
                     break
             up = stack[-1]
-            inline = tag not in BLOCKS
-            path = up[1] if inline else hash_path(up[1], tag, m["attrs"])
-            tokens.append((path, -1, tag if inline else ""))
-            if tag not in VOID and not m["attrs"].endswith("/"):
-                stack.append((tag, path, up[2] + _boiler(tag, m["attrs"]), up[3] + (tag in MAIN_TAGS)))
+            known = paths.get((up[1], tag, attrs))
+            if known is None:
+                known = paths[up[1], tag, attrs] = (hash_path(up[1], tag, attrs) if block else up[1], _boiler(tag, attrs))
+            segments.append((known[0], ["" if block else tag], True))
+            if tag not in VOID and not attrs.endswith("/"):
+                stack.append((tag, known[0], up[2] + known[1], up[3] + (tag in MAIN_TAGS)))
         at = stack[-1]
-        if tag in BLOCKS:
-            first = len(tokens)
+        if block:
+            first = len(segments)
     flush()
-    return tokens, blocks
+    return segments, blocks
 
 
 def hash_path(up: int, tag: str, attrs: str) -> int:

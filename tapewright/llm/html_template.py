@@ -24,17 +24,22 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("id"), F.col("url").alias("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def _token_hashes(tokens: list):
+def _tokens(segments: list):
+    """(hashes, starts): a hash of every token, its path with its place in the text and its word, and where segments start."""
+    from itertools import chain
+
     import numpy as np
     from xxhash import xxh3_64_intdigest
 
     from tapewright.llm.shingles import mix
 
-    n = len(tokens)
-    path = np.fromiter((t[0] for t in tokens), np.uint64, n)
-    index = np.fromiter((t[1] for t in tokens), np.int64, n).view(np.uint64)
-    word = np.fromiter((xxh3_64_intdigest(t[2]) for t in tokens), np.uint64, n)
-    return mix(mix(path + index * np.uint64(0x9E3779B97F4A7C15)) + word)
+    sizes = np.fromiter((len(w) for _, w, _ in segments), np.int64, len(segments))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    word = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(w for _, w, _ in segments)), np.uint64, starts[-1])
+    path = np.fromiter((p for p, _, _ in segments), np.uint64, len(segments))
+    tag = np.fromiter((t for _, _, t in segments), bool, len(segments))
+    place = np.arange(starts[-1]) - np.repeat(starts[:-1] + tag, sizes)
+    return mix(mix(np.repeat(path, sizes) + place.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + word).view(np.int64), starts
 
 
 def occurrence_classes(pages: DataFrame) -> DataFrame:
@@ -53,18 +58,26 @@ def occurrence_classes(pages: DataFrame) -> DataFrame:
         from tapewright.llm.html_parts import read
         from tapewright.llm.shingles import mix
 
+        def summed(held: list, names: dict) -> pd.DataFrame:
+            d = pd.DataFrame({c: np.concatenate(v) for c, v in zip(("code", "tok", "h"), zip(*held))})
+            d["n"], d["s1"], d["s2"] = 1, d["h"] & 0x7FFFFFFF, d.pop("h").to_numpy().view(np.uint64) >> np.uint64(33)
+            d["s2"] = d["s2"].astype(np.int64)
+            out = d.groupby(["code", "tok"], sort=False, as_index=False).sum()
+            out.insert(0, "host", np.array(list(names), object)[out.pop("code")])
+            return out
+
         for b in batches:
-            frames, held = [], 0
+            held, size, names = [], 0, {}
             for i, url, host, page in zip(b["id"], b["url"], b["host"], b["html"]):
-                toks, times = np.unique(_token_hashes(read(page)[0]), return_counts=True)
-                h = mix(np.uint64(xxh3_64_intdigest(f"{i}|{url}")) + mix(times.astype(np.uint64)))
-                frames.append(pd.DataFrame({"host": host, "tok": toks.view(np.int64), "n": 1, "s1": (h & np.uint64(0x7FFFFFFF)).astype(np.int64), "s2": (h >> np.uint64(33)).astype(np.int64)}))
-                held += len(toks)
-                if held > 500_000:
-                    yield pd.concat(frames).groupby(["host", "tok"], sort=False, as_index=False).sum()
-                    frames, held = [], 0
-            if frames:
-                yield pd.concat(frames).groupby(["host", "tok"], sort=False, as_index=False).sum()
+                toks, times = np.unique(_tokens(read(page)[0])[0], return_counts=True)
+                h = mix(np.uint64(xxh3_64_intdigest(f"{i}|{url}")) + mix(times.astype(np.uint64))).view(np.int64)
+                held.append((np.full(len(toks), names.setdefault(host, len(names))), toks, h))
+                size += len(toks)
+                if size > 1_000_000:
+                    yield summed(held, names)
+                    held, size, names = [], 0, {}
+            if size:
+                yield summed(held, names)
 
     p = _pages(pages)
     sums = p.mapInPandas(count, "host string, tok long, n long, s1 long, s2 long").groupBy("host", "tok").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
@@ -86,14 +99,16 @@ def _with_template(pages: DataFrame, template: DataFrame) -> DataFrame:
     return salted_join(pages, per, ["host"], F.struct("id", "url"), "left")
 
 
-def deduce_template(pages: DataFrame) -> DataFrame:
-    """(host, tok, cls, root): the valid classes of every host; `root` marks the class that the others are nested in.
+def deduce_template(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template, shut): (host, tok, cls) of the valid classes of every host, and (host, slot) of its boilerplate slots.
 
-    The root is the class with most tokens among those at most once on a page. A class is valid if its
-    tokens come in the same order, again and again, on all pages, each round inside one gap of the root.
+    cls is 0 for the root, the class that the others are nested in: the one with most tokens among those
+    once on a page; else 1. A class is valid if its tokens come in the same order, again and again, on all
+    pages. Slots are the gaps after the root's tags; one is boilerplate where hardly any of its text, over
+    all pages of the host, is outside of navigation, notices, adverts, forms, comments and the like.
     """
 
-    def order(batches: Iterable) -> Iterable:
+    def look(batches: Iterable) -> Iterable:
         import numpy as np
         import pandas as pd
         from xxhash import xxh3_64_intdigest
@@ -102,64 +117,100 @@ def deduce_template(pages: DataFrame) -> DataFrame:
 
         maps = HostMaps()
         for b in batches:
-            out = []
+            orders, texts = [], []
             for host, page, toks, cls in zip(b["host"], b["html"], b["toks"], b["cls"]):
                 if toks is None:
                     continue
-                known = maps(host, toks, cls)
-                seen: dict[int, list[int]] = {}
-                for t in _token_hashes(read(page)[0]).view(np.int64).tolist():
-                    if t in known:
-                        seen.setdefault(known[t], []).append(t)
-                for c, seq in seen.items():
-                    size = len(set(seq))
-                    round_ = seq[:size]
-                    fine = len(set(round_)) == size and len(seq) % size == 0 and seq == round_ * (len(seq) // size)
-                    out.append((host, c, xxh3_64_intdigest(str(round_)) >> 1 if fine else -1, size, len(seq) // size))
-            if out:
-                d = pd.DataFrame(out, columns=["host", "cls", "h", "size", "times"])
-                yield d.groupby(["host", "cls"], as_index=False).agg(lo=("h", "min"), hi=("h", "max"), size=("size", "max"), times=("times", "max"))
-
+                segments, blocks = read(page)
+                hashes, starts = _tokens(segments)
+                of, known = maps(host, toks, cls)(hashes)
+                hashes, of = hashes[known], of[known]
+                for c in np.unique(of):
+                    seq = hashes[of == c]
+                    size = len(np.unique(seq))
+                    times = len(seq) // size
+                    fine = times * size == len(seq) and (seq.reshape(times, size) == seq[:size]).all() and len(np.unique(seq[:size])) == size
+                    orders.append((host, c, xxh3_64_intdigest(seq[:size].tobytes()) >> 1 if fine else -1, size, times))
+                    at, slots = _tag_places(segments, starts, known, of == c, hashes)
+                    for text, boiler, _, _, end in blocks:
+                        k = int(np.searchsorted(at, end)) - 1
+                        texts.append((host, c, slots[k] if k >= 0 else 0, len(text), 0 if boiler else len(text)))
+            one = pd.DataFrame(orders, columns=["host", "cls", "lo", "size", "times"])
+            one["hi"] = one["lo"]
+            one = one.groupby(["host", "cls"], as_index=False).agg({"lo": "min", "hi": "max", "size": "max", "times": "max"})
+            two = pd.DataFrame(texts, columns=["host", "cls", "slot", "chars", "free"]).groupby(["host", "cls", "slot"], as_index=False).sum()
+            both = pd.concat([one, two])
+            if len(both):
+                yield both[[c for c, _ in kinds]].astype({c: "Int64" for c, k in kinds if k == "long"})
+
+    kinds = [("host", "string"), *((c, "long") for c in ("cls", "lo", "hi", "size", "times", "slot", "chars", "free"))]
     classes = checkpoint(occurrence_classes(pages))
-    ordered = _with_template(_pages(pages), classes).select("host", "html", "toks", "cls").mapInPandas(order, "host string, cls long, lo long, hi long, size long, times long")
-    per = ordered.groupBy("host", "cls").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"), F.max("times").alias("times"))
-    valid = per.filter((F.col("lo") == F.col("hi")) & (F.col("lo") >= 0))
-    roots = valid.filter(F.col("times") == 1).groupBy("host").agg(F.max(F.struct("size", "cls")).alias("r")).select("host", F.col("r.cls").alias("root_cls"))
-    marked = valid.join(roots, "host").select("host", "cls", (F.col("cls") == F.col("root_cls")).alias("root"))
-    return checkpoint(classes.join(marked, ["host", "cls"]).select("host", "tok", F.when(F.col("root"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("cls")))
+    seen = _with_template(_pages(pages), classes).select("host", "html", "toks", "cls").mapInPandas(look, ", ".join(f"{c} {k}" for c, k in kinds))
+    seen = checkpoint(
+        seen.groupBy("host", "cls", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"), F.max("times").alias("times"), F.sum("chars").alias("chars"), F.sum("free").alias("free"))
+    )
+    valid = seen.filter(F.col("slot").isNull() & (F.col("lo") == F.col("hi")) & (F.col("lo") >= 0)).select("host", "cls", "size", "times")
+    roots = valid.filter(F.col("times") == 1).groupBy("host").agg(F.max(F.struct("size", "cls")).alias("r")).select("host", F.col("r.cls").alias("root"))
+    marked = valid.join(roots, "host").select("host", "cls", F.when(F.col("cls") == F.col("root"), 0).otherwise(1).cast("long").alias("kind"))
+    template = checkpoint(classes.join(marked, ["host", "cls"]).select("host", "tok", F.col("kind").alias("cls")))
+    slots = seen.filter(F.col("slot").isNotNull()).join(roots, "host").filter(F.col("cls") == F.col("root"))
+    return template, checkpoint(slots.filter(F.col("free") < MAIN_SHARE * F.col("chars")).select("host", "slot"))
+
+
+def _tag_places(segments: list, starts, known, own, hashes):
+    """(segment, hash) of the tags among the tokens of a class; the end of the segment stands for its place."""
+    import numpy as np
+
+    at = np.searchsorted(starts, np.nonzero(known)[0][own], side="right") - 1
+    tag = np.fromiter((segments[k][2] for k in at), bool, len(at))
+    return at[tag], hashes[own][tag].tolist()
 
 
 class HostMaps:
-    """token -> class of hosts, built once a host; at most 1,000 hosts are kept at a time."""
+    """For each host a look-up of token hashes in its template; at most 1,000 hosts are kept at a time."""
 
     def __init__(self) -> None:
         self.maps: dict = {}
 
-    def __call__(self, host: str, toks, cls) -> dict[int, int]:
+    def __call__(self, host: str, toks, cls):
+        import numpy as np
+
         got = self.maps.get(host)
         if got is None:
             if len(self.maps) >= 1000:
                 self.maps.clear()
-            got = self.maps[host] = dict(zip(toks.tolist(), cls.tolist()))
-        return got
+            order = np.argsort(toks)
+            got = self.maps[host] = (toks[order], cls[order])
+        toks, cls = got
+
+        def find(hashes):
+            """(class of each, whether it has one)"""
+            k = np.minimum(np.searchsorted(toks, hashes), len(toks) - 1)
+            return cls[k], toks[k] == hashes
 
+        return find
 
-def _slots(page: str, known: dict[int, int]) -> list[tuple[int, str, bool, bool, bool]]:
-    """(slot, text, boiler, main, constant) of a page's blocks; a slot is named by the root token before it."""
+
+def _slots(page: str, find) -> list[tuple[int, str, bool, bool, bool]]:
+    """(slot, text, boiler, main, constant) of a page's blocks; a slot is named by the root tag before it."""
     import numpy as np
 
     from tapewright.llm.html_parts import read
 
-    tokens, blocks = read(page)
-    hashes = _token_hashes(tokens).view(np.int64).tolist()
-    out, slot, at = [], 0, 0
+    segments, blocks = read(page)
+    if find is None:
+        return [(0, text, boiler, main, False) for text, boiler, main, _, _ in blocks]
+    if any(main and not boiler for _, boiler, main, _, _ in blocks):  # constant words do not matter then
+        segments = [(p, w if tag else [], tag) for p, w, tag in segments]
+    hashes, starts = _tokens(segments)
+    of, known = find(hashes)
+    places = np.nonzero(known)[0]
+    at, slots = _tag_places(segments, starts, known, of[places] == 0, hashes[places])
+    out = []
     for text, boiler, main, first, end in blocks:
-        while at < end:
-            if tokens[at][1] < 0 and known.get(hashes[at]) == 0:
-                slot = hashes[at]
-            at += 1
-        words = [h for h, t in zip(hashes[first:end], tokens[first:end]) if t[1] >= 0]
-        out.append((slot, text, boiler, main, bool(words) and all(h in known for h in words)))
+        k = int(np.searchsorted(at, end)) - 1
+        words = [s for s in range(first, end) if not segments[s][2]]
+        out.append((slots[k] if k >= 0 else 0, text, boiler, main, all(known[starts[s] : starts[s + 1]].all() for s in words)))
     return out
 
 
@@ -176,18 +227,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows each get their text; they count as one page more in the vectors.
     """
 
-    def weigh(batches: Iterable) -> Iterable:
-        import pandas as pd
-
-        maps = HostMaps()
-        for b in batches:
-            out = []
-            for host, page, toks, cls in zip(b["host"], b["html"], b["toks"], b["cls"]):
-                if toks is not None:
-                    out.extend((host, s, len(t), 0 if boiler else len(t)) for s, t, boiler, _, _ in _slots(page, maps(host, toks, cls)))
-            if out:
-                yield pd.DataFrame(out, columns=["host", "slot", "chars", "free"]).groupby(["host", "slot"], as_index=False).sum()
-
     def take(batches: Iterable) -> Iterable:
         import pandas as pd
 
@@ -195,24 +234,18 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             texts, sizes = [], []
             for host, page, toks, cls, shut in zip(b["host"], b["html"], b["toks"], b["cls"], b["shut"]):
-                known = maps(host, toks, cls) if toks is not None else {}
                 closed = set(shut.tolist()) if shut is not None else set()
-                blocks = _slots(page, known)
+                blocks = _slots(page, maps(host, toks, cls) if toks is not None else None)
                 has_main = any(main for _, _, boiler, main, _ in blocks if not boiler)
                 texts.append("\n\n".join(t for s, t, boiler, main, constant in blocks if not boiler and s not in closed and (main if has_main else not constant)))
-                sizes.append(len(known))
+                sizes.append(0 if toks is None else len(toks))
             yield pd.DataFrame({"page_id": b["id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_template": sizes})
 
-    template = deduce_template(pages)
+    template, closed = deduce_template(pages)
     p = _with_template(_pages(pages), template)
-    weights = p.select("host", "html", "toks", "cls").mapInPandas(weigh, "host string, slot long, chars long, free long")
-    shut = (
-        weights.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("free").alias("free")).filter(F.col("free") < MAIN_SHARE * F.col("chars"))
-        .groupBy("host").agg(F.collect_list("slot").alias("shut"))
-    )
     # A host's slots are some of its root tokens, so they follow the template: broadcast or salted with it.
-    per_host = checkpoint(shut)
-    if per_host.select(F.coalesce(F.sum(F.size("shut")), F.lit(0))).first()[0] <= MAX_BROADCAST_TOKENS:
+    per_host = closed.groupBy("host").agg(F.collect_list("slot").alias("shut"))
+    if closed.count() <= MAX_BROADCAST_TOKENS:
         with_shut = p.join(F.broadcast(per_host), "host", "left")
     else:
         with_shut = salted_join(p, per_host, ["host"], F.struct("id", "url"), "left")
