@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 # Aggregator prefixes (checked in this order) and patterns of multi-stock summary titles.
 TITLE_PREFIXES = (
@@ -34,7 +32,7 @@ def normalize_title(title: str = "title") -> Column:
     t = F.col(title)
     bare = t
     for p in reversed(TITLE_PREFIXES):
-        bare = F.when(t.startswith(p), F.substring(t, len(p) + 1, 1_000_000)).otherwise(bare)
+        bare = F.when(t.startswith(p), F.expr(f"substring({title}, {len(p) + 1})")).otherwise(bare)
     bare = F.regexp_replace(F.lower(bare), PUNCTUATION, "")
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
@@ -58,11 +56,38 @@ def strip_tags(text: str) -> Column:
     return F.regexp_replace(F.col(text), "<[^>]+>", "")
 
 
-@F.pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: html.unescape(v) if v and "&" in v else v)
+#: Published names that also work without a semicolon, the longest first.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+_REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{'|'.join(_BARE)}))"
+
+
+def decode_references(text: Column) -> Column:
+    """Numeric and named character references, each decoded once, left to right; unknown ones stay.
+
+    The text is cut at its references and joined again, so the work is in column expressions; the names
+    come from the published table.
+    """
+    names = F.create_map(*[F.lit(x) for n, c in html5.items() for x in (n, c)])
+
+    def decoded(ref: Column) -> Column:
+        name = F.regexp_replace(ref, "^&", "")
+        digits = F.regexp_replace(name, "[^0-9a-fA-F]", "")
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        utf32 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        prefix = F.regexp_extract(name, f"^(?:{'|'.join(_BARE)})", 0)
+        rest = F.regexp_replace(name, f"^(?:{'|'.join(_BARE)})", "")
+        return (
+            F.when(name.startswith("#"), F.when(valid, utf32).otherwise(chr(0xFFFD)))
+            .when(F.try_element_at(names, name).isNotNull(), F.try_element_at(names, name))
+            .when(prefix != "", F.concat(F.try_element_at(names, prefix), rest))
+            .otherwise(ref)
+        )
+
+    gaps, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    return F.when(~text.contains("&"), text).otherwise(F.array_join(F.flatten(F.zip_with(gaps, F.transform(found, decoded), lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), ""))
 
 
 def strip_html(text: str) -> Column:
-    """Tags out and white space collapsed in the JVM; only the entity table needs Python, in Arrow batches."""
-    return F.trim(F.regexp_replace(_unescape(strip_tags(text)), r"(?U)\s+", " "))
+    """Tags out, references decoded, white space collapsed; column expressions only."""
+    return F.trim(F.regexp_replace(decode_references(strip_tags(text)), r"(?U)\s+", " "))

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tapewright.functions.durable import checkpoint
 from tapewright.functions import session as S
 from tapewright.functions.numeric import ratio, round_scaled
 from tapewright.functions.timewin import UNB, asof_join, interval_join
@@ -153,20 +154,7 @@ def adjust_for_splits(bars: DataFrame, splits: DataFrame, decimals: int = 4) ->
     )
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder; a temporary one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="tapewright-checkpoint-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
-
-
-def connected_groups(edges: DataFrame, node: str, link: str, max_rounds: int = 50) -> DataFrame:
+def connected_groups(edges: DataFrame, node: str, link: str) -> DataFrame:
     """Connected components of a bipartite node-link table: (node, group_id), group_id = smallest node.
 
     Labels spread over links and, through a lookup of the label's own label, over the groups already
@@ -175,8 +163,8 @@ def connected_groups(edges: DataFrame, node: str, link: str, max_rounds: int = 5
     """
     pairs = edges.select(node, link).filter(F.col(link).isNotNull()).distinct()
     labels = edges.select(node).distinct().withColumn("group_id", F.col(node))
-    labels = _checkpoint(labels)
-    for _ in range(max_rounds):
+    labels = checkpoint(labels)
+    while True:
         by_link = pairs.join(labels, node).groupBy(link).agg(F.min("group_id").alias("_g"))
         spread = pairs.join(by_link, link).groupBy(node).agg(F.min("_g").alias("_g"))
         step = labels.join(spread, node, "left").select(node, F.least("group_id", F.coalesce("_g", "group_id")).alias("group_id"), F.col("group_id").alias("_old"))
@@ -184,12 +172,10 @@ def connected_groups(edges: DataFrame, node: str, link: str, max_rounds: int = 5
         nxt = step.join(jump, F.col("group_id") == F.col("_n"), "left").select(
             node, F.least("group_id", F.coalesce("_gg", "group_id")).alias("group_id"), "_old"
         )
-        nxt = _checkpoint(nxt)
-        changed = nxt.filter(F.col("group_id") != F.col("_old")).limit(1).count()
+        nxt = checkpoint(nxt)
         labels = nxt.drop("_old")
-        if not changed:
+        if nxt.filter(F.col("group_id") != F.col("_old")).isEmpty():
             return labels
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def ticker_groups(identities: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapewright.functions import session as S
+from tapewright.functions.durable import checkpoint
 from tapewright.functions.text import is_roundup, strip_html, title_fingerprint, url_id
-from tapewright.operators.joins import _checkpoint
 
 COLUMNS = ["symbol", "published_ms", "title", "text", "url", "sources", "source_from"]
 
@@ -28,7 +28,7 @@ def from_mail_date_layout(raw: DataFrame) -> DataFrame:
     return raw.select("symbol", F.unix_millis(ts).alias("published_ms"), "title", strip_html("body").alias("text"), "url", F.coalesce("author", F.lit("Benzinga")).alias("sources"), F.lit("benzinga").alias("source_from"))
 
 
-def first_wins(articles: DataFrame, order: str = "order", url: str = "url_id", title: str = "title_fp", max_rounds: int = 200) -> DataFrame:
+def first_wins(articles: DataFrame, order: str = "order", url: str = "url_id", title: str = "title_fp") -> DataFrame:
     """Keep an article unless a kept earlier one has its URL or its title.
 
     Sequential by definition, computed in rounds: an open article that is the earliest of both its URL
@@ -38,19 +38,17 @@ def first_wins(articles: DataFrame, order: str = "order", url: str = "url_id", t
     """
     rest = articles.groupBy(url, title).agg(F.min(order).alias("_o"))
     kept = None
-    for _ in range(max_rounds):
-        rest = _checkpoint(rest)
+    while True:
+        rest = checkpoint(rest)
         u = rest.groupBy(url).agg(F.min("_o").alias("_u"))
         t = rest.groupBy(title).agg(F.min("_o").alias("_t"))
         marked = rest.join(u, url).join(t, title)
         won = marked.filter((F.col("_o") == F.col("_u")) & (F.col("_o") == F.col("_t"))).select(url, title, "_o")
-        won = _checkpoint(won)
-        if won.limit(1).count() == 0:
+        won = checkpoint(won)
+        if won.isEmpty():
             break
         kept = won if kept is None else kept.unionByName(won)
         rest = rest.join(won.select(url).distinct(), url, "left_anti").join(won.select(title).distinct(), title, "left_anti")
-    else:
-        raise RuntimeError(f"deduplication not settled after {max_rounds} rounds")
     if kept is None:
         return articles.limit(0)
     return articles.join(kept.select(F.col("_o").alias(order)), order, "left_semi")

@@ -72,17 +72,17 @@ def _(t):
     return news(t).select("doc_id", "title", X.is_roundup().alias("roundup"))
 
 
-@query(
-    "N5_dedup_gates",
-    """SELECT doc_id, url_id, title_fp FROM (
+DEDUP_SQL = """SELECT doc_id, url_id, title_fp FROM (
       WITH RECURSIVE o AS (SELECT doc_id, url_id, title_fp, row_number() OVER (ORDER BY doc_id) AS i FROM finger WHERE NOT roundup),
         s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS titles, CAST(NULL AS BIGINT) AS kept
           UNION ALL
           SELECT o.i, CASE WHEN list_contains(urls, url_id) OR list_contains(titles, title_fp) THEN urls ELSE list_append(urls, url_id) END,
             CASE WHEN list_contains(urls, url_id) OR list_contains(titles, title_fp) THEN titles ELSE list_append(titles, title_fp) END,
             CASE WHEN list_contains(urls, url_id) OR list_contains(titles, title_fp) THEN NULL ELSE doc_id END FROM s JOIN o ON o.i = s.i + 1)
-      SELECT o.doc_id, url_id, title_fp FROM s JOIN o ON o.doc_id = s.kept)""",
-)
+      SELECT o.doc_id, url_id, title_fp FROM s JOIN o ON o.doc_id = s.kept)"""
+
+
+@query("N5_dedup_gates", DEDUP_SQL)
 def _(t):
     return N.dedup_gates(news(t).withColumn("order", F.col("doc_id"))).select("doc_id", "url_id", "title_fp")
 

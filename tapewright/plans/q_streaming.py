@@ -1,7 +1,5 @@
 """Streaming jobs run to the end of the available input; what they append is returned as a table."""
 
-import time
-
 from pyspark.sql import functions as F
 
 from tapewright.functions import session as S
@@ -9,13 +7,13 @@ from tapewright.operators import bars as A, ticks as K
 from tapewright.plans.ctes import bars_sql, fragment
 from tapewright.plans.q_bars import FACTOR_SQL, hour_bars
 from tapewright.plans.q_events import ENTRY, event_table, news as catalyst_news
-from tapewright.plans.q_news import news
+from tapewright.plans.q_news import DEDUP_SQL, news
 from tapewright.plans.q_snapshots import snap, windows
 from tapewright.plans.registry import query
 from tapewright.sources.canonical import Tables
 from tapewright.sources.lake import work_dir
 from tapewright.streaming import bars as B, factors as FX, news as NX, signals as GX, snapshots as SX
-from tapewright.streaming.run import append_files, read_upserts, stream_parquet, until_idle, upsert_files
+from tapewright.streaming.run import append_files, drain_files, in_stages, read_upserts, stream_parquet, upsert_files
 
 H = 3_600_000
 CUT = 1_705_300_123_456
@@ -50,20 +48,9 @@ def _(t):
 @query("W2_idle_close", f"SELECT {BAR_SQL} FROM bars", BAR_F)
 def _(t):
     path = work_dir(t.spark)
-    out = B.keyed_bars(live_trades(t), "1h")
-
-    until_idle(out, path, 5.0)
-    return t.spark.read.parquet(f"{path}/data").select(*BAR)
-
-
-def staged_feed(t, parts):
-    """Write row sets as consecutive input files, oldest first."""
-    path = work_dir(t.spark)
-    for i, p in enumerate(parts):
-        p.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        if i + 1 < len(parts):
-            time.sleep(1.1)  # file times order the micro-batches
-    return path
+    # All input is drained; the bars still open then, which a running stream closes by the clock, are flushed.
+    drain_files(B.keyed_bars(live_trades(t), "1h"), path)
+    return t.spark.read.parquet(f"{path}/data").select(*BAR).unionByName(B.open_bars(t.spark, path).select(*BAR))
 
 
 fragment(
@@ -76,13 +63,12 @@ fragment("on_time_bars", bars_sql("on_time_feed", 1_800_000))
 
 @query("W3_late_trades_dropped", f"SELECT {BAR_SQL} FROM on_time_bars WHERE {_CLOSED}", BAR_F)
 def _(t):
-    # One exchange delivers everything in a third micro-batch. Late rows are judged by the watermark of the
-    # batch before, which then stands at the newest trade of the first one.
+    # One exchange delivers everything after the first stage. Late rows are judged by the watermark that the
+    # stage before left, which stands at its newest trade.
     tr = K.drop_delayed(t.trades())
-    rest = tr.filter("exchange <> 3")
-    path = staged_feed(t, [rest.filter(F.col("ts_ms") <= CUT), rest.filter(F.col("ts_ms") > CUT), tr.filter("exchange = 3")])
-    live = stream_parquet(t.spark, f"{path}/in", tr, files_per_batch=1)
-    append_files(B.window_bars(live, "30m"), path)
+    early = (F.col("exchange") != 3) & (F.col("ts_ms") <= CUT)
+    path = work_dir(t.spark)
+    in_stages(t.spark, [tr.filter(early), tr.filter(~early)], path, lambda live: append_files(B.window_bars(live, "30m"), path))
     return t.spark.read.parquet(f"{path}/data").select(*BAR)
 
 
@@ -116,33 +102,33 @@ def _(t):
 
 
 _EMA = "list_reduce(c, lambda a, x: CAST(2 AS DOUBLE) / 21 * x + (1 - CAST(2 AS DOUBLE) / 21) * a)"
-_CLOSE_SQL = f"""SELECT ticker, bar_start, {FACTOR_SQL['relative_volume']} AS relative_volume, {FACTOR_SQL['gap_percent']} AS gap_percent, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY bar_start) >= 20 THEN {_EMA} END AS ema
+_CLOSE_SQL = f"""SELECT ticker, bar_start, {', '.join(f'{FACTOR_SQL[n]} AS {n}' for n in FACTOR_SQL)}, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY bar_start) >= 20 THEN {_EMA} END AS ema
   FROM (SELECT *, list(close) OVER (PARTITION BY ticker ORDER BY bar_start) AS c FROM bars)"""
 
 
-@query("W7_bar_close_factors", _CLOSE_SQL, "relative_volume gap_percent ema")
+@query("W7_bar_close_factors", _CLOSE_SQL, "relative_volume price_direction gap_percent volume_acceleration vwap_deviation ema")
 def _(t):
-    b = hour_bars(t)
-    path = staged_feed(t, [b])
-    append_files(FX.bar_close_factors(stream_parquet(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in"))), path)
+    path = work_dir(t.spark)
+    in_stages(t.spark, [hour_bars(t)], path, lambda live: append_files(FX.bar_close_factors(live), path))
     return t.spark.read.parquet(f"{path}/data")
 
 
-@query("W8_warmup_then_live", _CLOSE_SQL, "relative_volume gap_percent ema")
+@query("W8_warmup_then_live", _CLOSE_SQL, "relative_volume price_direction gap_percent volume_acceleration vwap_deviation ema")
 def _(t):
     # History first, then live bars that overlap it by a day: the overlap is ignored.
     b = hour_bars(t)
     cut = S.to_et_ms(F.lit(CUT))
-    path = staged_feed(t, [b.filter(F.col("bar_start") <= cut), b.filter(F.col("bar_start") > cut - S.DAY_MS)])
-    live = stream_parquet(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in"), files_per_batch=1)
-    append_files(FX.bar_close_factors(live), path)
+    path = work_dir(t.spark)
+    parts = [b.filter(F.col("bar_start") <= cut), b.filter(F.col("bar_start") > cut - S.DAY_MS)]
+    in_stages(t.spark, parts, path, lambda live: append_files(FX.bar_close_factors(live), path))
     return t.spark.read.parquet(f"{path}/data")
 
 
 def live_snapshots(t):
     s = snap(t)
-    path = staged_feed(t, [s.filter(F.col("window_ms") <= CUT - 10 * S.DAY_MS), s.filter((F.col("window_ms") > CUT - 10 * S.DAY_MS) & (F.col("window_ms") <= CUT)), s.filter(F.col("window_ms") > CUT)])
-    SX.process_stream(t.spark, stream_parquet(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in"), files_per_batch=1), path)
+    path, w = work_dir(t.spark), F.col("window_ms")
+    parts = [s.filter(w <= CUT - 10 * S.DAY_MS), s.filter((w > CUT - 10 * S.DAY_MS) & (w <= CUT)), s.filter(w > CUT)]
+    in_stages(t.spark, parts, path, lambda live: SX.process_stream(t.spark, live, path))
     return path
 
 
@@ -165,18 +151,18 @@ def _(t):
 )
 def _(t):
     e = event_table(t)
-    path = staged_feed(t, [e.filter(F.col("ts_ms") <= CUT), e.filter(F.col("ts_ms") > CUT)])
-    live = stream_parquet(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in"), files_per_batch=1)
-    append_files(GX.signals_with_cooldown(live, ENTRY, 5 * H), path)
+    path = work_dir(t.spark)
+    in_stages(t.spark, [e.filter(F.col("ts_ms") <= CUT), e.filter(F.col("ts_ms") > CUT)], path, lambda live: append_files(GX.signals_with_cooldown(live, ENTRY, 5 * H), path))
     return t.spark.read.parquet(f"{path}/data")
 
 
-@query("W11_news_dedup_stream")
+@query("W11_news_dedup_stream", DEDUP_SQL)
 def _(t):
-    n = news(t).select("doc_id", "symbol", "published_ms", "title", "url")
-    path = staged_feed(t, [n])
-    append_files(NX.dedup_stream(stream_parquet(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in")), "60 days"), path)
-    return t.spark.read.parquet(f"{path}/data").select("doc_id", "url_id", "title_fp")
+    # Three stages in the order of arrival; together they keep what one pass over all articles keeps.
+    n = news(t).select("doc_id", "symbol", "published_ms", "title", "url").withColumn("order", F.col("doc_id"))
+    path, third = work_dir(t.spark), F.floor(F.col("order") / 400)
+    in_stages(t.spark, [n.filter(third == 0), n.filter(third == 1), n.filter(third > 1)], path, lambda live: NX.dedup_stream(t.spark, live, path))
+    return t.spark.read.parquet(f"{path}/kept").select("doc_id", "url_id", "title_fp")
 
 
 @query(
@@ -187,8 +173,6 @@ def _(t):
 )
 def _(t):
     latest = windows(t).groupBy("ticker").agg(F.max("window_ms").alias("window_ms"), F.max_by("price", "window_ms").alias("price"))
-    c = catalyst_news(t)
-    path = staged_feed(t, [c])
-    live = stream_parquet(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in"))
-    append_files(GX.catalyst_stream(live, latest, t.profiles()), path)
+    path = work_dir(t.spark)
+    in_stages(t.spark, [catalyst_news(t)], path, lambda live: append_files(GX.catalyst_stream(live, latest, t.profiles()), path))
     return t.spark.read.parquet(f"{path}/data").select("obs_id", "ticker", "ts_ms", "price", "window_ms", "float_shares", "sector")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tapewright.functions.durable import shared_folder
 from tapewright.functions.numeric import round_scaled
 from tapewright.functions.timewin import latest_by
 from tapewright.operators.ticks import drop_delayed
@@ -42,17 +42,8 @@ CSV_ROUNDED = ("volume",)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder for written intermediates: the cluster's shared checkpoint folder, a new temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="tapewright-") if named is None else f"{named.rstrip('/')}/tapewright-{spark.sparkContext.applicationId}-{_next()}"
-
-
-_counter = [0]
-
-
-def _next() -> int:
-    _counter[0] += 1
-    return _counter[0]
+    """A new folder for written intermediates below the cluster's shared checkpoint folder."""
+    return shared_folder(spark, "work")
 
 
 def read_csv(spark: SparkSession, path: str, kind: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -72,23 +63,23 @@ def convert_csv(spark: SparkSession, src: str, dst: str, kind: str, columns: Seq
     read_csv(spark, src, kind, columns).write.mode("overwrite").option("compression", "zstd").parquet(dst)
 
 
-def write_by_date(df: DataFrame, path: str, keys: Sequence[str] = ("date",), order: Sequence[str] = ("ticker", "ts_ms"), per_key: int = 8) -> None:
+def write_by_date(df: DataFrame, path: str, keys: Sequence[str] = ("date",), order: Sequence[str] = ("ticker", "ts_ms"), rows_per_file: int = 50_000_000) -> None:
     """Idempotent partitioned write: only the partitions present in `df` are replaced.
 
-    Each (date) partition is spread over `per_key` tasks by ticker hash, so a big day is not one task's
-    file; rows are sorted inside the files, which gives row-group pruning on ticker and time.
+    Tasks take ranges of (keys, order), so a day is as many files as its share of the rows asks for,
+    whatever ticker they are of; rows are sorted inside the files, which gives row-group pruning on
+    ticker and time.
     """
     cols = list(keys)
-    salt = F.pmod(F.xxhash64("ticker"), F.lit(per_key)) if per_key > 1 and "ticker" in df.columns else F.lit(0)
-    d = df.withColumn("_salt", salt).repartition(*cols, "_salt").drop("_salt").sortWithinPartitions(*cols, *[o for o in order if o in df.columns])
-    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*cols).parquet(path)
+    by = [*cols, *[o for o in order if o in df.columns]]
+    d = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    d.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*cols).parquet(path)
 
 
-def write_by_ticker(df: DataFrame, path: str, files_per_ticker: int = 8) -> None:
-    """Per-ticker folders; a ticker's rows are spread over several tasks by date, so a hot ticker is not one file."""
-    salt = F.pmod(F.xxhash64("date"), F.lit(files_per_ticker))
-    d = df.withColumn("_salt", salt).repartition("ticker", "_salt").drop("_salt").sortWithinPartitions("ticker", "date", "ts_ms")
-    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+def write_by_ticker(df: DataFrame, path: str, rows_per_file: int = 50_000_000) -> None:
+    """Per-ticker folders; tasks take ranges of (ticker, time), so a hot ticker is as many files as its rows ask for."""
+    d = df.repartitionByRange("ticker", "date", "ts_ms").sortWithinPartitions("ticker", "date", "ts_ms")
+    d.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
 
 
 def scan(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapewright.functions import session as S
@@ -104,6 +104,19 @@ def keyed_bars(trades: DataFrame, timeframe: str, idle_ms: int = IDLE_MS, latene
     return t.groupBy("ticker").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def open_bars(spark: SparkSession, path: str) -> DataFrame:
+    """The bars that `keyed_bars` still held open when its stream under `path` ended: what a session's end flushes."""
+    bar = "map<string, struct<end: bigint, o: double, h: double, l: double, c: double, v: bigint, n: bigint, pv: double>>"
+    state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    held = state.select(F.col("key.ticker").alias("ticker"), F.from_json("value.groupState.bars", f"bars {bar}").alias("s"))
+    v = F.col("b")
+    rows = held.select("ticker", F.explode("s.bars").alias("bar_start", "b"))
+    return rows.select(
+        "ticker", F.col("bar_start").cast("bigint").alias("bar_start"), v["end"].alias("bar_end"), v["o"].alias("open"), v["h"].alias("high"), v["l"].alias("low"), v["c"].alias("close"),
+        v["v"].alias("volume"), v["n"].alias("trade_count"), F.when(v["v"] != 0, v["pv"] / v["v"]).otherwise(v["c"]).alias("vwap"),
+    )
+
+
 def seam_merge(history: DataFrame, live: DataFrame, timeframe: str) -> DataFrame:
     """Stored partial bars and streamed ones, combined where both hold a part of the same bar."""
     return finish_bars(merge_partials(history.unionByName(live)), timeframe)

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapewright.streaming.bars import LATENESS, with_event_time
 
+COLUMNS = ["bar_start", "open", "high", "low", "close", "volume"]
+
 
 def sliding_trade_rate(trades: DataFrame, window_ms: int = 20_000, slide_ms: int = 1_000, min_trades: int = 5, lateness: str = LATENESS) -> DataFrame:
     """Trades per second over [t - window, t) for every slide, once the watermark passes t; null below `min_trades`."""
@@ -20,30 +22,47 @@ def sliding_trade_rate(trades: DataFrame, window_ms: int = 20_000, slide_ms: int
     return g.select("ticker", F.unix_millis("window.end").alias("ts_ms"), "n", rate.alias("trade_rate"))
 
 
-def bar_close_factors(bars: DataFrame, lookback: int = 20) -> DataFrame:
-    """Relative volume, gap and EMA at every bar close, from a state of `lookback` volumes, one close and one average.
+def bar_close_factors(bars: DataFrame, lookback: int = 20, short: int = 5, long: int = 15) -> DataFrame:
+    """All bar factors at every bar close, from a state of the last bars, one average and the number of bars so far.
 
-    Bars at or before the last one seen are dropped, so history can be replayed first and live bars that
-    overlap it follow without a break.
+    The definitions are those of `operators.bar_factors`. Bars at or before the last one seen are dropped,
+    so history can be replayed first and live bars that overlap it follow without a break. A batch of
+    a ticker's bars is worked on as columns; a ticker has at most one bar a slot.
     """
-    alpha = 2.0 / (lookback + 1)
+    alpha, keep = 2.0 / (lookback + 1), max(lookback, 2 * short + long)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"vol": [], "close": None, "ema": None, "last": -1, "n": 0}
-        rows = pd.concat(list(batches)).sort_values("bar_start").drop_duplicates("bar_start")
-        out = []
-        for r in rows[rows["bar_start"] > held["last"]].itertuples():
-            held["vol"] = (held["vol"] + [int(r.volume)])[-lookback:]
-            held["n"] += 1
-            mean = sum(held["vol"]) / len(held["vol"])
-            gap = (r.open - held["close"]) / held["close"] * 100 if held["close"] else None
-            held["ema"] = float(r.close) if held["ema"] is None else alpha * r.close + (1 - alpha) * held["ema"]
-            ready = held["n"] >= lookback
-            out.append((key[0], int(r.bar_start), r.volume / mean if ready and mean else None, gap, held["ema"] if ready else None))
-            held["close"], held["last"] = float(r.close), int(r.bar_start)
-        state.update((json.dumps(held),))
-        if out:
-            yield pd.DataFrame(out, columns=["ticker", "bar_start", "relative_volume", "gap_percent", "ema"])
-
-    schema = "ticker string, bar_start long, relative_volume double, gap_percent double, ema double"
-    return bars.select("ticker", "bar_start", "open", "close", "volume").groupBy("ticker").applyInPandasWithState(update, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+        import numpy as np
+
+        held = json.loads(state.get[0]) if state.exists else {"bars": [], "ema": None, "n": 0}
+        before = pd.DataFrame(held["bars"], columns=COLUMNS)
+        rows = pd.concat(list(batches))[COLUMNS].drop_duplicates("bar_start").sort_values("bar_start")
+        if len(before):
+            rows = rows[rows["bar_start"] > before["bar_start"].iloc[-1]]
+        if rows.empty:
+            return
+        b = pd.concat([before, rows], ignore_index=True) if len(before) else rows.reset_index(drop=True)
+        count = held["n"] - len(before) + np.arange(1, len(b) + 1)  # bars of the ticker up to each row
+        vol, close, span = b["volume"].astype(float), b["close"], (b["high"] - b["low"])
+        mean = lambda n, lag=0: vol.shift(lag).rolling(n).mean()
+        recent, prev, older = mean(short, 1), mean(short, short + 1), mean(long, 2 * short + 1)
+        vwap = (close * vol).rolling(lookback).sum() / vol.rolling(lookback).sum()
+        first = held["ema"] if held["ema"] is not None else float(close.iloc[len(before)])
+        new = close.iloc[len(before) :]
+        ema = pd.Series([first, *new]).ewm(alpha=alpha, adjust=False).mean().iloc[1:] if held["ema"] is not None else new.ewm(alpha=alpha, adjust=False).mean()
+        ready = count >= lookback
+        fine = (recent > 0) & (prev > 0) & (older > 0)
+        out = pd.DataFrame({
+            "ticker": key[0], "bar_start": b["bar_start"],
+            "relative_volume": (vol / mean(lookback)).where(ready & (mean(lookback) > 0)),
+            "price_direction": ((close - b["low"]) / span).clip(0, 1).where(span > 0),
+            "gap_percent": ((b["open"] - close.shift()) / close.shift() * 100).where(close.shift() > 0),
+            "volume_acceleration": ((recent / prev) / (prev / older)).where(fine, 0.0).where(count > 2 * short + long),
+            "vwap_deviation": ((close - vwap) / vwap * 100).where(ready),
+        }).iloc[len(before) :]
+        out["ema"] = np.where(ready[len(before) :], ema.to_numpy(), np.nan)
+        state.update((json.dumps({"bars": b.tail(keep).to_numpy(object).tolist(), "ema": float(ema.iloc[-1]), "n": int(count[-1])}),))
+        yield out.astype(object).where(out.notna(), None)
+
+    schema = "ticker string, bar_start long, relative_volume double, price_direction double, gap_percent double, volume_acceleration double, vwap_deviation double, ema double"
+    return bars.select("ticker", *COLUMNS).groupBy("ticker").applyInPandasWithState(update, schema, "held string", "append", GroupStateTimeout.NoTimeout)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,30 +24,33 @@ def append_files(stream: DataFrame, path: str) -> None:
     q.awaitTermination()
 
 
+def drain_files(stream: DataFrame, path: str) -> None:
+    """`append_files` for a query with clock timers, which without new input would have empty batches forever.
+
+    Only batches with input are run; what the timers would emit later stays in the state.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        append_files(stream, path)
+    finally:
+        conf.set(key, before)
+
+
 def each_batch(stream: DataFrame, path: str, fn: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     q = stream.writeStream.foreachBatch(fn).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def until_idle(stream: DataFrame, path: str, idle_s: float, limit_s: float = 60.0) -> None:
-    """Run with a clock trigger until, after the first input, no batch read or changed anything for `idle_s`.
+def in_stages(spark: SparkSession, parts: Sequence[DataFrame], path: str, run: Callable[[DataFrame], None]) -> None:
+    """Feed row sets one after the other: each is written in parallel, then `run` processes what is new and ends.
 
-    A query with timers has batches forever, so its progress reports decide when it is done.
+    `run` keeps one checkpoint, so every stage resumes where the one before stopped.
     """
-    q = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(processingTime="1 second").start()
-    try:
-        start, seen, since = time.time(), -1, time.time()
-        while q.isActive and time.time() - start < limit_s:
-            time.sleep(0.5)
-            busy = [p for p in q.recentProgress if p["numInputRows"] > 0 or any(o["numRowsUpdated"] > 0 for o in p["stateOperators"])]
-            if busy and busy[-1]["batchId"] != seen:
-                seen, since = busy[-1]["batchId"], time.time()
-            elif busy and time.time() - since >= idle_s:
-                break
-        if q.exception() is not None:
-            raise q.exception()
-    finally:
-        q.stop()
+    for p in parts:
+        p.write.mode("append").parquet(f"{path}/in")
+        run(stream_parquet(spark, f"{path}/in", p))
 
 
 def upsert_files(stream: DataFrame, path: str) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tapewright.functions.durable import checkpoint
+from tapewright.functions.ranks import attach_scalars
 from tapewright.operators.snapshots import TOP_N, carry_forward, rank_cross_section, top_entries
 from tapewright.streaming.run import each_batch
 
@@ -34,6 +36,7 @@ def process_stream(spark: SparkSession, stream: DataFrame, path: str, top_n: int
         df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch}")
 
     def run(batch_df: DataFrame, batch: int) -> None:
+        batch_df = checkpoint(batch_df)  # read once, used by every table below
         cols = batch_df.columns
         state = table("state", batch, batch_df.withColumn("batch_id", F.lit(0)).schema)
         newest = state.agg(F.max("batch_id")).first()[0]
@@ -46,8 +49,7 @@ def process_stream(spark: SparkSession, stream: DataFrame, path: str, top_n: int
         entered = top_entries(filled, top_n).groupBy("date", "ticker").agg(F.min("window_ms").alias("first_entry_ms"))
         known = table("entries", batch, entered.withColumn("batch_id", F.lit(0)).schema)
         write(entered.join(known.select("date", "ticker"), ["date", "ticker"], "left_anti"), "entries", batch)
-        last_day = Window.partitionBy(F.lit(0))
-        keep = _latest_rows(rows).withColumn("_d", F.max("date").over(last_day)).filter(F.col("date") == F.col("_d")).drop("_d")
+        keep = attach_scalars(_latest_rows(rows), rows.agg(F.max("date").alias("_d"))).filter(F.col("date") == F.col("_d")).drop("_d")
         write(keep, "state", batch)
 
     each_batch(stream, path, run)

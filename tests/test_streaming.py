@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tapewright.functions.rules import rule
 from tapewright.streaming import bars as B, factors as FX, signals as GX
-from tapewright.streaming.run import append_files, stream_parquet, until_idle
+from tapewright.streaming.run import append_files, drain_files, stream_parquet
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -33,8 +33,8 @@ def feed(spark, path, rows, schema):
 
 def test_restart_resumes_state(spark, tmp_path):
     """Two runs over a growing folder equal one run over the whole."""
-    schema = "ticker string, bar_start long, open double, close double, volume long"
-    rows = [("A", i, 10.0 + i % 3, 10.5 + i % 4, 100 + i) for i in range(60)]
+    schema = "ticker string, bar_start long, open double, high double, low double, close double, volume long"
+    rows = [("A", i, 10.0 + i % 3, 15.0, 9.0, 10.5 + i % 4, 100 + i) for i in range(60)]
     one, two = str(tmp_path / "one"), str(tmp_path / "two")
     feed(spark, one, rows, schema)
     like = spark.createDataFrame([], schema)
@@ -63,7 +63,7 @@ def test_keyed_bars_drop_late_trades(spark, tmp_path):
     like = spark.createDataFrame([], schema)
     for part in ([("A", t0 + 1_000, 1, 10.0, 5), ("A", t0 + 61_000, 2, 11.0, 5)], [("A", t0 + 30_000, 3, 99.0, 5), ("A", t0 + 121_000, 4, 12.0, 5)]):
         feed(spark, path, part, schema)
-        # Timers keep a query alive, so it is ended by its output.
-        until_idle(B.keyed_bars(stream_parquet(spark, f"{path}/in", like), "1m", idle_ms=3_600_000), path, 3.0, 30.0)
+        drain_files(B.keyed_bars(stream_parquet(spark, f"{path}/in", like), "1m", idle_ms=3_600_000), path)
     got = sorted((r["close"], r["volume"]) for r in spark.read.parquet(f"{path}/data").collect())
     assert got == [(10.0, 5), (11.0, 5)]
+    assert [(r["close"], r["volume"]) for r in B.open_bars(spark, path).collect()] == [(12.0, 5)]
