@@ -170,11 +170,12 @@ def fixed_bars(trades: DataFrame, interval_ms: int, fill: bool = True) -> DataFr
     )
 
 
-def fill_chart_gaps(bars: DataFrame, step_ms: int, max_bars: int = 60) -> DataFrame:
-    """At most `max_bars` flat bars after each bar (the chart's own display limit)."""
+def fill_chart_gaps(bars: DataFrame, step_ms: int, max_bars: int | None = None) -> DataFrame:
+    """Flat bars between a bar and the next; with `max_bars` at most so many after each (a chart's display limit)."""
     step = F.lit(step_ms).cast("long")
     nxt = F.lead("bar_start").over(Window.partitionBy("ticker").orderBy("bar_start"))
-    n = F.least(F.floor((F.col("_next") - F.col("bar_start")) / step_ms).cast("int") - 1, F.lit(max_bars))
+    n = F.floor((F.col("_next") - F.col("bar_start")) / step_ms).cast("int") - 1
+    n = n if max_bars is None else F.least(n, F.lit(max_bars))
     base = bars.select("ticker", "bar_start", "open", "high", "low", "close", "volume")
     gaps = (
         base.withColumn("_next", nxt)

@@ -100,23 +100,18 @@ def trade_factors(
     _check_step(step_ms, window_ms)
     src = tick_side(trades) if "aggressor_ratio" in names else trades
     sums = {"_n": F.lit(1).cast("long")}
+    if "large_trade_ratio" in names:
+        sums["_volume"] = F.col("size").cast("long")
     if "aggressor_ratio" in names:
         sums["_buys"] = F.col("is_buy").cast("long")
     exprs = {f"{k}_w": _window_sum(k, window_ms, step_ms) for k in sums}
     cells = _cells(src, step_ms, sums)
     if "large_trade_ratio" in names:
-        # Sizes repeat, so a cell carries its distinct sizes with their counts.
+        # Sizes repeat, so a cell has a row for each distinct size, with its count and that on the cell's end.
         step = F.lit(step_ms).cast("long")
         by_size = trades.groupBy("ticker", (F.col("ts_ms") + F.pmod(-F.col("ts_ms"), step)).alias("_c"), "size").agg(
             F.count(F.lit(1)).alias("_k"), F.count(F.when(F.pmod(F.col("ts_ms"), step) == 0, 1)).alias("_e")
         )
-        sizes = by_size.groupBy("ticker", F.col("_c").alias("ts_ms")).agg(
-            F.collect_list(F.struct("size", F.col("_k").alias("k"))).alias("_sz"),
-            F.collect_list(F.when(F.col("_e") > 0, F.struct("size", F.col("_e").alias("k")))).alias("_esz"),
-        )
-        cells = cells.join(sizes, ["ticker", "ts_ms"])
-        exprs["_in"] = lambda w: F.flatten(F.collect_list("_sz").over(w.rangeBetween(-window_ms + step_ms, 0)))
-        exprs["_ed"] = lambda w: F.flatten(F.collect_list("_esz").over(w.rangeBetween(-window_ms, -window_ms)))
     out = range_windows(_grid_union(cells, grid), ["ticker"], "ts_ms", exprs, window_ms, keep=F.col("_cellrow").isNull())
     n = F.col("_n_w")
     ready = n >= min_trades
@@ -124,11 +119,13 @@ def trade_factors(
     if "trade_rate" in names:
         cols["trade_rate"] = F.when(ready, n / (window_ms / 1000.0))
     if "large_trade_ratio" in names:
-        out = out.withColumn("_all", F.concat("_in", "_ed"))
-        total = F.aggregate("_all", F.lit(0).cast("long"), lambda acc, x: acc + x["size"] * x["k"])
-        out = out.withColumn("_limit", total / F.when(n > 0, n) * large_multiplier)
-        large = F.aggregate("_all", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["size"] > F.col("_limit"), x["k"]).otherwise(F.lit(0)))
-        cols["large_trade_ratio"] = F.when(ready, large / n)
+        # A point meets the sizes of its window's cells; of the cell just before the window only the end counts.
+        limits = out.filter(ready).select("ticker", "ts_ms", (F.col("_volume_w") / n * large_multiplier).alias("_limit"))
+        reach = limits.withColumn("_c", F.explode(F.sequence(F.col("ts_ms") - window_ms, F.col("ts_ms"), F.lit(step_ms).cast("long"))))
+        counted = F.when(F.col("_c") == F.col("ts_ms") - window_ms, F.col("_e")).otherwise(F.col("_k"))
+        larger = reach.join(by_size, ["ticker", "_c"]).filter(F.col("size") > F.col("_limit")).groupBy("ticker", "ts_ms").agg(F.sum(counted).alias("_large"))
+        out = out.join(larger, ["ticker", "ts_ms"], "left")
+        cols["large_trade_ratio"] = F.when(ready, F.coalesce("_large", F.lit(0)) / n)
     if "aggressor_ratio" in names:
         cols["aggressor_ratio"] = F.when(ready, F.col("_buys_w") / n)
     return out.select("ticker", "ts_ms", *[c.alias(k) for k, c in cols.items()])
@@ -219,14 +216,14 @@ def signal_density(factors: DataFrame, value: str, threshold: float, window_ms:
     )
 
 
-def labeling_factors(trades: DataFrame, window_ms: int = 30_000, max_points: int = 2_000, min_trades: int = 5) -> DataFrame:
+def labeling_factors(trades: DataFrame, window_ms: int = 30_000, min_trades: int = 5, points: DataFrame | None = None) -> DataFrame:
     """Trade rate over the effective span, large-trade and sticky-side aggressor shares at every trade.
 
-    A ticker with more than `max_points` trades keeps every n-th point, n = trades div max_points (the
-    chart's own decimation). The points are chosen first, and only they meet the trades of their windows;
-    of equal times a point sees the trades up to its own sequence number.
+    `points` (ticker, ts_ms, seq) are the trades to label, all by default; a chart passes those of
+    `decimate`. Only they meet the trades of their windows; of equal times a point sees the trades up to its
+    own sequence number.
     """
-    points = decimate(trades.select("ticker", "ts_ms", "seq"), max_points)
+    points = trades.select("ticker", "ts_ms", "seq") if points is None else points
     t = tick_side(trades, sticky=True).select("ticker", F.col("ts_ms").alias("_t"), F.col("seq").alias("_q"), "size", "is_buy")
     j = interval_join(points, t, ["ticker"], F.col("ts_ms") - window_ms, "ts_ms", "_t", include_start=True, how="inner")
     j = j.filter((F.col("_t") < F.col("ts_ms")) | (F.col("_q") <= F.col("seq")))

@@ -235,7 +235,19 @@ def _(t):
     OHLC,
 )
 def _(t):
-    return A.fill_chart_gaps(minute_bars(t), 60_000)
+    return A.fill_chart_gaps(minute_bars(t), 60_000, 60)
+
+
+@query(
+    "A11_chart_gap_fill_all",
+    """SELECT ticker, bar_start, open, high, low, close, volume FROM bars UNION ALL
+    SELECT ticker, bar_start + j * 3600000, close, close, close, close, 0 FROM (
+      SELECT *, unnest(range(1, (nxt - bar_start) // 3600000)) AS j FROM (
+        SELECT *, lead(bar_start) OVER (PARTITION BY ticker ORDER BY bar_start) AS nxt FROM bars) WHERE nxt IS NOT NULL)""",
+    OHLC,
+)
+def _(t):
+    return A.fill_chart_gaps(hour_bars(t), 3_600_000)
 
 
 @query(

@@ -37,14 +37,19 @@ def _(t):
     return t.read("pages").select("page_id", X.strip_tags("html").alias("body"))
 
 
-@query("N1_html_text")
+@query(
+    "N1_html_text",
+    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'),
+      '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS body FROM pages""",
+)
 def _(t):
     return t.read("pages").select("page_id", X.strip_html("html").alias("body"))
 
 
 @query(
     "N2_unified_articles",
-    """SELECT doc_id, symbol, published_ms // 1000 * 1000 AS published_ms, title, url, CASE lang WHEN 'en' THEN 'fmp' WHEN 'de' THEN 'momo' ELSE 'benzinga' END AS source_from FROM news""",
+    """SELECT doc_id, symbol, published_ms // 1000 * 1000 AS published_ms, title, url, CASE lang WHEN 'en' THEN 'fmp' WHEN 'de' THEN 'momo' ELSE 'benzinga' END AS source_from,
+      md5(CASE WHEN lang IN ('en', 'de') THEN text ELSE trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) END) AS text_md5 FROM news""",
 )
 def _(t):
     n = news(t).withColumn("title", F.concat_ws("|", F.col("doc_id").cast("string"), "title"))
@@ -53,7 +58,7 @@ def _(t):
     b = n.filter("lang = 'de'").select("symbol", F.floor(F.col("published_ms") / 1000).alias("time"), "title", "text", "url", F.col("source").alias("sources"))
     c = n.filter("lang NOT IN ('en', 'de')").select("symbol", F.concat(F.date_format(ts, "E, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")).alias("created"), "title", F.col("text").alias("body"), "url", F.col("source").alias("author"))
     u = N.from_eastern_layout(a).unionByName(N.from_epoch_layout(b)).unionByName(N.from_mail_date_layout(c))
-    return u.select(F.split("title", "\\|", 2)[0].cast("long").alias("doc_id"), "symbol", "published_ms", F.split("title", "\\|", 2)[1].alias("title"), "url", "source_from")
+    return u.select(F.split("title", "\\|", 2)[0].cast("long").alias("doc_id"), "symbol", "published_ms", F.split("title", "\\|", 2)[1].alias("title"), "url", "source_from", F.md5("text").alias("text_md5"))
 
 
 _BARE = "CASE " + " ".join(f"WHEN starts_with(title, '{p}') THEN substr(title, {len(p) + 1})" for p in X.TITLE_PREFIXES) + " ELSE title END"

@@ -19,7 +19,11 @@ def dated(t, ticker="user"):
     return t.trades(ticker).withColumn("date", S.et_date(S.to_et_ms("ts_ms")))
 
 
-@query("S1_csv_to_parquet")
+@query(
+    "S1_csv_to_parquet",
+    """SELECT ticker, CAST(volume AS BIGINT) AS volume, CAST(open AS FLOAT) AS open, CAST(close AS FLOAT) AS close, CAST(high AS FLOAT) AS high, CAST(low AS FLOAT) AS low,
+    bar_start * 1000000 AS window_start, CAST(trade_count AS BIGINT) AS transactions, 'x' AS venue FROM bars""",
+)
 def _(t):
     # Minute aggregates as gzipped CSV with decimal volumes, converted to the typed layout and read back.
     base = L.work_dir(t.spark)
@@ -54,7 +58,7 @@ def _(t):
     return L.load_for_candidates(K.drop_delayed(dated(t)), snap_candidates(t)).select("seq", "ticker", "ts_ms", "price")
 
 
-@query("S7_per_ticker_files")
+@query("S7_per_ticker_files", f"SELECT ticker, count(*) AS n, min({_DATE}) AS first_date, max({_DATE}) AS last_date FROM trades GROUP BY 1")
 def _(t):
     base = L.work_dir(t.spark)
     L.write_by_ticker(dated(t, "event_type"), base)
@@ -66,7 +70,7 @@ def _(t):
     return L.fill_nulls(L.load_for_candidates(dated(t), subs_of(t)), ["size"]).select("seq", "ticker", "ts_ms", "size")
 
 
-@query("S9_day_rebuild")
+@query("S9_day_rebuild", f"SELECT {_DATE} AS date, count(*) AS n FROM wide_trades GROUP BY 1")
 def _(t):
     # Writing a day twice leaves it once: only the partitions present in the second write are replaced.
     base = L.work_dir(t.spark)
@@ -76,7 +80,13 @@ def _(t):
     return t.spark.read.parquet(base).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S10_factor_writer")
+@query(
+    "S10_factor_writer",
+    f"""SELECT ticker, ts_ms, factor, value FROM (SELECT *, epoch_us(timezone('America/New_York', timezone('UTC', make_timestamp(ts_ms * 1000)))) // 1000 AS et_ms FROM (
+      UNPIVOT (SELECT ticker, ts_ms, trade_rate, large_trade_ratio, aggressor_ratio FROM trade_factor_table) ON trade_rate, large_trade_ratio, aggressor_ratio INTO NAME factor VALUE value))
+    WHERE {_DATE} BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+    "value",
+)
 def _(t):
     base = L.work_dir(t.spark)
     long = T.to_long(trade_table(t), ["trade_rate", "large_trade_ratio", "aggressor_ratio"])
@@ -117,7 +127,7 @@ def _(t):
     return L.query_factors(T.to_long(trade_table(t, ("trade_rate",)), ["trade_rate"]), "error", "trade_rate", A, B)
 
 
-@query("S14_log_records")
+@query("S14_log_records", "SELECT symbol, trigger_ms, verdict = 'YES' AS is_catalyst, CAST(score AS INTEGER) AS score_num, CASE WHEN obs_id % 7 = 0 THEN 'unknown' ELSE source END AS source_from, 'u/' || CAST(obs_id AS VARCHAR) AS url FROM observations")
 def _(t):
     # The observations written as multi-line log records, then parsed back.
     base = L.work_dir(t.spark)
@@ -125,7 +135,7 @@ def _(t):
     mark = F.when(F.col("verdict") == "YES", "✅").otherwise("❌")
     lines = F.concat(
         F.lit("model: m1\n"), F.lower("symbol"), F.lit(" "), mark, F.lit(" "), F.col("score").cast("string"), F.lit("/10\nTitle: about "), F.col("lang"),
-        F.lit("\nCurrent Time: "), iso, F.lit("\nUrl: u/"), F.col("obs_id").cast("string"), F.lit("\nSource From: "), F.col("source"), F.lit("\nContent: text"),
+        F.lit("\nCurrent Time: "), iso, F.lit("\nUrl: u/"), F.col("obs_id").cast("string"), F.when(F.col("obs_id") % 7 == 0, "").otherwise(F.concat(F.lit("\nSource From: "), "source")), F.lit("\nContent: text"),
     )
     t.observations().select(lines.alias("value")).write.mode("overwrite").text(base)
     return O.parse_log(t.spark, base).select("symbol", F.unix_millis("trigger_time").alias("trigger_ms"), "is_catalyst", "score_num", "source_from", "url")
@@ -149,7 +159,7 @@ def _(t):
     return O.where_metadata(O.classifier_table(classified(t), "2024-01-01", "2024-01-31"), is_catalyst="true", score_num=7).select("obs_id", "symbol")
 
 
-@query("S16_sample_export")
+@query("S16_sample_export", "SELECT f AS format, count(*) AS n, sum(quantity) AS quantity FROM samples, (VALUES ('parquet'), ('csv'), ('json')) AS v(f) GROUP BY 1", "quantity")
 def _(t):
     base = L.work_dir(t.spark)
     s = t.samples().select("sample_id", "symbol", "quantity", "ret")

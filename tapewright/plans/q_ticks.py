@@ -133,19 +133,24 @@ fragment(
 )
 
 
-@query(
-    "T11_labeling_factors",
-    f"""SELECT ticker, seq, ts_ms, CASE WHEN ok THEN round(n / (span / 1000.0), 3) ELSE 0 END AS trade_rate,
+_LABELS = f"""SELECT ticker, seq, ts_ms, CASE WHEN ok THEN round(n / (span / 1000.0), 3) ELSE 0 END AS trade_rate,
       CASE WHEN ok THEN round(len(list_filter(sizes, lambda x: x > 2 * mean_size)) / n, 3) ELSE 0 END AS large_trade_ratio,
       CASE WHEN ok THEN round(buys / n, 3) ELSE 0 END AS aggressor_ratio
     FROM (SELECT *, n >= 5 AND span > 0 AS ok, row_number() OVER (PARTITION BY ticker ORDER BY ts_ms, seq) - 1 AS rn, count(*) OVER (PARTITION BY ticker) AS c FROM (
       SELECT a.ticker, a.seq, a.ts_ms, count(*) AS n, any_value(a.ts_ms) - min(b.ts_ms) AS span, list(b.size) AS sizes, avg(b.size) AS mean_size, sum(b.side) AS buys
       FROM sticky a JOIN sticky b ON a.ticker = b.ticker AND b.ts_ms BETWEEN a.ts_ms - {WIN} AND a.ts_ms AND (b.ts_ms, b.seq) <= (a.ts_ms, a.seq) GROUP BY 1, 2, 3))
-    WHERE rn % greatest(1, c // 500) = 0""",
-    "trade_rate large_trade_ratio aggressor_ratio",
-)
+    """
+
+
+@query("T11_labeling_factors", _LABELS + " WHERE rn % greatest(1, c // 500) = 0", "trade_rate large_trade_ratio aggressor_ratio")
+def _(t):
+    trades = clean(t)
+    return T.labeling_factors(trades, WIN, points=T.decimate(trades.select("ticker", "ts_ms", "seq"), 500))
+
+
+@query("T11_every_point", _LABELS, "trade_rate large_trade_ratio aggressor_ratio")
 def _(t):
-    return T.labeling_factors(clean(t), WIN, 500)
+    return T.labeling_factors(clean(t), WIN)
 
 
 @query(

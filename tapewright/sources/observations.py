@@ -25,6 +25,8 @@ def parse_log(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n" + RECORD_START).text(path)
     r = raw.withColumn("value", F.regexp_replace("value", "^" + RECORD_START, ""))
     meta = {k: F.trim(_line(p)) for k, p in FIELDS.items()}
+    meta["source_from"] = F.when(meta["source_from"] == "", "unknown").otherwise(meta["source_from"])
+    meta["explanation"] = F.coalesce(F.get_json_object(meta["explanation"], "$.Explanation"), meta["explanation"])
     score = F.trim(_line(RESULT, 3))
     out = r.select(
         F.upper(_line(RESULT, 1)).alias("symbol"),
