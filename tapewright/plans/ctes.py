@@ -26,7 +26,7 @@ def with_ctes(body: str) -> str:
     visit(body)
     if not order:
         return body
-    head = ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({FRAGMENTS[n]})" for n in order)
     return f"WITH {head}\n{body}"
 
 
