@@ -15,6 +15,9 @@ PERMUTATIONS, BANDS, ROWS = 56, 28, 4
 #: 64-bit words of the bit sets that tell what a text has besides, and lacks of, the text it was compared with.
 SET_WORDS = 8
 
+#: Pairs of one center that are compared in one task, about.
+PAIRS_A_SHARE = 500
+
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(id, mark, n, key, bands) of every document.
@@ -107,7 +110,11 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     d = documents(docs)
     text = d.join(wanted, same_document(d, wanted)).select(d["id"].alias("nid"), d["text"].cast("binary").alias("text")).dropDuplicates(["nid"])
     with_b = pairs.join(text.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(text.select(F.col("nid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    # A center with many pairs is dealt out in shares of some PAIRS_A_SHARE pairs, each with the center's text.
+    shares = pairs.groupBy("a").agg((1 + F.floor(F.count("*") / PAIRS_A_SHARE)).cast("int").alias("shares"))
+    with_b = with_b.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
+    of_a = text.select(F.col("nid").alias("a"), F.col("text").alias("ta")).join(shares, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    both = with_b.join(of_a, ["a", "share"]).select("a", "b", "ta", "tb")
     kind = dict(pairs.dtypes)["a"]
     return both.mapInPandas(compare, f"a {kind}, b {kind}, common long, na long, nb long, more array<long>, less array<long>")
 
@@ -126,13 +133,14 @@ def _may_link(similarity: int) -> Column:
 
     def at_most(name: str, nx: Column, ny: Column) -> Column:
         both = sum((F.bit_count(F.get(f"x_{name}", F.lit(i)).bitwiseAND(F.get(f"y_{name}", F.lit(i)))) for i in range(SET_WORDS)), F.lit(0))
-        own = lambda p: sum((F.bit_count(F.get(f"{p}_{name}", F.lit(i))) for i in range(SET_WORDS)), F.lit(0))
-        return F.least(nx, ny, both + nx - own("x"), both + ny - own("y"))
+        return F.least(nx, ny, both + nx - F.col(f"x_{name}_bits"), both + ny - F.col(f"y_{name}_bits"))
 
     less_x, less_y = F.col("x_size") - F.col("x_common"), F.col("y_size") - F.col("y_common")
     more_x, more_y = F.col("x_n") - F.col("x_common"), F.col("y_n") - F.col("y_common")
-    of_center = F.least("x_common", "y_common", F.col("x_size") - less_x - less_y + at_most("less", less_x, less_y))
-    return (100 + similarity) * (of_center + at_most("more", more_x, more_y)) >= similarity * (F.col("x_n") + F.col("y_n"))
+    most = F.least("x_common", "y_common")
+    of_center = F.least(most, F.col("x_size") - less_x - less_y + at_most("less", less_x, less_y))
+    enough = lambda shared: (100 + similarity) * shared >= similarity * (F.col("x_n") + F.col("y_n"))
+    return enough(most + F.least(more_x, more_y)) & enough(of_center + at_most("more", more_x, more_y))
 
 
 def groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
@@ -169,7 +177,8 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame
     # Pairs across groups, in the buckets that hold several.
     comp = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     open_buckets = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi")).select("bucket")
-    compared = first.select(F.col("a").alias("center"), F.col("b").alias("nid"), F.col("na").alias("size"), "common", "more", "less")
+    bits = lambda name: sum((F.bit_count(F.get(name, F.lit(i))) for i in range(SET_WORDS)), F.lit(0)).alias(f"{name}_bits")
+    compared = first.select(F.col("a").alias("center"), F.col("b").alias("nid"), F.col("na").alias("size"), "common", "more", "less", bits("more"), bits("less"))
     side = checkpoint(salted_join(comp, open_buckets, ["bucket"], F.col("nid"), "left_semi").join(compared, ["center", "nid"]).drop("center"))
     x, y = (side.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in side.columns if c != "bucket"]) for p in "xy")
     across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") < F.col("y_comp")) & _may_link(similarity))
