@@ -13,14 +13,14 @@ from tapewright.llm.common import documents, join_documents, salted_join
 #: Base of the count levels, hash functions and bits of each key in the filter.
 LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 6, 10
 
-#: Pseudo-count of the unigram model behind a bigram context.
-BACKOFF = 60.0
+#: Bigrams that occur less often are left to the backoff.
+MIN_BIGRAM = 2
 
 #: Text bytes a block of the filter is made for.
 BLOCK_TEXT = 8 << 20
 
 #: Bytes of filter that are broadcast at most, and most frequent tokens whose counts are.
-MAX_FILTER_BYTES, HEAD_TOKENS = 128 << 20, 500_000
+MAX_FILTER_BYTES, HEAD_TOKENS = 64 << 20, 500_000
 
 
 def training(doc_id: Column) -> Column:
@@ -44,6 +44,20 @@ def _keys(text: bytes):
     return uni, mix(before * np.uint64(0x9E3779B97F4A7C15) + uni) | np.uint64(1)
 
 
+def _block(keys, blocks: int):
+    """The block of each key, from its lower bits."""
+    import numpy as np
+
+    return (keys >> np.uint64(1)) % np.uint64(blocks)
+
+
+def _in_block(keys):
+    """What tells keys of one block apart: unigrams by all their bits, bigrams by the upper 32, odd."""
+    import numpy as np
+
+    return np.where(keys & np.uint64(1), keys >> np.uint64(31) | np.uint64(1), keys)
+
+
 def _probes(keys, level: int, bits: int | object):
     """Bit positions, HASHES for each key at a level, within blocks of `bits`."""
     import numpy as np
@@ -86,7 +100,7 @@ class LogFrequencyFilter:
 
     @staticmethod
     def block(keys, levels) -> bytes:
-        """The bits of one block for its keys."""
+        """The bits of one block for the keys that are told apart in it."""
         import numpy as np
 
         total = int(levels.sum())
@@ -102,7 +116,8 @@ class LogFrequencyFilter:
         import numpy as np
 
         out = np.zeros(len(keys), np.int64)
-        block = (keys >> np.uint64(1)) % np.uint64(len(self.bits))
+        block = _block(keys, len(self.bits))
+        keys = _in_block(keys)
         start, bits, alive, j = self.start[block], self.bits[block], np.arange(len(keys)), 1
         while len(alive):
             here = np.ones(len(alive), bool)
@@ -115,8 +130,8 @@ class LogFrequencyFilter:
         return out
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): counts of the n-grams of the training documents, summed in each task only."""
+def ngram_counts(docs: DataFrame, blocks: int = 1) -> DataFrame:
+    """(block, h, c): counts of the n-grams of the training documents, summed in each task only; h tells them apart in a block."""
 
     def count(batches: Iterable) -> Iterable:
         import numpy as np
@@ -124,25 +139,25 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
         def out(held: list) -> pd.DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"h": keys.view(np.int64), "c": n})
+            return pd.DataFrame({"block": _block(keys, blocks).astype(np.int64), "h": _in_block(keys).view(np.int64), "c": n})
 
         held, size = [], 0
         for b in batches:
             for text in b["text"]:
                 held += _keys(text)
                 size += 2 * len(held[-1])
-                if size > 3_000_000:
+                if size > 6_000_000:
                     yield out(held)
                     held, size = [], 0
         if held:
             yield out(held)
 
     text = documents(docs).filter(training(F.col("id"))).select(F.col("text").cast("binary").alias("text"))
-    return text.mapInPandas(count, "h long, c long")
+    return text.mapInPandas(count, "block long, h long, c long")
 
 
 def build(docs: DataFrame) -> DataFrame:
-    """(block, bits, tokens, counts): the filter's blocks, and in each the exact counts of its unigrams.
+    """(block, bits, tokens, counts, kept): the filter's blocks, and in each the exact counts of its unigrams and the sum of its kept bigrams'.
 
     n-grams are counted in each task, shuffled once to their block, which their hash names, and summed
     there. Blocks are as many as the text needs, so one is as large for any corpus; each gets bits for
@@ -157,14 +172,14 @@ def build(docs: DataFrame) -> DataFrame:
         keys, at = np.unique(real["h"].to_numpy().view(np.uint64), return_inverse=True)
         n = np.bincount(at, weights=real["c"], minlength=len(keys)).astype(np.int64)
         uni = (keys & np.uint64(1)) == 0
-        bits = LogFrequencyFilter.block(keys, level_of(np.maximum(n, 1)))
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "bits": [bits], "tokens": [keys[uni].view(np.int64)], "counts": [n[uni]]})
+        often = uni | (n >= MIN_BIGRAM)
+        bits = LogFrequencyFilter.block(keys[often], level_of(n[often]))
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "bits": [bits], "tokens": [keys[uni].view(np.int64)], "counts": [n[uni]], "kept": [int(n[often & ~uni].sum())]})
 
     size = documents(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + size // BLOCK_TEXT
-    dealt = ngram_counts(docs).withColumn("block", F.pmod(F.shiftrightunsigned("h", 1), F.lit(blocks)))
-    every = docs.sparkSession.range(blocks).select(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), F.col("id").alias("block"))
-    return dealt.unionByName(every).groupBy("block").applyInPandas(fill, "block long, bits binary, tokens array<long>, counts array<long>")
+    every = docs.sparkSession.range(blocks).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"))
+    return ngram_counts(docs, blocks).unionByName(every).groupBy("block").applyInPandas(fill, "block long, bits binary, tokens array<long>, counts array<long>, kept long")
 
 
 def _level_value(c: Column) -> Column:
@@ -174,7 +189,7 @@ def _level_value(c: Column) -> Column:
     return (lo + F.greatest(lo, hi)) / 2
 
 
-def joined_scores(docs: DataFrame, norm: int) -> DataFrame:
+def joined_scores(docs: DataFrame, norm: int, weight: float) -> DataFrame:
     """(id, mark, score): the scores that a filter without false positives gives, by joins with all quantised counts."""
 
     def pairs(batches: Iterable) -> Iterable:
@@ -186,7 +201,8 @@ def joined_scores(docs: DataFrame, norm: int) -> DataFrame:
             for i, mark, text in zip(b["id"], b["mark"], b["text"]):
                 uni, bi = _keys(text)
                 _, at, n = np.unique(bi, return_index=True, return_counts=True)
-                out.append(pd.DataFrame({"id": i, "mark": mark, "w": uni[at].view(np.int64), "u": np.roll(uni, 1)[at].view(np.int64), "b": bi[at].view(np.int64), "k": n}))
+                grams = {"w": uni[at], "u": np.roll(uni, 1)[at], "b": _in_block(bi[at])}
+                out.append(pd.DataFrame({"id": i, "mark": mark, **{c: v.view(np.int64) for c, v in grams.items()}, "k": n}))
                 held += len(at)
                 if held > 200_000:
                     yield pd.concat(out)
@@ -196,19 +212,22 @@ def joined_scores(docs: DataFrame, norm: int) -> DataFrame:
 
     d = documents(docs).dropDuplicates(["id", "mark"]).select("id", "mark", F.col("text").cast("binary").alias("text"))
     rows = d.mapInPandas(pairs, f"id {dict(docs.dtypes)['doc_id']}, mark long, w long, u long, b long, k long")
-    counts = ngram_counts(docs).groupBy("h").agg(F.sum("c").alias("c")).select("h", _level_value(F.col("c")).alias("v"))
-    for key in ("w", "u", "b"):
+    counts = ngram_counts(docs).groupBy("h").agg(F.sum("c").alias("c")).filter((F.col("h") % 2 == 0) | (F.col("c") >= MIN_BIGRAM)).select("h", _level_value(F.col("c")).alias("v"))
+    exact = ngram_counts(docs).groupBy("h").agg(F.sum("c").cast("double").alias("v")).filter(F.col("h") % 2 == 0)
+    for key, counts in (("w", exact), ("u", exact), ("b", counts)):
         rows = salted_join(rows, counts.withColumnsRenamed({"h": key, "v": f"c{key}"}), [key], F.struct("id", "mark"), "left").withColumn(f"c{key}", F.coalesce(f"c{key}", F.lit(0.0)))
     p1 = (F.col("cw") + 1) / F.lit(float(norm))
-    p = (F.least("cb", "cu") + BACKOFF * p1) / (F.col("cu") + BACKOFF)
+    seen = F.when(F.col("cu") > 0, F.least("cb", "cu") / F.col("cu")).otherwise(0.0)
+    p = weight * seen + (1 - weight) * p1
     return rows.groupBy("id", "mark").agg(F.sum(F.col("k") * F.log10(p)).alias("score"))
 
 
 def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    base_score adds up the add-one unigram model with exact counts. `score` backs a bigram model off to that
-    unigram model, with counts from the filter. A filter of at most `max_filter_bytes` is broadcast; with a larger one
+    base_score adds up the add-one unigram model with exact counts. `score` mixes a bigram model, with counts
+    from the filter, with that unigram model, whose counts are exact for the most frequent tokens and
+    from the filter for others; the bigrams' weight is half the share of the training tokens they cover. A filter of at most `max_filter_bytes` is broadcast; with a larger one
     every n-gram of a document is joined with the quantised counts instead, by shuffles, which gives
     the same model without false positives. Exact counts of the HEAD_TOKENS most frequent tokens are
     broadcast, the others are joined.
@@ -219,10 +238,11 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
     spark = docs.sparkSession
     folder = shared_folder(spark, "lm")
     build(docs).write.parquet(f"{folder}/filter")
-    stored = spark.read.schema("block long, bits binary, tokens array<long>, counts array<long>").parquet(f"{folder}/filter")
+    stored = spark.read.schema("block long, bits binary, tokens array<long>, counts array<long>, kept long").parquet(f"{folder}/filter")
     uni = stored.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("tok"), F.col("x.counts").alias("c"))
     total, distinct = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    filter_bytes = stored.agg(F.sum(F.length("bits"))).first()[0]
+    filter_bytes, kept = stored.agg(F.sum(F.length("bits")), F.sum("kept")).first()
+    weight = kept / max(1, 2 * total)
     head = uni.orderBy(F.desc("c"), "tok").limit(HEAD_TOKENS).toPandas().sort_values("tok")
     small = filter_bytes <= max_filter_bytes
     blocks = [r["bits"] for r in stored.orderBy("block").select("bits").collect()] if small else None
@@ -251,11 +271,13 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
             known = (tok[at] == flat) & (count[at] > 0)
             base = np.where(known, np.log10((count[at] + 1) / norm), 0.0)
             if lm is not None:
-                cw, cb = values[lm.levels(flat)], values[lm.levels(np.concatenate(bis))]
+                seen, where = np.unique(flat, return_inverse=True)
+                cw, cb = values[lm.levels(seen)][where], values[lm.levels(np.concatenate(bis))]
+                cw = np.where(known, count[at], cw)
                 cu = np.concatenate([[0.0], cw[:-1]])
                 cu[starts] = cw[starts + sizes - 1]  # the end stands before the first token
                 p1 = (cw + 1) / norm
-                logp = np.log10((np.minimum(cb, cu) + BACKOFF * p1) / (cu + BACKOFF))
+                logp = np.log10(weight * np.minimum(cb, cu) / np.maximum(cu, 1) + (1 - weight) * p1)
             else:
                 logp = np.zeros(len(flat))
             rest = [np.unique(flat[s : s + n][~known[s : s + n]], return_counts=True) for s, n in zip(starts, sizes)]
@@ -290,7 +312,7 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
     one = scored.groupBy("id", "mark").agg(*[F.first(c).alias(c) for c in ("n_tokens", "known", "base", "score")], F.count("*").alias("copies"))
     both = join_documents(one, tails)
     if not small:
-        both = join_documents(both.drop("score"), joined_scores(docs, norm), "inner")
+        both = join_documents(both.drop("score"), joined_scores(docs, norm, weight), "inner")
     copies = F.col("copies")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(
         F.col("id").alias("doc_id"), (~training(F.col("id"))).alias("held_out"), "n_tokens",

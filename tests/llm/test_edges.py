@@ -205,7 +205,7 @@ def test_language_model(docs, empty):
     exact = bloom_lm.score(docs, max_filter_bytes=0).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
     for a, b in zip(sorted(got, key=key), sorted(exact, key=key)):
-        assert a.base_score == pytest.approx(b.base_score) and abs(a.score - b.score) <= 0.3 * a.n_tokens
+        assert a.base_score == pytest.approx(b.base_score) and abs(a.score - b.score) <= 0.5 * a.n_tokens
     assert all(r.n_tokens == 1 for r in got if r.doc_id in (1, 2, 3))
 
 
