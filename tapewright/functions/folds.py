@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tapewright.functions.numeric import floor_div
 
 
 def ordered_fold(
@@ -44,9 +46,35 @@ def ordered_fold(
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def gap_segments(df: DataFrame, keys: Sequence[str], ts: str, gap_ms: int, name: str = "_segment") -> DataFrame:
+    """Add the start time of each row's segment: rows of a key without a gap of `gap_ms` between them.
+
+    Rows are ordered inside time buckets only; the last time and the last start of a bucket are carried to
+    the next ones by one row per key and bucket.
+    """
+    bucket = max(3_600_000, gap_ms)
+    b = df.withColumn("_b", floor_div(ts, bucket))
+    by_bucket = Window.partitionBy(*keys).orderBy("_b")
+    inside = Window.partitionBy(*keys, "_b").orderBy(ts)
+    ends = b.groupBy(*keys, "_b").agg(F.max(ts).alias("_in")).withColumn("_in", F.lag("_in").over(by_bucket))
+    previous = F.coalesce(F.lag(ts).over(inside), F.col("_in"))
+    marked = b.join(ends, [*keys, "_b"]).withColumn("_prev", previous)
+    marked = marked.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= gap_ms), F.col(ts)))
+    starts = marked.groupBy(*keys, "_b").agg(F.max("_start").alias("_carry"))
+    starts = starts.withColumn("_carry", F.max("_carry").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)))
+    # Starts grow with time, so the last one is the largest; rows of equal time share it.
+    start = F.coalesce(F.max("_start").over(inside), F.col("_carry"))
+    return marked.join(starts, [*keys, "_b"]).select(*df.columns, start.alias(name))
+
+
 def thin_by_interval(df: DataFrame, keys: Sequence[str], ts: str, interval_ms: int, order: Sequence[str] = ()) -> DataFrame:
-    """Keep a row when at least `interval_ms` passed since the last kept row of its key."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    """Keep a row when at least `interval_ms` passed since the last kept row of its key.
+
+    A row that follows a gap of the interval is always kept, so each stretch between such gaps is a fold of
+    its own and a key is spread over as many tasks as it has stretches.
+    """
+    seg = gap_segments(df, keys, ts, interval_ms)
+    schema = ", ".join(f"`{n}` {t}" for n, t in seg.dtypes)
 
     def step(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
         times = rows[ts].to_numpy()
@@ -59,4 +87,4 @@ def thin_by_interval(df: DataFrame, keys: Sequence[str], ts: str, interval_ms: i
             i = max(i + 1, int(times.searchsorted(state["last"] + interval_ms)))
         return rows.iloc[keep]
 
-    return ordered_fold(df, keys, [ts, *order], step, schema)
+    return ordered_fold(seg, [*keys, "_segment"], [ts, *order], step, schema).drop("_segment")
