@@ -31,8 +31,8 @@ def split_by_dates(df: DataFrame, test_dates: Sequence[str]) -> DataFrame:
 
 
 def split_by_ratio(df: DataFrame, key: str, test_ratio: float = 0.3, seed: int = 42) -> DataFrame:
-    """Seeded split by hash of the key: the same row always falls on the same side, whatever the partitioning."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    """Seeded split by md5 of key and seed: the same row always falls on the same side, whatever the partitioning or engine."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     return df.withColumn("part", F.when(u < test_ratio, "test").otherwise("train"))
 
 

@@ -176,7 +176,17 @@ def _(t):
     return E.activity_states(z, 1.0, 2 * HOUR)
 
 
-@query("E10_interval_thinning")
+fragment("fast_signals", "SELECT ticker, ts_ms, trade_rate FROM event_table WHERE trade_rate > 2.0")
+
+
+@query(
+    "E10_interval_thinning",
+    f"""SELECT s.ticker, s.ts_ms, s.trade_rate FROM fast_signals s JOIN (
+      WITH RECURSIVE chain AS (SELECT ticker, min(ts_ms) AS ts_ms FROM fast_signals GROUP BY 1
+        UNION ALL SELECT c.ticker, min(m.ts_ms) FROM chain c JOIN fast_signals m ON m.ticker = c.ticker AND m.ts_ms >= c.ts_ms + {6 * HOUR} GROUP BY c.ticker, c.ts_ms)
+      SELECT * FROM chain) k ON k.ticker = s.ticker AND k.ts_ms = s.ts_ms""",
+    "trade_rate",
+)
 def _(t):
     e = event_table(t)
     sig = e.filter(all_of(keyword_conditions(trade_rate__gt=2.0), e.columns)).select("ticker", "ts_ms", "trade_rate")

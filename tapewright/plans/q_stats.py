@@ -497,14 +497,14 @@ def _(t):
 fragment(
     "cuts",
     "SELECT " + ", ".join(f"median({f}) FILTER (pos) > median({f}) FILTER (NOT pos) AS up_{f}, min({f}) FILTER (pos) AS lo_{f}, max({f}) FILTER (pos) AS hi_{f}" for f in FACTORS)
-    + " FROM (SELECT *, max_ret > 80 AND tax >= 0.02::DOUBLE AS pos FROM tiered)",
+    + " FROM (SELECT *, max_ret > 40 AND linenumber = 1 AS pos FROM tiered)",
 )
 _CUT = " AND ".join(f"CASE WHEN up_{f} THEN {f} >= lo_{f} ELSE {f} <= hi_{f} END" for f in FACTORS)
-fragment("survivors", f"SELECT s.* FROM tiered s JOIN cuts ON TRUE WHERE NOT (max_ret > 80 AND tax >= 0.02::DOUBLE) AND {_CUT}")
+fragment("survivors", f"SELECT s.* FROM tiered s JOIN cuts ON TRUE WHERE NOT (max_ret > 40 AND linenumber = 1) AND {_CUT}")
 
 
 def positive():
-    return (F.col("max_ret") > 80) & (F.col("tax") >= 0.02)
+    return (F.col("max_ret") > 40) & (F.col("linenumber") == 1)
 
 
 @query("R31_recall_cuts", "SELECT sample_id, price, tax FROM survivors", "price tax")
@@ -515,7 +515,7 @@ def _(t):
 @query(
     "J17_hard_cases",
     """SELECT s.sample_id, s.symbol, s_name, 'HARD_FALSE' AS review_flag FROM survivors s LEFT JOIN (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, s_name FROM supplier) p USING (symbol)
-    UNION ALL SELECT s.sample_id, s.symbol, s_name, 'TRUE_MOMO' FROM tiered s LEFT JOIN (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, s_name FROM supplier) p USING (symbol) WHERE max_ret > 80 AND tax >= 0.02::DOUBLE""",
+    UNION ALL SELECT s.sample_id, s.symbol, s_name, 'TRUE_MOMO' FROM tiered s LEFT JOIN (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, s_name FROM supplier) p USING (symbol) WHERE max_ret > 40 AND linenumber = 1""",
 )
 def _(t):
     d = tiered(t)

@@ -61,7 +61,7 @@ def _(t):
     return L.split_by_dates(t.samples(), TEST_DATES).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
 
 
-@query("L3_split_by_ratio")
+@query("L3_split_by_ratio", "SELECT CASE WHEN CAST('0x' || substr(md5(sample_id || ':42'), 1, 8) AS BIGINT) < 0.3 * 4294967296 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM samples GROUP BY 1")
 def _(t):
     return L.split_by_ratio(t.samples(), "sample_id").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
