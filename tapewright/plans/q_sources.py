@@ -1,5 +1,8 @@
 """Scans, loads, latest-version reads, incremental writes and log parsing over the given tables."""
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import functions as F
 
 from tapewright.functions import session as S
@@ -15,8 +18,17 @@ from tapewright.sources import lake as L, observations as O
 _DATE = "DATE '1970-01-01' + CAST(et_ms // 86400000 AS INTEGER)"
 
 
-def dated(t, ticker="user"):
-    return t.trades(ticker).withColumn("date", S.et_date(S.to_et_ms("ts_ms")))
+def _day(ticks):
+    return ticks.withColumn("date", S.et_date(S.to_et_ms("ts_ms")))
+
+
+def dated(t, ticker="user", start_ms=None, end_ms=None):
+    return _day(t.trades(ticker, start_ms, end_ms))
+
+
+def et_midnight(day: str) -> int:
+    """UTC milliseconds at which a day begins in the market's zone."""
+    return int(datetime.fromisoformat(day).replace(tzinfo=ZoneInfo(S.MARKET_ZONE)).timestamp() * 1000)
 
 
 @query(
@@ -36,7 +48,7 @@ def _(t):
 
 @query("S3_date_range_scan", f"SELECT seq, ticker, price, size FROM wide_trades WHERE {_DATE} BETWEEN DATE '2024-01-08' AND DATE '2024-01-12'", "price")
 def _(t):
-    d = dated(t)
+    d = dated(t, "user", et_midnight("2024-01-08"), et_midnight("2024-01-13") - 1)
     return d.filter(F.col("date").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-12").cast("date"))).select("seq", "ticker", "price", "size")
 
 
@@ -45,12 +57,17 @@ A, B = 1_704_700_000_000, 1_705_900_000_000
 
 @query("S4_symbol_scan", f"SELECT seq, ts_ms, price, size FROM clean WHERE ticker = 'click' AND ts_ms BETWEEN {A} AND {B}", "price")
 def _(t):
-    return L.load_trades(t.trades(), ["click"], A, B).select("seq", "ts_ms", "price", "size")
+    return L.load_trades(t.trades("event_type", A, B), ["click"], A, B).select("seq", "ts_ms", "price", "size")
 
 
 @query("S5_multi_symbol_scan", f"SELECT ticker, seq, ts_ms, price FROM clean WHERE ticker IN ('click', 'view', 'error') AND ts_ms BETWEEN {A} AND {B}", "price")
 def _(t):
-    return L.load_trades(t.trades(), ["click", "view", "error"], A, B).select("ticker", "seq", "ts_ms", "price")
+    return L.load_trades(t.trades("event_type", A, B), ["click", "view", "error"], A, B).select("ticker", "seq", "ts_ms", "price")
+
+
+@query("S5_multi_symbol_quotes", f"SELECT ticker, seq, ts_ms, bid, ask, bid_size, ask_size FROM quotes WHERE ticker IN ('click', 'view', 'error') AND ts_ms BETWEEN {A} AND {B}", "bid ask")
+def _(t):
+    return L.load_trades(t.quotes("event_type", A, B), ["click", "view", "error"], A, B, clean=False).select("ticker", "seq", "ts_ms", "bid", "ask", "bid_size", "ask_size")
 
 
 @query("S6_candidate_load", f"SELECT w.seq, w.ticker, w.ts_ms, w.price FROM wide_clean w SEMI JOIN candidates c ON c.ticker = w.ticker AND c.date = {_DATE.replace('et_ms', 'w.et_ms')}", "price")
@@ -58,6 +75,26 @@ def _(t):
     return L.load_for_candidates(K.drop_delayed(dated(t)), snap_candidates(t)).select("seq", "ticker", "ts_ms", "price")
 
 
+@query("S6_candidate_quotes", f"SELECT q.seq, q.ticker, q.ts_ms, q.bid, q.ask FROM wide_quotes q SEMI JOIN candidates c ON c.ticker = q.ticker AND c.date = {_DATE.replace('et_ms', 'q.et_ms')}", "bid ask")
+def _(t):
+    return L.load_for_candidates(_day(t.quotes("user")), snap_candidates(t)).select("seq", "ticker", "ts_ms", "bid", "ask")
+
+
+@query(
+    "S6_candidate_bars",
+    f"SELECT b.ticker, b.bar_start, b.open, b.close, b.volume FROM wide_bars b SEMI JOIN candidates c ON c.ticker = b.ticker AND c.date = {_DATE.replace('et_ms', 'b.bar_start')}",
+    "open close",
+)
+def _(t):
+    b = hour_bars(t, "user").withColumn("date", S.et_date("bar_start"))
+    return L.load_for_candidates(b, snap_candidates(t)).select("ticker", "bar_start", "open", "close", "volume")
+
+
+@query("S8_subscribed_quote_import", f"SELECT q.seq, q.ticker, q.ts_ms, q.bid, q.ask FROM wide_quotes q SEMI JOIN subs s ON s.ticker = q.ticker AND s.date = {_DATE.replace('et_ms', 'q.et_ms')}", "bid ask")
+def _(t):
+    return L.load_for_candidates(_day(t.quotes("user")), subs_of(t)).select("seq", "ticker", "ts_ms", "bid", "ask")
+
+
 @query("S7_per_ticker_files", f"SELECT ticker, count(*) AS n, min({_DATE}) AS first_date, max({_DATE}) AS last_date FROM trades GROUP BY 1")
 def _(t):
     base = L.work_dir(t.spark)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapewright.functions import session as S
@@ -17,9 +19,17 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def trades(self, ticker: str = "event_type") -> DataFrame:
-        """Trades with an exchange code and a participant time that lags the report by up to 2.4 s."""
+    def trades(self, ticker: str = "event_type", start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+        """Trades with an exchange code and a participant time that lags the report by up to 2.4 s.
+
+        Bounds on the time are literals of the stored column, so they reach the scan.
+        """
         e = self.read("events")
+        stamp = lambda ms: F.expr(f"TIMESTAMP_NTZ '{datetime.fromtimestamp(ms / 1000, UTC):%Y-%m-%d %H:%M:%S.%f}'")
+        if start_ms is not None:
+            e = e.filter(F.col("ts") >= stamp(start_ms))
+        if end_ms is not None:
+            e = e.filter(F.col("ts") < stamp(end_ms + 1))
         key = F.col("event_type") if ticker == "event_type" else F.concat(F.lit("T"), F.col("user_id").cast("string"))
         ms = S.utc_ms("ts")
         return e.select(
@@ -36,8 +46,8 @@ class Tables:
     def wide_trades(self) -> DataFrame:
         return self.trades("user")
 
-    def quotes(self, ticker: str = "event_type") -> DataFrame:
-        t = self.trades(ticker)
+    def quotes(self, ticker: str = "event_type", start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+        t = self.trades(ticker, start_ms, end_ms)
         half = lambda m: F.lit(0.01) * (1 + F.col("seq") % m)
         return t.select(
             "ticker", "seq", "ts_ms",
