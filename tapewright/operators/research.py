@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapewright.functions import session as S
 from tapewright.functions.numeric import ratio
-from tapewright.functions.ranks import attach_scalars, exact_quantiles, running_counts
+from tapewright.functions.ranks import attach_scalars, average_ranks, exact_quantiles, running_counts
 from tapewright.operators.stats import long_factors
 from tapewright.functions.timewin import interval_join
 from tapewright.operators.ticks import OFF_EXCHANGE, on_time, order_key
@@ -108,15 +108,17 @@ def extreme_vs_rest(df: DataFrame, cols: Sequence[str], bound: float, value: str
 def composite_rank(df: DataFrame, weights: Mapping[str, float], n: int = 2) -> DataFrame:
     """Percent rank of each factor (descending, ties averaged), their weighted sum and its rank, for the extreme winners."""
     out = df.select("date", "sample_id", "max_ret", *weights)
-    day = Window.partitionBy("date")
-    out = out.withColumn("n_total", F.count(F.lit(1)).over(day))
+    # Ranks come from running counts over value ranges, so a date is spread over many tasks.
+    base = out
     for f in weights:
-        rank = F.rank().over(day.orderBy(F.desc(f)))
-        ties = F.count(F.lit(1)).over(Window.partitionBy("date", f))
-        out = out.withColumn(f"{f}_pct", (rank + (ties - 1) / 2.0) / F.col("n_total"))
+        ranks = average_ranks(base, f, ["date"]).select("date", f, ((F.col("n") + 1 - F.col("rank")) / F.col("n")).alias(f"{f}_pct"))
+        out = out.join(ranks, ["date", f])
     score = sum((F.col(f"{f}_pct") * w for f, w in weights.items()), F.lit(0.0))
     out = out.withColumn("composite", score)
-    out = out.withColumn("overall_rank", F.rank().over(day.orderBy(F.desc(F.round("composite", 9)))))
+    out = out.withColumn("_c", F.round("composite", 9))
+    places = running_counts(out, "_c", {"n": F.lit(1)}, ["date"])
+    places = places.select("date", "_c", F.col("total_n").alias("n_total"), (F.col("total_n") - F.col("before_n") - F.col("cnt_n") + 1).cast("int").alias("overall_rank"))
+    out = out.join(places, ["date", "_c"])
     return extreme_winners(out, n).select("date", "sample_id", "n_total", *[f"{f}_pct" for f in weights], "composite", "overall_rank")
 
 

@@ -101,17 +101,18 @@ def top_decile_ratios(outcomes: DataFrame, cols: Sequence[str], share: float = 0
 def early_features(trades: DataFrame, outcomes: DataFrame, windows: Sequence[int] = (5, 10, 15, 30, 60), gains: Sequence[int] = (10, 25, 50), minute_ms: int = MINUTE) -> DataFrame:
     """Gain, volume and trades within the first minutes of a session, volatility of the first window, time to gain levels."""
     t = trades.join(outcomes.select(*KEYS, "open", "first_ms"), KEYS)
-    w = Window.partitionBy(*KEYS).orderBy("ts_ms", "seq")
     t = t.withColumn("_el", F.col("ts_ms") - F.col("first_ms")).withColumn("_gain", (F.col("price") - F.col("open")) / F.col("open") * 100)
-    t = t.withColumn("_ret", (F.col("price") - F.lag("price").over(w)) / F.lag("price").over(w))
     aggs = []
     for m in windows:
         on = F.col("_el") <= m * minute_ms
         aggs += [F.max(F.when(on, F.col("_gain"))).alias(f"gain_{m}min"), F.sum(F.when(on, F.col("size"))).alias(f"volume_{m}min"), F.count(F.when(on, 1)).alias(f"trades_{m}min")]
     first = windows[0]
-    aggs.append((F.coalesce(F.stddev_pop(F.when(F.col("_el") <= first * minute_ms, F.col("_ret"))), F.lit(0.0)) * 100).alias(f"volatility_{first}min"))
     aggs += [F.coalesce(F.min(F.when(F.col("_gain") >= g, F.col("_el"))) / 60000.0, F.lit(0.0)).alias(f"time_to_{g}pct") for g in gains]
-    f = t.groupBy(*KEYS).agg(*aggs)
+    # Only the first minutes are put in order; the rest of a session is summed as it comes.
+    w = Window.partitionBy(*KEYS).orderBy("ts_ms", "seq")
+    begin = t.filter(F.col("_el") <= first * minute_ms).withColumn("_ret", (F.col("price") - F.lag("price").over(w)) / F.lag("price").over(w))
+    moves = begin.groupBy(*KEYS).agg((F.coalesce(F.stddev_pop("_ret"), F.lit(0.0)) * 100).alias(f"volatility_{first}min"))
+    f = t.groupBy(*KEYS).agg(*aggs).join(moves, KEYS, "left").withColumn(f"volatility_{first}min", F.coalesce(f"volatility_{first}min", F.lit(0.0)))
     for m in windows[:2]:
         f = f.withColumn(f"acceleration_{m}min", F.when(F.col(f"gain_{m}min") > 0, F.col(f"gain_{m}min") / m).otherwise(0.0)).withColumn(f"trade_rate_{m}min", F.col(f"trades_{m}min") / m)
     return f.withColumn(f"avg_size_{first}min", ratio(f"volume_{first}min", f"trades_{first}min", otherwise=0.0))
