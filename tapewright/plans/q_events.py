@@ -167,7 +167,23 @@ def _(t):
     return E.cooldown(E.rule_matches(event_table(t), ENTRY), 5 * HOUR).select("rule", "ticker", "ts_ms")
 
 
-@query("E8_activity_states")
+fragment(
+    "activity_points",
+    """SELECT ticker, ts_ms, row_number() OVER (PARTITION BY ticker ORDER BY ts_ms) AS i, coalesce(n >= 2 AND CASE WHEN sd < 1e-9 THEN FALSE ELSE (trade_rate - mean) / sd > 1.0 END AND accel > 0, FALSE) AS active FROM (
+      SELECT ticker, ts_ms, trade_rate, trade_rate - lag(trade_rate) OVER (PARTITION BY ticker ORDER BY ts_ms) AS accel, count(trade_rate) OVER w AS n, avg(trade_rate) OVER w AS mean, stddev_pop(trade_rate) OVER w AS sd
+      FROM event_table WHERE trade_rate IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY ts_ms ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""",
+)
+
+
+@query(
+    "E8_activity_states",
+    f"""SELECT ticker, ts_ms, state FROM (
+      WITH RECURSIVE st AS (SELECT ticker, CAST(0 AS BIGINT) AS i, 'QUIET' AS state, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS ts_ms, FALSE AS moved FROM activity_points WHERE i = 1
+        UNION ALL SELECT ticker, i, CASE WHEN up THEN 'ACTIVE' WHEN down THEN 'QUIET' ELSE state END, CASE WHEN up OR down THEN ts_ms ELSE since END, ts_ms, up OR down FROM (
+          SELECT p.ticker, p.i, p.ts_ms, s.state, s.since, s.state = 'QUIET' AND p.active AS up, s.state = 'ACTIVE' AND NOT p.active AND p.ts_ms - s.since >= {2 * HOUR} AS down
+          FROM st s JOIN activity_points p ON p.ticker = s.ticker AND p.i = s.i + 1))
+      SELECT * FROM st WHERE moved)""",
+)
 def _(t):
     # z of the hourly trade rate against its last 20 points; acceleration is the change of the rate.
     f = event_table(t).filter("trade_rate IS NOT NULL")
