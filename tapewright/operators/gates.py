@@ -24,6 +24,7 @@ class Gate:
         return out
 
 
+# The texts of the reject reasons, in the gates below.
 def data_quality_gate(min_trade_rate: float = 0.0, max_spread_bps: float = float("inf"), min_fwd_trades: int = 0) -> Gate:
     checks = [(F.col("trade_rate").isNull(), "trade_rate not computable")]
     if min_trade_rate > 0:

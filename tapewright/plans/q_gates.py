@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tapewright.functions.durable import checkpoint
 from tapewright.operators import exits as X, gates as G, ignition as I
 from tapewright.plans.ctes import fragment
 from tapewright.plans.q_exits import REPORT_F, entries, path, report_sql, strategy_rows
@@ -164,7 +165,8 @@ fragment("tp5", strategy_rows((X.Strategy(tp=5.0),)))
 
 
 def gated(t):
-    return G.apply_gates(contexts(t), GATES())
+    # One row a candidate, written once: gates, funnel and reports all start from it.
+    return G.apply_gates(checkpoint(contexts(t)), GATES())
 
 
 def tp5(t, strategies=(X.Strategy(tp=5.0),)):
@@ -176,6 +178,16 @@ def _(t):
     return gated(t).select("entry_id", "reject_layer", "reject_reason", "fail_mask")
 
 
+@query(
+    "G8_trade_intensity_gate",
+    """SELECT entry_id, CASE WHEN r IS NOT NULL THEN 'trade_intensity' END AS reject_layer, r AS reject_reason FROM (
+      SELECT entry_id, CASE WHEN n_trades_first_5min < 2 THEN 'trades_5min < 2' WHEN max_gap_sec > 20000.0 THEN 'max_gap > 20000.0' END AS r FROM intensity)""",
+)
+def _(t):
+    g = G.apply_gates(I.trade_intensity(path(t), M), (G.trade_intensity_gate(2, 20_000.0),))
+    return g.select("entry_id", "reject_layer", "reject_reason")
+
+
 fragment("gate_index", "SELECT CASE reject_layer " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(GATE_SQL)) + f" ELSE {len(GATE_SQL)} END AS f FROM gated")
 
 

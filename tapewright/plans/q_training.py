@@ -90,6 +90,12 @@ def _(t):
     return fit.select("*", *[F.lit(v).alias(f"importance_{k}") for k, v in w.items()])
 
 
+@query("L5_cross_validation")
+def _(t):
+    r2 = L.cross_validate(t.samples(), FACTORS, "ret", 3)
+    return t.spark.createDataFrame(list(enumerate(r2)), "fold int, r2 double")
+
+
 @query("L5_boosted_trees_metrics")
 def _(t):
     tr, te = split(t)
