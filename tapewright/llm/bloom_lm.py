@@ -17,7 +17,7 @@ LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 6, 10
 MIN_BIGRAM = 2
 
 #: Text bytes a block of the filter is made for.
-BLOCK_TEXT = 8 << 20
+BLOCK_TEXT = 4 << 20
 
 #: Bytes of filter that are broadcast at most, and most frequent tokens whose counts are.
 MAX_FILTER_BYTES, HEAD_TOKENS = 64 << 20, 500_000
@@ -146,7 +146,7 @@ def ngram_counts(docs: DataFrame, blocks: int = 1) -> DataFrame:
             for text in b["text"]:
                 held += _keys(text)
                 size += 2 * len(held[-1])
-                if size > 6_000_000:
+                if size > 2_000_000:
                     yield out(held)
                     held, size = [], 0
         if held:
