@@ -109,10 +109,10 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     wanted = nodes.join(ends, "nid").select(F.col("nid").alias("id"), "mark")
     d = documents(docs)
     text = d.join(wanted, same_document(d, wanted)).select(d["id"].alias("nid"), d["text"].cast("binary").alias("text")).dropDuplicates(["nid"])
-    with_b = pairs.join(text.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b")
     # A center with many pairs is dealt out in shares of some PAIRS_A_SHARE pairs, each with the center's text.
     shares = pairs.groupBy("a").agg((1 + F.floor(F.count("*") / PAIRS_A_SHARE)).cast("int").alias("shares"))
-    with_b = with_b.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    with_b = dealt.join(text.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b")
     of_a = text.select(F.col("nid").alias("a"), F.col("text").alias("ta")).join(shares, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     both = with_b.join(of_a, ["a", "share"]).select("a", "b", "ta", "tb")
     kind = dict(pairs.dtypes)["a"]
