@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewright.functions.durable import shared_folder
 from tapewright.llm.common import documents, join_documents, salted_join
+from tapewright.llm.importance import kth_largest
 
 #: Base of the count levels, hash functions and bits of each key in the filter.
 LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 6, 10
@@ -20,7 +21,7 @@ MIN_BIGRAM = 2
 BLOCK_TEXT = 4 << 20
 
 #: Bytes of filter that are broadcast at most, and most frequent tokens whose counts are.
-MAX_FILTER_BYTES, HEAD_TOKENS = 64 << 20, 500_000
+MAX_FILTER_BYTES, HEAD_TOKENS = 64 << 20, 200_000
 
 
 def training(doc_id: Column) -> Column:
@@ -222,14 +223,14 @@ def joined_scores(docs: DataFrame, norm: int, weight: float) -> DataFrame:
     return rows.groupBy("id", "mark").agg(F.sum(F.col("k") * F.log10(p)).alias("score"))
 
 
-def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, head_tokens: int = HEAD_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     base_score adds up the add-one unigram model with exact counts. `score` mixes a bigram model, with counts
     from the filter, with that unigram model, whose counts are exact for the most frequent tokens and
     from the filter for others; the bigrams' weight is half the share of the training tokens they cover. A filter of at most `max_filter_bytes` is broadcast; with a larger one
     every n-gram of a document is joined with the quantised counts instead, by shuffles, which gives
-    the same model without false positives. Exact counts of the HEAD_TOKENS most frequent tokens are
+    the same model without false positives. Exact counts of the at most `head_tokens` most frequent tokens are
     broadcast, the others are joined.
 
     Null or empty text is the end alone. Repeated rows are learned from and scored each. With nothing to learn
@@ -243,7 +244,8 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
     total, distinct = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     filter_bytes, kept = stored.agg(F.sum(F.length("bits")), F.sum("kept")).first()
     weight = kept / max(1, 2 * total)
-    head = uni.orderBy(F.desc("c"), "tok").limit(HEAD_TOKENS).toPandas().sort_values("tok")
+    rarest = kth_largest(uni, "c", head_tokens) if distinct > head_tokens else 0
+    head = uni.filter(F.col("c") > rarest).toPandas()  # fewer than head_tokens rows, whatever the corpus
     small = filter_bytes <= max_filter_bytes
     blocks = [r["bits"] for r in stored.orderBy("block").select("bits").collect()] if small else None
     shared = spark.sparkContext.broadcast((head["tok"].to_numpy(), head["c"].to_numpy(), blocks))
