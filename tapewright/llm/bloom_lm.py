@@ -52,13 +52,6 @@ def _block(keys, blocks: int):
     return (keys >> np.uint64(1)) % np.uint64(blocks)
 
 
-def _in_block(keys):
-    """What tells keys of one block apart: unigrams by all their bits, bigrams by the upper 32, odd."""
-    import numpy as np
-
-    return np.where(keys & np.uint64(1), keys >> np.uint64(31) | np.uint64(1), keys)
-
-
 def _probes(keys, level: int, bits: int | object):
     """Bit positions, HASHES for each key at a level, within blocks of `bits`."""
     import numpy as np
@@ -118,7 +111,6 @@ class LogFrequencyFilter:
 
         out = np.zeros(len(keys), np.int64)
         block = _block(keys, len(self.bits))
-        keys = _in_block(keys)
         start, bits, alive, j = self.start[block], self.bits[block], np.arange(len(keys)), 1
         while len(alive):
             here = np.ones(len(alive), bool)
@@ -132,7 +124,7 @@ class LogFrequencyFilter:
 
 
 def ngram_counts(docs: DataFrame, blocks: int = 1) -> DataFrame:
-    """(block, h, c): counts of the n-grams of the training documents, summed in each task only; h tells them apart in a block."""
+    """(block, h, c): counts of the n-grams of the training documents, summed in each task only, h is the whole key."""
 
     def count(batches: Iterable) -> Iterable:
         import numpy as np
@@ -140,7 +132,7 @@ def ngram_counts(docs: DataFrame, blocks: int = 1) -> DataFrame:
 
         def out(held: list) -> pd.DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"block": _block(keys, blocks).astype(np.int64), "h": _in_block(keys).view(np.int64), "c": n})
+            return pd.DataFrame({"block": _block(keys, blocks).astype(np.int64), "h": keys.view(np.int64), "c": n})
 
         held, size = [], 0
         for b in batches:
@@ -202,7 +194,7 @@ def joined_scores(docs: DataFrame, norm: int, weight: float) -> DataFrame:
             for i, mark, text in zip(b["id"], b["mark"], b["text"]):
                 uni, bi = _keys(text)
                 _, at, n = np.unique(bi, return_index=True, return_counts=True)
-                grams = {"w": uni[at], "u": np.roll(uni, 1)[at], "b": _in_block(bi[at])}
+                grams = {"w": uni[at], "u": np.roll(uni, 1)[at], "b": bi[at]}
                 out.append(pd.DataFrame({"id": i, "mark": mark, **{c: v.view(np.int64) for c, v in grams.items()}, "k": n}))
                 held += len(at)
                 if held > 200_000:

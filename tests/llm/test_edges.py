@@ -219,6 +219,13 @@ def test_filter_levels():
     assert (unseen == 0).mean() > 0.95
 
 
+def test_filter_tells_bigrams_apart_by_all_bits():
+    keys = (np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    lm = bloom_lm.LogFrequencyFilter([bloom_lm.LogFrequencyFilter.block(keys, np.full(3000, 3))])
+    assert (lm.levels(keys) >= 3).all()
+    assert (lm.levels(keys ^ np.uint64(2)) == 0).mean() > 0.95  # equal in the upper 32 bits
+
+
 def test_quality(spark, docs, empty, labels):
     got = importance.digest(docs, labels).collect()
     assert len(got) == len(texts())
