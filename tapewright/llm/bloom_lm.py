@@ -8,8 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewright.functions.durable import shared_folder
-from tapewright.llm.common import documents, join_documents, salted_join
-from tapewright.llm.importance import kth_largest
+from tapewright.llm.common import documents
 
 #: Base of the count levels, hash functions and bits of each key in the filter.
 LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 6, 10
@@ -17,11 +16,13 @@ LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 6, 10
 #: Bigrams that occur less often are left to the backoff.
 MIN_BIGRAM = 2
 
-#: Text bytes a block of the filter is made for.
-BLOCK_TEXT = 4 << 20
+#: Text bytes of a chunk of documents.
+CHUNK_TEXT = 2 << 20
 
-#: Bytes of filter that are broadcast at most, and most frequent tokens whose counts are.
-MAX_FILTER_BYTES, HEAD_TOKENS = 64 << 20, 200_000
+#: Bytes of a block of the filter, about, and text bytes that give a byte of filter; no block is made for less text than the last.
+MAX_FILTER_BYTES, TEXT_OF_FILTER, LEAST_BLOCK_TEXT = 1 << 20, 6, 16 << 10
+
+ANSWERS = "chunk long, block long, counts binary, levels binary, total long, distinct long, again long"
 
 
 def training(doc_id: Column) -> Column:
@@ -123,193 +124,151 @@ class LogFrequencyFilter:
         return out
 
 
-def ngram_counts(docs: DataFrame, blocks: int = 1) -> DataFrame:
-    """(block, h, c): counts of the n-grams of the training documents, summed in each task only, h is the whole key."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, train, sizes, packed, bytes): the documents in chunks of about CHUNK_TEXT bytes, texts joined and compressed."""
+
+    def pack(batches: Iterable) -> Iterable:
+        import zlib
 
-    def count(batches: Iterable) -> Iterable:
-        import numpy as np
         import pandas as pd
+        from pyspark import TaskContext
 
         def out(held: list) -> pd.DataFrame:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"block": _block(keys, blocks).astype(np.int64), "h": keys.view(np.int64), "c": n})
+            texts = [x[2] for x in held]
+            row = (chunk, [x[0] for x in held], [x[1] for x in held], [len(t) for t in texts], zlib.compress(b"".join(texts), 1), sum(map(len, texts)))
+            return pd.DataFrame([row], columns=["chunk", "ids", "train", "sizes", "packed", "bytes"])
 
-        held, size = [], 0
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            for text in b["text"]:
-                held += _keys(text)
-                size += 2 * len(held[-1])
-                if size > 2_000_000:
+            for x in zip(b["id"], b["train"], b["text"]):
+                held.append(x)
+                size += len(x[2]) + 8
+                if size > CHUNK_TEXT:
                     yield out(held)
-                    held, size = [], 0
+                    chunk, held, size = chunk + 1, [], 0
         if held:
             yield out(held)
 
-    text = documents(docs).filter(training(F.col("id"))).select(F.col("text").cast("binary").alias("text"))
-    return text.mapInPandas(count, "block long, h long, c long")
-
-
-def build(docs: DataFrame) -> DataFrame:
-    """(block, bits, tokens, counts, kept): the filter's blocks, and in each the exact counts of its unigrams and the sum of its kept bigrams'.
-
-    n-grams are counted in each task, shuffled once to their block, which their hash names, and summed
-    there. Blocks are as many as the text needs, so one is as large for any corpus; each gets bits for
-    the keys it turns out to hold, and at least a few, so that no block is missing.
-    """
+    d = documents(docs).select(F.col("id").cast("string").alias("id"), training(F.col("id")).alias("train"), F.col("text").cast("binary").alias("text"))
+    return d.mapInPandas(pack, "chunk long, ids array<string>, train array<boolean>, sizes array<int>, packed binary, bytes long")
 
-    def fill(part):
-        import numpy as np
-        import pandas as pd
 
-        real = part[part["c"] > 0]
-        keys, at = np.unique(real["h"].to_numpy().view(np.uint64), return_inverse=True)
-        n = np.bincount(at, weights=real["c"], minlength=len(keys)).astype(np.int64)
-        uni = (keys & np.uint64(1)) == 0
-        often = uni | (n >= MIN_BIGRAM)
-        bits = LogFrequencyFilter.block(keys[often], level_of(n[often]))
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "bits": [bits], "tokens": [keys[uni].view(np.int64)], "counts": [n[uni]], "kept": [int(n[often & ~uni].sum())]})
+def _ngrams(sizes, packed: bytes, blocks: int):
+    """(n, keys, cuts, at) of a chunk: tokens of each document, distinct keys by block and where blocks start, and the place in
+    `keys` of every unigram and then of every bigram of the chunk."""
+    import zlib
 
-    size = documents(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + size // BLOCK_TEXT
-    every = docs.sparkSession.range(blocks).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"))
-    return ngram_counts(docs, blocks).unionByName(every).groupBy("block").applyInPandas(fill, "block long, bits binary, tokens array<long>, counts array<long>, kept long")
+    import numpy as np
 
+    text, end = zlib.decompress(packed), np.cumsum(sizes)
+    both = [_keys(text[z - n : z]) for n, z in zip(sizes, end)]
+    n = np.array([len(u) for u, _ in both])
+    keys, at = np.unique(np.concatenate([u for u, _ in both] + [b for _, b in both]), return_inverse=True)
+    block = _block(keys, blocks)
+    order = np.argsort(block, kind="stable")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return n, keys[order], np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64)), place[at]
 
-def _level_value(c: Column) -> Column:
-    """level_values() of level_of(c)."""
-    level = F.floor(F.log(c.cast("double")) / math.log(LEVEL_BASE) + 1e-9)
-    lo, hi = F.ceil(F.pow(F.lit(LEVEL_BASE), level) - 1e-9), F.ceil(F.pow(F.lit(LEVEL_BASE), level + 1) - 1e-9) - 1
-    return (lo + F.greatest(lo, hi)) / 2
 
+def answers(held: DataFrame, blocks: int) -> DataFrame:
+    """(chunk, block, counts, levels, total, distinct, again): what each block knows of the n-grams of each chunk.
 
-def joined_scores(docs: DataFrame, norm: int, weight: float) -> DataFrame:
-    """(id, mark, score): the scores that a filter without false positives gives, by joins with all quantised counts."""
+    A chunk sends its distinct n-grams with their counts in training documents, 0 included, to the blocks that
+    their hashes name. A block sums them, fills its bits and probes them for every chunk: `counts` are exact
+    for the chunk's unigrams, `levels` come from the filter for its bigrams, both in the order of keys. One row
+    of each block has no chunk but the sums of its unigrams and those of its bigrams that occur again.
+    """
 
-    def pairs(batches: Iterable) -> Iterable:
+    def send(batches: Iterable) -> Iterable:
         import numpy as np
         import pandas as pd
 
         for b in batches:
-            out, held = [], 0
-            for i, mark, text in zip(b["id"], b["mark"], b["text"]):
-                uni, bi = _keys(text)
-                _, at, n = np.unique(bi, return_index=True, return_counts=True)
-                grams = {"w": uni[at], "u": np.roll(uni, 1)[at], "b": bi[at]}
-                out.append(pd.DataFrame({"id": i, "mark": mark, **{c: v.view(np.int64) for c, v in grams.items()}, "k": n}))
-                held += len(at)
-                if held > 200_000:
-                    yield pd.concat(out)
-                    out, held = [], 0
-            if out:
-                yield pd.concat(out)
-
-    d = documents(docs).dropDuplicates(["id", "mark"]).select("id", "mark", F.col("text").cast("binary").alias("text"))
-    rows = d.mapInPandas(pairs, f"id {dict(docs.dtypes)['doc_id']}, mark long, w long, u long, b long, k long")
-    counts = ngram_counts(docs).groupBy("h").agg(F.sum("c").alias("c")).filter((F.col("h") % 2 == 0) | (F.col("c") >= MIN_BIGRAM)).select("h", _level_value(F.col("c")).alias("v"))
-    exact = ngram_counts(docs).groupBy("h").agg(F.sum("c").cast("double").alias("v")).filter(F.col("h") % 2 == 0)
-    for key, counts in (("w", exact), ("u", exact), ("b", counts)):
-        rows = salted_join(rows, counts.withColumnsRenamed({"h": key, "v": f"c{key}"}), [key], F.struct("id", "mark"), "left").withColumn(f"c{key}", F.coalesce(f"c{key}", F.lit(0.0)))
-    p1 = (F.col("cw") + 1) / F.lit(float(norm))
-    seen = F.when(F.col("cu") > 0, F.least("cb", "cu") / F.col("cu")).otherwise(0.0)
-    p = weight * seen + (1 - weight) * p1
-    return rows.groupBy("id", "mark").agg(F.sum(F.col("k") * F.log10(p)).alias("score"))
-
-
-def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, head_tokens: int = HEAD_TOKENS) -> DataFrame:
+            for chunk, train, sizes, packed in zip(b["chunk"], b["train"], b["sizes"], b["packed"]):
+                n, keys, cuts, at = _ngrams(sizes, packed, blocks)
+                learned = np.tile(np.repeat(np.array(train, bool), n), 2)
+                count = np.bincount(at[learned], minlength=len(keys)).astype(np.uint32)
+                full = np.nonzero(np.diff(cuts))[0]
+                parts = [(k, chunk, keys[cuts[k] : cuts[k + 1]].tobytes(), count[cuts[k] : cuts[k + 1]].tobytes()) for k in full]
+                yield pd.DataFrame(parts, columns=["block", "chunk", "keys", "counts"])
+
+    def probe(part):
+        import numpy as np
+        import pandas as pd
+
+        sent = [np.frombuffer(k, np.uint64) for k in part["keys"]]
+        keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([np.frombuffer(n, np.uint32) for n in part["counts"]])).astype(np.int64)
+        uni = (keys & np.uint64(1)) == 0
+        often = ~uni & (c >= MIN_BIGRAM)
+        lm = LogFrequencyFilter([LogFrequencyFilter.block(keys[often], level_of(c[often]))])
+        level = np.zeros(len(keys), np.uint8)
+        level[~uni] = lm.levels(keys[~uni])
+        rows, start = [], 0
+        for chunk, own in zip(part["chunk"], sent):
+            k = at[start : start + len(own)]
+            start += len(own)
+            rows.append((chunk, c[k[uni[k]]].tobytes(), level[k[~uni[k]]].tobytes(), 0, 0, 0))
+        again = ~uni & (c >= 2)
+        rows.append((-1, b"", b"", int(c[uni].sum()), int((c[uni] > 0).sum()), int(c[again].sum())))
+        out = pd.DataFrame(rows, columns=["chunk", "counts", "levels", "total", "distinct", "again"])
+        out.insert(1, "block", part["block"].iloc[0])
+        return out
+
+    sent = held.select("chunk", "train", "sizes", "packed").mapInPandas(send, "block long, chunk long, keys binary, counts binary")
+    return sent.groupBy("block").applyInPandas(probe, ANSWERS)
+
+
+def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    base_score adds up the add-one unigram model with exact counts. `score` mixes a bigram model, with counts
-    from the filter, with that unigram model, whose counts are exact for the most frequent tokens and
-    from the filter for others; the bigrams' weight is half the share of the training tokens they cover. A filter of at most `max_filter_bytes` is broadcast; with a larger one
-    every n-gram of a document is joined with the quantised counts instead, by shuffles, which gives
-    the same model without false positives. Exact counts of the at most `head_tokens` most frequent tokens are
-    broadcast, the others are joined.
+    base_score adds up the add-one unigram model. `score` mixes a bigram model, with the bigrams' counts from
+    the filter, with that unigram model; unigram counts are exact in both. The bigrams' weight is half the
+    share of the training tokens whose bigram occurs again. The filter is never gathered: each of its
+    blocks, of about `max_filter_bytes`, is filled and probed in one task, and the answers are joined with the
+    chunks of documents that asked. So there is one way for every size, and no answer depends on the number of
+    blocks but for false positives.
 
     Null or empty text is the end alone. Repeated rows are learned from and scored each. With nothing to learn
     from all counts are 0.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "lm")
-    build(docs).write.parquet(f"{folder}/filter")
-    stored = spark.read.schema("block long, bits binary, tokens array<long>, counts array<long>, kept long").parquet(f"{folder}/filter")
-    uni = stored.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("tok"), F.col("x.counts").alias("c"))
-    total, distinct = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    filter_bytes, kept = stored.agg(F.sum(F.length("bits")), F.sum("kept")).first()
-    weight = kept / max(1, 2 * total)
-    rarest = kth_largest(uni, "c", head_tokens) if distinct > head_tokens else 0
-    head = uni.filter(F.col("c") > rarest).toPandas()  # fewer than head_tokens rows, whatever the corpus
-    small = filter_bytes <= max_filter_bytes
-    blocks = [r["bits"] for r in stored.orderBy("block").select("bits").collect()] if small else None
-    shared = spark.sparkContext.broadcast((head["tok"].to_numpy(), head["c"].to_numpy(), blocks))
+    made = chunks(docs)
+    made.write.parquet(f"{folder}/chunks")
+    held = spark.read.schema(made.schema).parquet(f"{folder}/chunks")
+    size = held.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    blocks = 1 + size // max(LEAST_BLOCK_TEXT, max_filter_bytes * TEXT_OF_FILTER)
+    answers(held, blocks).write.parquet(f"{folder}/answers")
+    answered = spark.read.schema(ANSWERS).parquet(f"{folder}/answers")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "again")]
+    total, distinct, again = answered.filter("chunk < 0").agg(*sums).first()
+    weight = again / max(1, 2 * total)
     norm = total + distinct + 1
 
-    def run(batches: Iterable) -> Iterable:
+    def add_up(asked, got):
         import numpy as np
         import pandas as pd
 
-        tok, count, blocks = shared.value
-        tok = tok.view(np.uint64) if len(tok) else np.zeros(1, np.uint64)
-        count = count if len(count) else np.zeros(1, np.int64)
-        order = np.argsort(tok)
-        tok, count = tok[order], count[order]
-        lm = LogFrequencyFilter(blocks) if blocks else None
         values = level_values()
-
-        def of(some: list) -> pd.DataFrame:
-            unis, bis = [x[2] for x in some], [x[3] for x in some]
-            sizes = np.array([len(u) for u in unis])
-            starts = np.cumsum([0, *sizes])[:-1]
-            flat = np.concatenate(unis)
-            doc = np.repeat(np.arange(len(some)), sizes)
-            at = np.minimum(np.searchsorted(tok, flat), len(tok) - 1)
-            known = (tok[at] == flat) & (count[at] > 0)
-            base = np.where(known, np.log10((count[at] + 1) / norm), 0.0)
-            if lm is not None:
-                seen, where = np.unique(flat, return_inverse=True)
-                cw, cb = values[lm.levels(seen)][where], values[lm.levels(np.concatenate(bis))]
-                cw = np.where(known, count[at], cw)
-                cu = np.concatenate([[0.0], cw[:-1]])
-                cu[starts] = cw[starts + sizes - 1]  # the end stands before the first token
-                p1 = (cw + 1) / norm
-                logp = np.log10(weight * np.minimum(cb, cu) / np.maximum(cu, 1) + (1 - weight) * p1)
-            else:
-                logp = np.zeros(len(flat))
-            rest = [np.unique(flat[s : s + n][~known[s : s + n]], return_counts=True) for s, n in zip(starts, sizes)]
-            return pd.DataFrame({
-                "id": [x[0] for x in some], "mark": [x[1] for x in some], "n_tokens": sizes, "known": np.add.reduceat(known.astype(np.int64), starts), "base": np.add.reduceat(base, starts),
-                "score": np.add.reduceat(logp, starts), "rest": [k.view(np.int64) for k, _ in rest], "times": [n for _, n in rest],
-            })
-
-        for b in batches:
-            some, held = [], 0
-            for i, mark, text in zip(b["id"], b["mark"], b["text"]):
-                some.append((i, mark, *_keys(text)))
-                held += len(some[-1][2])
-                if held > 100_000:
-                    yield of(some)
-                    some, held = [], 0
-            if some:
-                yield of(some)
-
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"id {kind}, mark long, n_tokens long, known long, base double, score double, rest array<long>, times array<long>"
-    d = documents(docs).select("id", "mark", F.col("text").cast("binary").alias("text"))
-    d.mapInPandas(run, schema).write.parquet(f"{folder}/scored")
-    scored = spark.read.schema(schema).parquet(f"{folder}/scored")
-
-    def log_p(c: Column) -> Column:
-        return F.log10((c + 1) / F.lit(float(norm)))
-
-    rest = scored.select("id", "mark", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("id", "mark", F.col("x.rest").alias("tok"), F.col("x.times").alias("k"))
-    counted = rest.join(uni, "tok", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    tails = counted.groupBy("id", "mark").agg(F.sum(F.col("k") * log_p(F.col("c"))).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known"))
-    one = scored.groupBy("id", "mark").agg(*[F.first(c).alias(c) for c in ("n_tokens", "known", "base", "score")], F.count("*").alias("copies"))
-    both = join_documents(one, tails)
-    if not small:
-        both = join_documents(both.drop("score"), joined_scores(docs, norm, weight), "inner")
-    copies = F.col("copies")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(
-        F.col("id").alias("doc_id"), (~training(F.col("id"))).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce((F.col("tail_known") / copies).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce(F.col("tail") / copies, F.lit(0.0))).alias("base_score"), "score",
-    )
+        ids, train = asked["ids"].iloc[0], asked["train"].iloc[0]
+        n, keys, cuts, at = _ngrams(asked["sizes"].iloc[0], asked["packed"].iloc[0], blocks)
+        uni = (keys & np.uint64(1)) == 0
+        count = np.zeros(len(keys))
+        for k, counts, levels in zip(got["block"], got["counts"], got["levels"]):
+            here, is_uni = count[cuts[k] : cuts[k + 1]], uni[cuts[k] : cuts[k + 1]]
+            here[is_uni] = np.frombuffer(counts, np.int64)
+            here[~is_uni] = values[np.frombuffer(levels, np.uint8)]
+        cw, cb = np.split(count[at], 2)
+        starts = np.cumsum(n) - n
+        cu = np.concatenate([[0.0], cw[:-1]])
+        cu[starts] = cw[starts + n - 1]  # the end stands before the first token
+        p1 = (cw + 1) / norm
+        p = weight * np.minimum(cb, cu) / np.maximum(cu, 1) + (1 - weight) * p1
+        known, base, mixed = (np.add.reduceat(x, starts) for x in ((cw > 0).astype(np.int64), np.log10(p1), np.log10(p)))
+        return pd.DataFrame({"id": ids, "held_out": ~np.array(train, bool), "n_tokens": n, "n_known": known, "base_score": base, "score": mixed})
+
+    rows = held.select("chunk", "ids", "train", "sizes", "packed").groupBy("chunk").cogroup(answered.filter("chunk >= 0").select("chunk", "block", "counts", "levels").groupBy("chunk"))
+    out = rows.applyInPandas(add_up, "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

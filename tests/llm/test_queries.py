@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tapewright.llm import queries, spotsigs
+from tapewright.llm import bloom_lm, queries, spotsigs
 from tapewright.llm.common import table
 from tests.llm import brute
 
@@ -65,6 +65,14 @@ def test_language_model(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("filter_bytes", [0, 1 << 20])
+def test_language_model_is_the_same_for_any_number_of_blocks(spark, texts, filter_bytes):
+    want = brute.bigram_scores(texts)
+    got = bloom_lm.score(table(spark, SF, "documents"), max_filter_bytes=filter_bytes).collect()
+    off = [abs(r.score - want[r.doc_id]) / r.n_tokens for r in got]
+    assert len(got) == len(want) and 1e-4 < np.mean(off) < 0.03 and np.max(off) < 1  # false positives only
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
