@@ -13,9 +13,6 @@ from tapewright.llm.common import documents
 #: Base of the count levels, hash functions and bits of each key in the filter.
 LEVEL_BASE, HASHES, BITS_PER_KEY = 1.5, 6, 10
 
-#: Bigrams that occur less often are left to the backoff.
-MIN_BIGRAM = 2
-
 #: Text bytes of a chunk of documents.
 CHUNK_TEXT = 2 << 20
 
@@ -201,8 +198,8 @@ def answers(held: DataFrame, blocks: int) -> DataFrame:
         keys, at = np.unique(np.concatenate(sent), return_inverse=True)
         c = np.bincount(at, weights=np.concatenate([np.frombuffer(n, np.uint32) for n in part["counts"]])).astype(np.int64)
         uni = (keys & np.uint64(1)) == 0
-        often = ~uni & (c >= MIN_BIGRAM)
-        lm = LogFrequencyFilter([LogFrequencyFilter.block(keys[often], level_of(c[often]))])
+        seen = ~uni & (c > 0)
+        lm = LogFrequencyFilter([LogFrequencyFilter.block(keys[seen], level_of(c[seen]))])
         level = np.zeros(len(keys), np.uint8)
         level[~uni] = lm.levels(keys[~uni])
         rows, start = [], 0

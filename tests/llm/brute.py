@@ -116,7 +116,7 @@ def unigram_scores(docs: dict[int, str | None]) -> dict[int, tuple]:
     return {i: (held[i], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) for i, t in docs.items() if (w := tokens(t))}
 
 
-def bigram_scores(docs: dict[int, str | None], least: int = 2) -> dict[int, float]:
+def bigram_scores(docs: dict[int, str | None]) -> dict[int, float]:
     """Scores of the mixed model with exact unigram counts and bigram counts that are rounded to their levels only."""
     from tapewright.llm.bloom_lm import level_of, level_values
 
@@ -126,7 +126,7 @@ def bigram_scores(docs: dict[int, str | None], least: int = 2) -> dict[int, floa
     uni = collections.Counter(x for w in learned for x in w)
     bi = collections.Counter(x for w in learned for x in pairs(w))
     values = level_values()
-    rounded = {x: values[int(level_of(n))] for x, n in bi.items() if n >= least}
+    rounded = {x: values[int(level_of(n))] for x, n in bi.items()}
     weight = sum(n for n in bi.values() if n > 1) / 2 / uni.total()
     norm = uni.total() + len(uni) + 1
     p = lambda u, w: weight * min(rounded.get((u, w), 0), uni[u]) / max(uni[u], 1) + (1 - weight) * (uni[w] + 1) / norm
