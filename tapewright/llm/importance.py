@@ -20,6 +20,9 @@ MAX_LABELLED = 20_000
 #: n-grams of ratio 1 that every document gets besides its own, so that a few words decide nothing.
 PRIOR_NGRAMS = 20
 
+#: Buckets of the toxic model, which tells single words; log-likelihood ratio (G-test) from which a bucket counts.
+TOXIC_BUCKETS, TOXIC_TEST = 1 << 20, 10.0
+
 #: Scale of the mean log ratio against the Gumbel noise.
 SHARPNESS = 400.0
 SEED = 11
@@ -40,12 +43,12 @@ def ngram_buckets(text: str, buckets: int = BUCKETS):
 
 
 def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """(id, good, fit): at most `most` labelled ids; those with fit train the target model, the others calibrate."""
+    """(id, quality, clean, toxic, fit): at most `most` labelled ids; those with fit train the target model, the others calibrate."""
     by_id = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
-        F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("clean"), F.min("quality").alias("quality")
+        F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("clean"), F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")
     )
     h = F.xxhash64("id")
-    return by_id.orderBy(h, "id").limit(most).select("id", F.col("quality").cast("int").alias("quality"), "clean", (F.pmod(h, F.lit(2)) == 0).alias("fit"))
+    return by_id.orderBy(h, "id").limit(most).select("id", F.col("quality").cast("int").alias("quality"), "clean", F.col("toxic").cast("int").alias("toxic"), (F.pmod(h, F.lit(2)) == 0).alias("fit"))
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS):
@@ -79,6 +82,54 @@ def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS):
     return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
 
 
+def toxic_ratios(docs: DataFrame, sample: DataFrame, buckets: int = TOXIC_BUCKETS):
+    """Log of toxic over clean share of documents that have a bucket, 0 where not above by the G-test; None without documents
+    of both kinds that fit. Each task adds up its counts, of sampled documents only.
+    """
+    import numpy as np
+
+    def count(batches: Iterable) -> Iterable:
+        import numpy as np
+
+        sums = np.zeros((2, buckets), np.int32)
+        n = [0, 0]
+        for b in batches:
+            for text, toxic in zip(b["text"], b["toxic"]):
+                sums[toxic, np.unique(ngram_buckets(text, buckets))] += 1
+                n[toxic] += 1
+        at = np.nonzero(sums[1])[0]  # others have no ratio above 0
+        yield pd.DataFrame({"bucket": [-1, *at], "clean": [n[0], *sums[0][at]], "toxic": [n[1], *sums[1][at]]})
+        rest = np.nonzero((sums[0] > 0) & (sums[1] == 0))[0]
+        yield pd.DataFrame({"bucket": rest, "clean": sums[0][rest], "toxic": 0})
+
+    fit = F.broadcast(sample.filter("fit AND (toxic = 1 OR clean = 1)").select("id", "toxic"))
+    counted = documents(docs).join(fit, "id").select("text", "toxic").mapInPandas(count, "bucket long, clean long, toxic long")
+    sums = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic > 1 OR bucket < 0").toPandas()
+    n = sums[sums["bucket"] < 0]
+    if not len(n) or not n["clean"].iloc[0] or not n["toxic"].iloc[0]:
+        return None
+    some = sums[sums["bucket"] >= 0]
+    n_clean, n_toxic = float(n["clean"].iloc[0]), float(n["toxic"].iloc[0])
+    toxic, clean = some["toxic"].to_numpy(float), some["clean"].to_numpy(float)
+    share = (toxic + clean) / (n_toxic + n_clean)
+    test = 2 * (toxic * np.log(toxic / (share * n_toxic)) + clean * np.log(np.maximum(clean, 1) / (share * n_clean)))
+    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    out = np.zeros(buckets, np.float32)
+    out[some["bucket"]] = np.where((test > TOXIC_TEST) & (ratio > 0), ratio, 0)
+    return out
+
+
+def toxic_scorer(ratios):
+    """Column function: text -> sum of the toxic ratios of its distinct n-grams; a few words in a long text are enough."""
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series([float(ratios[np.unique(ngram_buckets(t, len(ratios)))].sum()) for t in texts], dtype="float64")
+
+    return score
+
+
 def scorer(ratios, buckets: int = BUCKETS):
     """Column function: text -> mean log ratio of its n-grams, drawn to 0 by the prior ones."""
     @F.pandas_udf("double")
@@ -132,8 +183,9 @@ def cut_between(scores: list[float], good: list[int]) -> float | None:
 def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED):
     """(table, score, cutoff): (id, mark, log_weight, key, kept) of every document, the score function and the smallest key kept.
 
-    k, the size of the sample, is the number of documents whose weight is above the cut that separates
-    labelled good from bad ones best; the k documents with the largest keys are kept (Gumbel top-k, which
+    The weight is the mean ratio of good over all text, less the toxic evidence beyond the bound that separates
+    labelled toxic documents from clean ones best. k, the size of the sample, is the number of documents whose
+    weight is above the cut that separates labelled clean documents (good and not toxic) from the others best; the k documents with the largest keys are kept (Gumbel top-k, which
     samples by weight without replacement). Without labels of both kinds all are kept. Null and
     empty texts have weight 1. Repeated rows share their fate. A null id is a name like any other.
     """
@@ -142,10 +194,24 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED):
     if ratios is None:
         none = documents(docs).select("id", "mark", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
         return none, None, None
-    score = scorer(ratios)
-    scored = checkpoint(documents(docs).select("id", "mark", score("text").alias("log_weight")))
-    held = scored.join(F.broadcast(sample.filter(~F.col("fit")).select("id", "quality")), "id").select("log_weight", "quality").toPandas()
-    cut = cut_between(held["log_weight"].tolist(), held["quality"].tolist())
+    quality = scorer(ratios)
+    toxic = toxic_ratios(docs, sample)
+    evidence = toxic_scorer(toxic) if toxic is not None else lambda text: F.lit(0.0)
+    raw = checkpoint(documents(docs).select("id", "mark", quality("text").alias("quality_ratio"), evidence("text").alias("evidence")))
+    labelled = sample.filter(~F.col("fit")).select("id", "clean", "toxic")
+    held = raw.join(F.broadcast(labelled), "id").select("quality_ratio", "evidence", "clean", "toxic").toPandas()
+    either = held[(held["clean"] == 1) | (held["toxic"] == 1)]
+    bound = cut_between((-either["evidence"]).tolist(), either["clean"].tolist())
+
+    def weight(ratio: Column, seen: Column) -> Column:
+        return ratio if bound is None else ratio - F.greatest(F.lit(0.0), seen + F.lit(bound))
+
+    def score(text: Column) -> Column:
+        return weight(quality(text), evidence(text))
+
+    scored = raw.select("id", "mark", weight(F.col("quality_ratio"), F.col("evidence")).alias("log_weight"))
+    held["log_weight"] = held["quality_ratio"] - (0 if bound is None else (held["evidence"] + bound).clip(lower=0))
+    cut = cut_between(held["log_weight"].tolist(), held["clean"].tolist())
     keyed = scored.withColumn("key", sampling_key(F.col("log_weight"), F.struct("id", "mark"), seed))
     k = scored.filter(F.col("log_weight") >= cut).count() if cut is not None else 0
     cutoff = kth_largest(keyed, "key", k) if k else float("-inf")

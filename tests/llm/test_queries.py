@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tapewright.llm import bloom_lm, queries, spotsigs
+from tapewright.llm import bloom_lm, importance, queries, spotsigs
 from tapewright.llm.common import table
 from tests.llm import brute
 
@@ -128,6 +128,15 @@ def test_quality(spark):
     assert np.mean([got[r.doc_id] == bool(r.quality) for r in labels]) > 0.95
 
 
+def test_quality_drops_toxic_documents(spark):
+    sf = SF.replace("0.001", "0.01")
+    got = {r.doc_id: r.kept for r in importance.digest(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()}
+    labels = table(spark, sf, "labels").filter("quality = 1").collect()
+    toxic, clean = ([got[r.doc_id] for r in labels if bool(r.toxic) == t] for t in (True, False))
+    print(f"toxic kept {sum(toxic)} of {len(toxic)}, clean kept {sum(clean)} of {len(clean)}")
+    assert np.mean(toxic) < 0.3 and np.mean(clean) > 0.9
+
+
 def test_pages(spark):
     import html
 
