@@ -23,8 +23,8 @@ ADDED_KINDS = [
 ]
 KINDS = BASE_KINDS + ADDED_KINDS
 
-#: A value in at least this many owners' texts is an example that was copied.
-EXAMPLE_OWNERS = 3
+#: A value in at least this many owners' texts, or in this many different texts, is an example that was copied.
+EXAMPLE_OWNERS, EXAMPLE_DOCUMENTS = 3, 10
 
 #: Values with fewer different characters are placeholders.
 LEAST_DISTINCT_CHARS = 6
@@ -55,12 +55,13 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(h1, h2, n_repositories, n_owners) of every candidate value; a document counts as a repository.
+    """(h1, h2, n_repositories, n_owners) of every candidate value; a document counts as a repository, exact copies as one.
 
-    Pairs are made distinct before they are counted, so a value that is everywhere is counted in parts.
+    A document without an owner is its own. Pairs are made distinct before they are counted, so a value that is
+    everywhere is counted in parts.
     """
-    owners = found.groupBy("h1", "h2", "owner").agg(F.count_distinct("id").alias("repos"))
-    return owners.groupBy("h1", "h2").agg(F.sum("repos").alias("n_repositories"), F.count("owner").alias("n_owners"))
+    owner = F.struct("owner", F.when(F.col("owner").isNull(), F.col("mark")))
+    return found.groupBy("h1", "h2").agg(F.count_distinct("mark").alias("n_repositories"), F.count_distinct(owner).alias("n_owners"))
 
 
 def judged(docs: DataFrame, owner: str = "source") -> DataFrame:
@@ -68,7 +69,7 @@ def judged(docs: DataFrame, owner: str = "source") -> DataFrame:
     found = candidates(docs, owner).withColumn("h1", F.xxhash64("value")).withColumn("h2", F.xxhash64(F.lit(7), "value"))
     variety = F.size(F.array_distinct(F.split("value", "")))
     verdict = (
-        F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when((variety < LEAST_DISTINCT_CHARS) | F.lower("value").rlike("example|changeme|dummy|x{4}"), "placeholder").otherwise("live")
+        F.when((F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_DOCUMENTS), "example").when((variety < LEAST_DISTINCT_CHARS) | F.lower("value").rlike("example|changeme|dummy|x{4}"), "placeholder").otherwise("live")
     )
     return salted_join(found, ownership(found), ["h1", "h2"], F.struct("id", "mark")).withColumn("verdict", verdict).drop("h1", "h2")
 
@@ -77,7 +78,7 @@ def digest(docs: DataFrame, owner: str = "source") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) of every document.
 
     Base spans are all reported; the added kinds only where ownership makes them live. Null or empty text
-    has no spans. A null owner is no owner. Repeated rows share one answer.
+    has no spans. A document of null owner is its own owner. Repeated rows share one answer.
     """
     names = [k for k, *_ in BASE_KINDS]
     base = F.col("rank") < len(BASE_KINDS)

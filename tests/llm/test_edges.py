@@ -199,6 +199,15 @@ def test_secrets(spark, docs, empty):
     assert out[9].spans.startswith("github:5:45") and out[9].n_assign == 0
 
 
+def test_secrets_copied_within_an_owner(spark):
+    keys = [f"ghp_{c}B3dE6gH9jK2mN5pQ8sT1vW4yZ7cF0iL3oR6" for c in "abcd"]
+    rows = [(i, f"text {i} {keys[0]}", "one") for i in range(20)]  # many documents of one owner
+    rows += [(100 + i, f"text {i} {keys[1]}", None) for i in range(4)]  # a few without owner
+    rows += [(200 + i, f"copy {keys[2]}", "one") for i in range(20)] + [(300 + i, f"copy {keys[3]}", None) for i in range(20)]  # exact copies
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i] for i in (0, 100, 200, 300)] == [(0, 0), (0, 0), (1, 0), (1, 0)]  # added kinds are shown where live only
+
+
 def test_language_model(docs, empty):
     got = bloom_lm.score(docs).collect()
     assert len(got) == len(texts()) and bloom_lm.score(empty).collect() == []
