@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapewright.llm import bloom_lm, decontaminate, html_template, importance, line_dedup, minmax, packing, pii, secret_scan, spotsigs
+from tapewright.llm import bloom_lm, decontaminate, html_template, importance, line_dedup, minmax, packing, pii, secret_scan, sharding, spotsigs
 from tapewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance_resampling": lambda spark, d: importance.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_minmax": lambda spark, d: minmax.digest(table(spark, d, "documents")),
     "op10_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
+    "op13_jump_hash": lambda spark, d: sharding.digest(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.DIGEST_SQL,
     "op5_decontaminate": decontaminate.REPORT_SQL,
+    "op13_jump_hash": sharding.DIGEST_SQL,
 }
