@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapewright.llm import bloom_lm, decontaminate, hard_negatives, html_template, importance, line_dedup, minmax, packing, pii, secret_scan, sharding, spotsigs
+from tapewright.llm import bloom_lm, decontaminate, hard_negatives, html_template, importance, line_dedup, minmax, packing, pii, secret_scan, sharding, spotsigs, whitening
 from tapewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minmax": lambda spark, d: minmax.digest(table(spark, d, "documents")),
     "op10_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
     "op11_inverted_multi_index": lambda spark, d: hard_negatives.mine(table(spark, d, "embeddings")),
+    "op12_incremental_whitening": lambda spark, d: whitening.digest(table(spark, d, "embeddings")),
     "op13_jump_hash": lambda spark, d: sharding.digest(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
