@@ -196,3 +196,27 @@ def window_sum_carry(
         b.join(base, [*keys, "_blk"])
         .select(*df.columns, *[(F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(w)).alias(n) for n in sums])
     )
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], running: Mapping[str, Column], merge: Mapping[str, Callable[..., Column]], block: str = "_b") -> DataFrame:
+    """Running aggregates per key over blocks of rows: `running` inside a block, merged with what the blocks before give.
+
+    `merge` names, per column, how aggregates of blocks are put together (a sum of counts, a maximum of maxima). The last
+    row of a block holds its aggregate, so only one row a block is ordered by key.
+    """
+    names, put = list(running), {F.max: F.greatest, F.min: F.least}
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    rows = df.select("*", *[c.over(inside.rowsBetween(UNB, 0)).alias(f"_c_{n}") for n, c in running.items()], F.lead(F.lit(1)).over(inside).alias("_more"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(UNB, -1)
+    ends = rows.filter(F.col("_more").isNull()).select(*keys, block, *[merge[n](f"_c_{n}").over(before).alias(f"_p_{n}") for n in names])
+    total = lambda n: put[merge[n]](f"_c_{n}", f"_p_{n}") if merge[n] in put else F.col(f"_c_{n}") + F.coalesce(F.col(f"_p_{n}"), F.lit(0))
+    return rows.join(ends, [*keys, block]).select(*df.columns, *[total(n).alias(n) for n in names])
+
+
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str], block: str = "_b") -> DataFrame:
+    """`df` with, per new name, a column of the key's row before; across blocks it is carried by the last row of each block."""
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    row = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    rows = df.withColumns({"_here": row}).select("*", F.lag("_here").over(inside).alias("_l"), F.lead(F.lit(1)).over(inside).alias("_more"))
+    ends = rows.filter(F.col("_more").isNull()).select(*keys, block, F.lag("_here").over(Window.partitionBy(*keys).orderBy(block)).alias("_p"))
+    return rows.join(ends, [*keys, block]).withColumn("_l", F.coalesce("_l", "_p")).select(*df.columns, *[F.col(f"_l.{n}").alias(n) for n in columns])

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapewright.functions.folds import ordered_fold, thin_by_interval
+from tapewright.functions.folds import thin_by_interval, transitions
 from tapewright.functions.numeric import clamp, ratio
 from tapewright.functions.rules import ANTI_PATTERNS, ENTRY_RULES, WATCH_RULES, WATCH_TIMEOUT_MS, Rule, any_of
 from tapewright.functions.timewin import asof_join
@@ -102,32 +101,20 @@ ACTIVE_Z = 5.0
 STATE_HOLD_MS = 10_000
 
 
+def is_active(z_threshold: float = ACTIVE_Z) -> Column:
+    """z above the threshold with positive acceleration; null and NaN are no activity."""
+    above = lambda c, limit: (F.col(c) > limit) & ~F.isnan(c)
+    return F.coalesce(above("z", z_threshold) & above("accel", 0), F.lit(False))
+
+
 def activity_states(factors: DataFrame, z_threshold: float = ACTIVE_Z, hold_ms: int = STATE_HOLD_MS) -> DataFrame:
     """QUIET/ACTIVE transitions: active on z > threshold with positive acceleration, quiet again no sooner than `hold_ms`.
 
-    `factors` has ticker, ts_ms, z, accel. One small state per ticker is carried through its sorted rows.
+    `factors` has ticker, ts_ms, z, accel.
     """
-
-    def step(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
-        active = ((rows["z"] > z_threshold) & (rows["accel"] > 0)).to_numpy()
-        times = rows["ts_ms"].to_numpy()
-        picked, names = [], []
-        for i, (on, ts) in enumerate(zip(active, times)):
-            current = state.get("name", "QUIET")
-            if current == "QUIET" and on:
-                new = "ACTIVE"
-            elif current == "ACTIVE" and not on and ts - state["since"] >= hold_ms:
-                new = "QUIET"
-            else:
-                continue
-            state["name"], state["since"] = new, int(ts)
-            picked.append(i)
-            names.append(new)
-        out = rows.iloc[picked][["ticker", "ts_ms"]].copy()
-        out["state"] = names
-        return out
-
-    return ordered_fold(factors.select("ticker", "ts_ms", "z", "accel"), ["ticker"], ["ts_ms"], step, "ticker string, ts_ms long, state string")
+    on = is_active(z_threshold)
+    moves = transitions(factors.select("ticker", "ts_ms", "z", "accel"), ["ticker"], "ts_ms", [on, ~on], [hold_ms, 0], name="_mode")
+    return moves.select("ticker", "ts_ms", F.when(F.col("_mode") == 1, "ACTIVE").otherwise("QUIET").alias("state"))
 
 
 def model_gate(scored: DataFrame, rule: Rule, prediction: str = "prediction") -> DataFrame:

@@ -1,8 +1,8 @@
 """Exits and returns of signals.
 
-Every simulation starts from the same path: an entry's trades up to its session end, found by an
-interval join on (ticker, hour) and ordered once per entry. A path is at most one ticker's session, and
-any number of strategies is evaluated over it as columns.
+First-hit exits and excursions come from bucket summaries (`passage`): only the ticks of the bucket that first crosses a level are
+looked at. Scaled exits walk the whole path of an entry, numbered bucket by bucket. Any number of strategies is
+evaluated as columns.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapewright.functions.numeric import ratio
-from tapewright.functions.timewin import UNB, interval_join
+from tapewright.functions.numeric import floor_div, ratio
+from tapewright.functions.ranks import attach_scalars, exact_quantiles
+from tapewright.functions.timewin import carried, interval_join
 from tapewright.operators.joins import close_at, nearest
+from tapewright.operators.passage import first_hits, span_stats
 
 HOUR = 3_600_000
 
@@ -47,15 +49,15 @@ SWEEP = (
 
 
 def price_path(entries: DataFrame, trades: DataFrame, include_entry: bool = False, bucket_ms: int = HOUR) -> DataFrame:
-    """Trades of each entry in (entry, session end] ([entry, ... with `include_entry`), with running extremes."""
+    """Trades of each entry in (entry, session end] ([entry, ... with `include_entry`), with running extremes.
+
+    Rows are ordered inside the time buckets of an entry; a bucket's number of rows and extremes are carried to the next ones.
+    """
     t = trades.select("ticker", "ts_ms", "seq", F.col("price").alias("px"), F.col("size").alias("sz"))
     j = interval_join(entries, t, ["ticker"], "entry_ms", "session_end_ms", "ts_ms", include_start=include_entry, bucket_ms=bucket_ms, how="inner")
-    w = Window.partitionBy("entry_id").orderBy("ts_ms", "seq")
-    return (
-        j.withColumn("step", F.row_number().over(w))
-        .withColumn("peak", F.max("px").over(w.rowsBetween(UNB, 0)))
-        .withColumn("trough", F.min("px").over(w.rowsBetween(UNB, 0)))
-    )
+    j = j.withColumn("_b", floor_div("ts_ms", bucket_ms))
+    columns = {"step": F.count(F.lit(1)), "peak": F.max("px"), "trough": F.min("px")}
+    return carried(j, ["entry_id"], ["ts_ms", "seq"], columns, {"step": F.sum, "peak": F.max, "trough": F.min}).drop("_b")
 
 
 def _reason(s: Strategy, tp: Column | None = None) -> Column:
@@ -73,23 +75,15 @@ def _reason(s: Strategy, tp: Column | None = None) -> Column:
     return out
 
 
-def simulate(path: DataFrame, strategies: Sequence[Strategy], ids: Sequence[str] = (), tp: Column | None = None) -> DataFrame:
-    """One row per (entry, strategy): first exit hit, PnL, best and worst excursion until the exit, duration.
+_KEEP = ["entry_id", "ticker", "entry_ms", "entry_price", "session_end_ms"]
 
-    All strategies are aggregated in one pass per entry; only the reduced rows are multiplied by them.
-    `tp` replaces the strategies' take-profit by a per-row column.
-    """
-    keep = ["entry_id", "ticker", "entry_ms", "entry_price", "session_end_ms", *ids]
-    row = F.struct("step", "ts_ms", "px", "peak", "trough")
-    aggs = []
-    for i, s in enumerate(strategies):
-        r = _reason(s, tp)
-        aggs.append(F.min(F.when(r.isNotNull(), F.struct(F.col("step"), F.col("ts_ms"), F.col("px"), F.col("peak"), F.col("trough"), r.alias("reason")))).alias(f"_x{i}"))
-    one = path.groupBy(*keep).agg(F.max(row).alias("_end"), *aggs)
+
+def _results(one: DataFrame, strategies: Sequence[Strategy], keep: Sequence[str]) -> DataFrame:
+    """One row per (entry, strategy) from the first hits `_x<i>` and the last row `_end` of each entry."""
     options = []
     for i, s in enumerate(strategies):
         hit, end = F.col(f"_x{i}"), F.col("_end")
-        pick = lambda f: F.coalesce(hit[f], end[f])
+        pick = lambda f: F.coalesce(hit[f], end[f])  # noqa: B023, E731
         options.append(
             F.struct(
                 F.lit(s.name).alias("strategy"),
@@ -101,7 +95,7 @@ def simulate(path: DataFrame, strategies: Sequence[Strategy], ids: Sequence[str]
             )
         )
     out = one.select(*keep, F.inline(F.array(*options)))
-    pct = lambda c: (F.col(c) - F.col("entry_price")) / F.col("entry_price") * 100
+    pct = lambda c: (F.col(c) - F.col("entry_price")) / F.col("entry_price") * 100
     return out.select(
         *keep, "strategy", "exit_ms", "exit_price", "exit_reason",
         pct("exit_price").alias("pnl_pct"), pct("_peak").alias("mfe_pct"), pct("_trough").alias("mae_pct"),
@@ -109,6 +103,45 @@ def simulate(path: DataFrame, strategies: Sequence[Strategy], ids: Sequence[str]
     )
 
 
+def simulate(path: DataFrame, strategies: Sequence[Strategy], ids: Sequence[str] = (), tp: Column | None = None) -> DataFrame:
+    """`simulate_entries` over a path that is there already."""
+    keep = [*_KEEP, *ids]
+    aggs = []
+    for i, s in enumerate(strategies):
+        r = _reason(s, tp)
+        aggs.append(F.min(F.when(r.isNotNull(), F.struct("step", "ts_ms", "px", "peak", "trough", r.alias("reason")))).alias(f"_x{i}"))
+    one = path.groupBy(*keep).agg(F.max(F.struct("step", "ts_ms", "px", "peak", "trough")).alias("_end"), *aggs)
+    return _results(one, strategies, keep)
+
+
+def _crossed(s: Strategy, falls: Sequence[float], tp: Column | None = None) -> Column:
+    """Whether a bucket holds a row on which the strategy exits (see `passage.first_hits`)."""
+    ep, out = F.col("entry_price"), F.lit(False)
+    take = tp if tp is not None else (F.lit(s.tp) if s.tp is not None else None)
+    if s.sl is not None:
+        out = out | (F.col("lo") <= ep * (1 - s.sl / 100))
+    if take is not None:
+        out = out | (F.col("hi") >= ep * (1 + take / 100))
+    if s.trail is not None:
+        # Below the highest price before the bucket, or below a higher one inside it.
+        out = out | (F.col("lo") <= F.greatest("peak_in", "entry_price") * (1 - s.trail / 100)) | F.col(f"fall{falls.index(s.trail)}")
+    if s.time_min is not None:
+        out = out | (F.col("last_ms") >= F.col("entry_ms") + int(s.time_min * 60_000))
+    return out
+
+
+def simulate_entries(entries: DataFrame, trades: DataFrame, strategies: Sequence[Strategy], ids: Sequence[str] = (), tp: Column | None = None) -> DataFrame:
+    """One row per (entry, strategy): first exit hit, PnL, best and worst excursion until the exit, duration.
+
+    All strategies share one pass over the bucket summaries and one over the ticks of the buckets in which some strategy exits.
+    `tp` replaces the strategies' take-profit by a column of the entries. Entries without trades have no row.
+    """
+    keep = [*_KEEP, *ids]
+    falls = sorted({s.trail for s in strategies if s.trail is not None})
+    one = first_hits(entries, trades, keep, [_crossed(s, falls, tp) for s in strategies], [_reason(s, tp) for s in strategies], falls)
+    return _results(one, strategies, keep)
+
+
 def strategy_report(results: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
     """Win rate, mean win and loss, expectancy, mean excursion and duration per strategy."""
     win, pnl = F.col("pnl_pct") > 0, F.col("pnl_pct")
@@ -128,24 +161,19 @@ def best_strategies(reports: DataFrame, n: int = 5) -> DataFrame:
     return reports.orderBy(F.desc("expectancy_pct"), "strategy").limit(n)
 
 
-def excursions(path: DataFrame) -> DataFrame:
-    """Best, worst and closing return of each entry over its whole path."""
-    pct = lambda c: (c - F.col("entry_price")) / F.col("entry_price") * 100
-    return path.groupBy("entry_id", "ticker", "entry_price").agg(
-        F.max("px").alias("_hi"), F.min("px").alias("_lo"), F.max(F.struct("step", "px"))["px"].alias("_last")
-    ).select("entry_id", "ticker", "entry_price", pct(F.col("_hi")).alias("mfe_pct"), pct(F.col("_lo")).alias("mae_pct"), pct(F.col("_last")).alias("close_pct"))
+def excursions(entries: DataFrame, trades: DataFrame) -> DataFrame:
+    """Best, worst and closing return of each entry over its whole session."""
+    pct = lambda c: (F.col(c) - F.col("entry_price")) / F.col("entry_price") * 100
+    out = entries.select("entry_id", "ticker", "entry_price").join(span_stats(entries, trades), "entry_id")
+    return out.select("entry_id", "ticker", "entry_price", pct("hi").alias("mfe_pct"), pct("lo").alias("mae_pct"), pct("last_px").alias("close_pct"))
 
 
 def excursion_summary(exc: DataFrame) -> DataFrame:
     hit = lambda x: F.count(F.when(F.col("mfe_pct") >= x, 1)).alias(f"hit_{x}pct")
-    return exc.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("mfe_pct").alias("mean_mfe"),
-        F.percentile("mfe_pct", 0.5).alias("median_mfe"),
-        F.avg("close_pct").alias("mean_close"),
-        F.percentile("close_pct", 0.5).alias("median_close"),
-        hit(5), hit(10), hit(15),
-    )
+    out = exc.agg(F.count(F.lit(1)).alias("n"), F.avg("mfe_pct").alias("mean_mfe"), F.avg("close_pct").alias("mean_close"), hit(5), hit(10), hit(15))
+    out = attach_scalars(out, exact_quantiles(exc, "mfe_pct", {"median_mfe": 0.5}))
+    out = attach_scalars(out, exact_quantiles(exc, "close_pct", {"median_close": 0.5}))
+    return out.select("n", "mean_mfe", "median_mfe", "mean_close", "median_close", "hit_5pct", "hit_10pct", "hit_15pct")
 
 
 @dataclass(frozen=True)
@@ -174,32 +202,36 @@ def partial_exits(path: DataFrame, config: PartialExits, ids: Sequence[str] = ()
 
     Stop loss is checked before the trailing stop, that before the take-profit steps, and the holding
     limit last, so a step still sells on the row of the holding limit but not on that of a stop. Each
-    event is reduced to the number of its first row; the weights follow from comparing those numbers.
+    event is reduced to the number of its first row by an aggregation; the weights follow from comparing those numbers.
     """
     never = 2**62
     gain = (F.col("px") - F.col("entry_price")) / F.col("entry_price") * 100
+    held = (F.col("ts_ms") - F.col("entry_ms")) / 60000.0
     p = path.withColumn("gain", gain)
-    whole = Window.partitionBy("entry_id")
-    first = lambda cond: F.min(F.when(cond, F.col("step")))
-    for i, (at, _) in enumerate(config.steps):
-        p = p.withColumn(f"_f{i}", first(F.col("gain") >= at).over(whole))
+    first = lambda cond: F.min(F.when(cond, F.col("step")))
+    firsts = {f"_f{i}": first(F.col("gain") >= at) for i, (at, _) in enumerate(config.steps)} | {"_stop": first(F.col("gain") <= -config.stop_loss)}
+    if config.max_hold_min > 0:
+        firsts["_time"] = first(held >= config.max_hold_min)
     trailing = config.trail_trigger > 0 and config.trail > 0 and bool(config.steps)
     if trailing:
         # Trailing starts at the first row on which a step sells at or above the trigger.
-        sells = F.lit(False)
-        for i in range(len(config.steps)):
-            sells = sells | (F.col("step") == F.col(f"_f{i}"))
-        p = p.withColumn("_a", first(sells & (F.col("gain") >= config.trail_trigger)).over(whole))
-        w = whole.orderBy("step").rowsBetween(UNB, 0)
-        p = p.withColumn("_high", F.max(F.when(F.col("step") >= F.col("_a"), F.col("px"))).over(w))
+        for i, (at, _) in enumerate(config.steps):
+            firsts[f"_g{i}"] = F.min_by("gain", F.when(F.col("gain") >= at, F.col("step")))
+    marks = p.groupBy("entry_id").agg(*[c.alias(n) for n, c in firsts.items()])
+    if config.max_hold_min <= 0:
+        marks = marks.withColumn("_time", F.lit(None).cast("long"))
+    if trailing:
+        starts = [F.when(F.col(f"_g{i}") >= config.trail_trigger, F.col(f"_f{i}")) for i in range(len(config.steps))]
+        marks = marks.withColumn("_a", F.least(*starts) if len(starts) > 1 else starts[0])
+        since = p.join(marks.select("entry_id", "_a"), "entry_id").filter(F.col("step") >= F.col("_a")).withColumn("_b", floor_div("ts_ms", HOUR))
+        since = carried(since, ["entry_id"], ["step"], {"_high": F.max("px")}, {"_high": F.max})
         floor = (F.col("_high") - F.col("entry_price")) / F.col("entry_price") * 100 - config.trail
-        trail_hit = (F.col("step") > F.col("_a")) & (F.col("gain") <= floor)
+        hit = since.filter((F.col("step") > F.col("_a")) & (F.col("gain") <= floor)).groupBy("entry_id").agg(F.min("step").alias("_trail"))
+        marks = marks.join(hit, "entry_id", "left")
+    else:
+        marks = marks.withColumn("_trail", F.lit(None).cast("long"))
     keep = ["entry_id", "ticker", "entry_ms", "entry_price", *ids]
-    at_first = lambda cond: F.min(F.when(cond, F.struct("step", "ts_ms", "gain", "px")))
-    held = (F.col("ts_ms") - F.col("entry_ms")) / 60000.0
-    p = p.withColumn("_stop", first(F.col("gain") <= -config.stop_loss).over(whole))
-    p = p.withColumn("_trail", first(trail_hit).over(whole) if trailing else F.lit(None).cast("int"))
-    p = p.withColumn("_time", first(held >= config.max_hold_min).over(whole) if config.max_hold_min > 0 else F.lit(None).cast("int"))
+    p = p.join(marks, "entry_id")
     big = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(never))
     cut = F.least(big("_stop"), big("_trail"))
     sold = F.lit(0.0)
@@ -256,22 +288,16 @@ def partial_exits(path: DataFrame, config: PartialExits, ids: Sequence[str] = ()
     )
 
 
-def simulate_holds(path: DataFrame, hold_min: float = 5.0, stop_loss: float = -1.0, take_profit: float = 2.0) -> DataFrame:
-    """Simple hold / stop / target over a path already cut at the hold; an expired hold exits at its last trade."""
-    ret = (F.col("px") - F.col("entry_price")) / F.col("entry_price") * 100
-    reason = F.when(ret <= stop_loss, "stop_loss").when(ret >= take_profit, "take_profit")
-    one = path.groupBy("entry_id", "ticker", "entry_ms", "entry_price").agg(
-        F.min(F.when(reason.isNotNull(), F.struct(F.col("step"), F.col("ts_ms"), F.col("px"), reason.alias("reason")))).alias("_x"),
-        F.max(F.struct("step", "ts_ms", "px")).alias("_end"),
-    )
+def simulate_holds(entries: DataFrame, trades: DataFrame, stop_loss: float = -1.0, take_profit: float = 2.0) -> DataFrame:
+    """Simple hold / stop / target up to `session_end_ms`, the end of the hold; an expired hold exits at its last trade."""
+    ret = lambda c: (F.col(c) - F.col("entry_price")) / F.col("entry_price") * 100
+    reason = F.when(ret("px") <= stop_loss, "stop_loss").when(ret("px") >= take_profit, "take_profit")
+    keep = ["entry_id", "ticker", "entry_ms", "entry_price"]
+    one = first_hits(entries, trades, keep, [(ret("lo") <= stop_loss) | (ret("hi") >= take_profit)], [reason])
     out = one.select(
-        "entry_id", "ticker", "entry_ms", "entry_price",
-        F.coalesce("_x.ts_ms", "_end.ts_ms").alias("exit_ms"), F.coalesce("_x.px", "_end.px").alias("exit_price"),
-        F.coalesce("_x.reason", F.lit("hold_expired")).alias("exit_reason"),
-    )
-    return out.withColumn("return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * 100).withColumn(
-        "hold_minutes", (F.col("exit_ms") - F.col("entry_ms")) / 60000.0
+        *keep, F.coalesce("_x0.ts_ms", "_end.ts_ms").alias("exit_ms"), F.coalesce("_x0.px", "_end.px").alias("exit_price"), F.coalesce("_x0.reason", F.lit("hold_expired")).alias("exit_reason")
     )
+    return out.withColumn("return_pct", ret("exit_price")).withColumn("hold_minutes", (F.col("exit_ms") - F.col("entry_ms")) / 60000.0)
 
 
 def trade_summary(trades: DataFrame) -> DataFrame:
@@ -321,13 +347,15 @@ def outcomes(obs: DataFrame, trades: DataFrame, horizons_ms: dict[str, int], key
     return out.join(best, key, "left").select(*obs.columns, tp.alias("trigger_price"), *cols)
 
 
-def continuation_labels(path: DataFrame, first: float = 5.0, target: float = 10.0) -> DataFrame:
-    """What followed the first +5 %: runner (reached +10 % afterwards), fader (fell back to entry) or drift."""
-    ep = F.col("entry_price")
-    hit = F.min(F.when(F.col("px") >= ep * (1 + first / 100), F.struct("step", "ts_ms", "px"))).over(Window.partitionBy("entry_id"))
-    p = path.withColumn("_h", hit).filter(F.col("_h").isNotNull() & (F.col("ts_ms") > F.col("_h.ts_ms")))
-    any_ = lambda cond: F.max(F.when(cond, 1).otherwise(0)) == 1
-    out = p.groupBy("entry_id", "ticker", "entry_ms", "entry_price", F.col("_h.ts_ms").alias("hit_ms"), F.col("_h.px").alias("hit_price")).agg(
-        any_(F.col("px") >= ep * (1 + target / 100)).alias("_run"), any_(F.col("px") <= ep).alias("_fade")
-    )
-    return out.withColumn("label", F.when(F.col("_run"), "runner").when(F.col("_fade"), "fader").otherwise("drift")).drop("_run", "_fade")
+def continuation_labels(entries: DataFrame, trades: DataFrame, first: float = 5.0, target: float = 10.0) -> DataFrame:
+    """What followed the first +5 %: runner (reached +10 % afterwards), fader (fell back to entry) or drift.
+
+    The first hit is a passage; what follows is the span from it to the end of the session.
+    """
+    up = lambda c: F.col(c) >= F.col("entry_price") * (1 + first / 100)
+    keep = ["entry_id", "ticker", "entry_ms", "entry_price", "session_end_ms"]
+    hit = first_hits(entries, trades, keep, [up("hi")], [F.when(up("px"), "up")]).filter(F.col("_x0").isNotNull())
+    hit = hit.select(*keep, F.col("_x0.ts_ms").alias("hit_ms"), F.col("_x0.px").alias("hit_price"))
+    after = span_stats(hit.select("entry_id", "ticker", F.col("hit_ms").alias("entry_ms"), "session_end_ms"), trades)
+    label = F.when(F.col("hi") >= F.col("entry_price") * (1 + target / 100), "runner").when(F.col("lo") <= F.col("entry_price"), "fader").otherwise("drift")
+    return hit.join(after, "entry_id").select("entry_id", "ticker", "entry_ms", "entry_price", "hit_ms", "hit_price", label.alias("label"))

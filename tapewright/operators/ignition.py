@@ -1,15 +1,16 @@
 """Ignition detectors and activity features over the price path of each entry.
 
-A path is one ticker's trades from an entry to its session end, so windows partitioned by entry are
-bounded by a session. `minute_ms` is the detectors' time unit.
+A path is one ticker's trades from an entry to its session end. Windows over its trades are cut into time buckets; only
+minutes are ordered by entry. `minute_ms` is the detectors' time unit.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapewright.functions.numeric import ratio
-from tapewright.functions.timewin import UNB, asof_join, interval_join, range_windows
+from tapewright.functions.numeric import floor_div, ratio
+from tapewright.functions.timewin import UNB, asof_join, interval_join, lagged, range_windows
+from tapewright.operators.passage import span_stats
 from tapewright.operators.ticks import spread_bps, valid_quote
 
 MINUTE = 60_000
@@ -23,17 +24,16 @@ def _first(rows: DataFrame, ms: str | Column, price: str | Column, method: str)
 
 def volume_expansion(path: DataFrame, ratio_min: float = 3.0, min_history: float = 100.0, minute_ms: int = MINUTE) -> DataFrame:
     """First trade whose last minute's volume exceeds `ratio_min` times the per-minute mean of the five before."""
-    w = Window.partitionBy("entry_id").orderBy("ts_ms")
-    p = path.withColumn("_v1", F.sum("sz").over(w.rangeBetween(-minute_ms, 0)))
-    p = p.withColumn("_v5", F.sum("sz").over(w.rangeBetween(-6 * minute_ms, -minute_ms - 1)))
+    recent, older = (-minute_ms, 0), (-6 * minute_ms, -minute_ms - 1)
+    sums = {n: (lambda w, f=f: F.sum("sz").over(w.rangeBetween(*f))) for n, f in (("_v1", recent), ("_v5", older))}
+    p = range_windows(path, ["entry_id"], "ts_ms", sums, 6 * minute_ms)
     ok = (F.col("ts_ms") >= F.col("entry_ms") + 6 * minute_ms) & (F.col("_v5") >= min_history) & (F.col("_v1") / (F.col("_v5") / 5.0) > ratio_min)
     return _first(p.filter(ok), "ts_ms", "px", "vol_exp")
 
 
 def range_breakout(path: DataFrame, minute_ms: int = MINUTE) -> DataFrame:
     """First trade above the highest price of the ten minutes before it."""
-    w = Window.partitionBy("entry_id").orderBy("ts_ms")
-    p = path.withColumn("_m", F.max("px").over(w.rangeBetween(-10 * minute_ms, -1)))
+    p = range_windows(path, ["entry_id"], "ts_ms", {"_m": lambda w: F.max("px").over(w.rangeBetween(-10 * minute_ms, -1))}, 10 * minute_ms)
     return _first(p.filter((F.col("ts_ms") >= F.col("entry_ms") + 10 * minute_ms) & (F.col("px") > F.col("_m"))), "ts_ms", "px", "range_breakout")
 
 
@@ -94,11 +94,12 @@ def ignition_table(hits: DataFrame) -> DataFrame:
 
 def trade_intensity(path: DataFrame, minute_ms: int = MINUTE) -> DataFrame:
     """Liquidity and momentum features of each entry's path."""
-    w = Window.partitionBy("entry_id").orderBy("step")
-    whole = Window.partitionBy("entry_id")
-    p = path.withColumn("_gap", (F.col("ts_ms") - F.lag("ts_ms").over(w)) / 1000.0)
-    p = p.withColumn("_up", F.when(F.lag("px").over(w).isNotNull(), F.when(F.col("px") >= F.lag("px").over(w), 1.0).otherwise(0.0)))
-    p = p.withColumn("_q75", F.percentile("sz", 0.75).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
+    p = lagged(path.withColumn("_b", floor_div("ts_ms", 60 * MINUTE)), ["entry_id"], ["step"], {"_pt": "ts_ms", "_pp": "px"})
+    p = p.withColumn("_gap", (F.col("ts_ms") - F.col("_pt")) / 1000.0)
+    p = p.withColumn("_up", F.when(F.col("_pp").isNotNull(), F.when(F.col("px") >= F.col("_pp"), 1.0).otherwise(0.0)))
+    # Sizes and gaps repeat: the exact percentiles are aggregates over distinct values with counts, combined on the map side.
+    marks = path.groupBy("entry_id").agg(F.percentile("sz", 0.75).alias("_q75"), F.count(F.lit(1)).alias("_n"))
+    p = p.join(marks, "entry_id")
     early = F.col("ts_ms") <= F.col("entry_ms") + 5 * minute_ms
     big = F.col("sz") >= F.col("_q75")
     span = (F.col("session_end_ms") - F.col("entry_ms")) / 1000.0
@@ -162,7 +163,7 @@ def factor_snapshot(factors: DataFrame, points: DataFrame, names: list[str], ts:
     return asof_join(points, filled, ["ticker"], ts, "_ft", [f"{prefix}{n}" for n in names]).drop("_ft")
 
 
-def two_anchor(entries: DataFrame, path: DataFrame, hits: DataFrame, trades: DataFrame, timeout_ms: int = 1_800_000, minute_ms: int = MINUTE) -> DataFrame:
+def two_anchor(entries: DataFrame, hits: DataFrame, trades: DataFrame, timeout_ms: int = 1_800_000, minute_ms: int = MINUTE) -> DataFrame:
     """Accept every entry, wait for ignition (spread collapse first, else volume expansion), else exit as a zombie.
 
     An ignited entry is held from the ignition price to the last trade of its session; a zombie leaves at
@@ -173,16 +174,18 @@ def two_anchor(entries: DataFrame, path: DataFrame, hits: DataFrame, trades: Dat
     ig = in_time.groupBy("entry_id").agg(F.min(F.struct(order.alias("o"), "method", "ms", "price")).alias("_g")).select(
         "entry_id", F.col("_g.method").alias("ignition_method"), F.col("_g.ms").alias("ignition_ms"), F.col("_g.price").alias("ignition_price")
     )
-    p = path.join(ig, "entry_id", "left")
-    after = F.col("ts_ms") > F.col("ignition_ms")
-    before_deadline = F.col("ts_ms") <= F.col("entry_ms") + timeout_ms
-    last = lambda c: F.max(F.when(c, F.struct("step", "px")))["px"]
-    g = p.groupBy("entry_id").agg(
-        F.max("px").alias("_peak"), last(after).alias("_ig_last"), F.max(F.when(after, F.col("px"))).alias("_ig_peak"), last(before_deadline).alias("_z")
-    )
+    # Three spans of each entry: its session, what follows the ignition, and what comes before the deadline.
+    e = entries.select("entry_id", "ticker", "entry_ms", "session_end_ms")
+    whole = span_stats(e, trades).select("entry_id", F.col("hi").alias("_peak"))
+    lit = e.join(ig, "entry_id").withColumn("entry_ms", F.greatest("entry_ms", "ignition_ms"))
+    after = span_stats(lit, trades).select("entry_id", F.col("last_px").alias("_ig_last"), F.col("hi").alias("_ig_peak"))
+    early = e.withColumn("session_end_ms", F.least("session_end_ms", F.col("entry_ms") + timeout_ms))
+    zombie = span_stats(early, trades).select("entry_id", F.col("last_px").alias("_z"))
     five = window_stats(ig.join(entries.select("entry_id", "ticker"), "entry_id").withColumnRenamed("ignition_ms", "anchor_ms"), trades, after_ms=5 * minute_ms)
     five = five.select("entry_id", F.col("trade_count").alias("ig_trades_5min"), F.col("dollar_vol").alias("ig_dollar_vol_5min"))
-    out = entries.join(ig, "entry_id", "left").join(g, "entry_id", "left").join(five, "entry_id", "left")
+    out = entries.join(ig, "entry_id", "left")
+    for part in (whole, after, zombie, five):
+        out = out.join(part, "entry_id", "left")
     ep, ip = F.col("entry_price"), F.col("ignition_price")
     lit = F.col("ignition_ms").isNotNull()
     zombie_px = F.coalesce("_z", ep)

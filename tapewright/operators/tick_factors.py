@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from tapewright.functions.folds import thin_by_interval
 from tapewright.functions.numeric import floor_div, floor_to, ratio
 from tapewright.functions.timewin import asof_join, interval_join, range_windows
 from tapewright.operators.ticks import spread_bps, valid_quote
@@ -165,6 +166,47 @@ def quote_factors(
     return out.select("ticker", "ts_ms", *[makers[n]().alias(n) for n in names])
 
 
+def arrival_quote_factors(
+    quotes: DataFrame,
+    every_ms: int = 1_000,
+    spread_ms: int = 5_000,
+    imbalance_ms: int = 5_000,
+    rate_ms: int = 10_000,
+    min_quotes: int = 10,
+    names: tuple[str, ...] = ("bid_ask_spread", "order_imbalance", "quote_rate"),
+) -> DataFrame:
+    """(ticker, ts_ms, seq, factor, value): each factor on the arrival of a quote, at least `every_ms` after its last value.
+
+    The spread is thrown by valid quotes and is their mean in basis points over [t - window, t]; the size imbalance (0 without
+    sizes) and the rate (null below `min_quotes`) are thrown by all quotes. Quotes of one millisecond count together.
+    """
+    spans = {"bid_ask_spread": spread_ms, "order_imbalance": imbalance_ms, "quote_rate": rate_ms}
+    bps = F.when(valid_quote(), spread_bps())
+    total = F.col("_bid_w") + F.col("_ask_w")
+    sums = {
+        "bid_ask_spread": {"_bps_w": lambda w: F.avg("_bps").over(_back(w, spread_ms))},
+        "order_imbalance": {f"_{s}_w": (lambda w, s=s: F.sum(f"{s}_size").over(_back(w, imbalance_ms))) for s in ("bid", "ask")},
+        "quote_rate": {"_n_w": lambda w: F.count(F.lit(1)).over(_back(w, rate_ms))},
+    }
+    values = {
+        "bid_ask_spread": lambda: F.col("_bps_w"),
+        "order_imbalance": lambda: F.coalesce(ratio(F.col("_bid_w") - F.col("_ask_w"), total), F.lit(0.0)),
+        "quote_rate": lambda: F.when(F.col("_n_w") >= min_quotes, F.col("_n_w") / (rate_ms / 1000.0)),
+    }
+    rows = quotes.select("ticker", "ts_ms", "seq", "bid_size", "ask_size", bps.alias("_bps"))
+    rolled = range_windows(rows, ["ticker"], "ts_ms", {k: f for n in names for k, f in sums[n].items()}, max(spans[n] for n in names))
+    out = None
+    # Spreads keep a beat of their own, since an invalid quote throws none; the other factors share one.
+    for part, fit in ((["bid_ask_spread"], F.col("_bps").isNotNull()), (["order_imbalance", "quote_rate"], F.lit(True))):
+        part = [n for n in part if n in names]
+        if part:
+            named = F.array(*[F.struct(F.lit(n).alias("factor"), values[n]().alias("value")) for n in part])
+            beat = thin_by_interval(rolled.filter(fit).select("ticker", "ts_ms", "seq", named.alias("_f")), ["ticker"], "ts_ms", every_ms, ["seq"])
+            beat = beat.select("ticker", "ts_ms", "seq", F.inline("_f"))
+            out = beat if out is None else out.unionByName(beat)
+    return out
+
+
 def rolling_at_ticks(
     ticks: DataFrame, exprs: dict, window_ms: int, keep_cols: list[str] | None = None
 ) -> DataFrame:

@@ -175,21 +175,24 @@ fragment(
 )
 
 
-@query(
-    "E8_activity_states",
-    f"""SELECT ticker, ts_ms, state FROM (
+STATES_SQL = f"""SELECT ticker, ts_ms, state FROM (
       WITH RECURSIVE st AS (SELECT ticker, CAST(0 AS BIGINT) AS i, 'QUIET' AS state, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS ts_ms, FALSE AS moved FROM activity_points WHERE i = 1
         UNION ALL SELECT ticker, i, CASE WHEN up THEN 'ACTIVE' WHEN down THEN 'QUIET' ELSE state END, CASE WHEN up OR down THEN ts_ms ELSE since END, ts_ms, up OR down FROM (
           SELECT p.ticker, p.i, p.ts_ms, s.state, s.since, s.state = 'QUIET' AND p.active AS up, s.state = 'ACTIVE' AND NOT p.active AND p.ts_ms - s.since >= {2 * HOUR} AS down
           FROM st s JOIN activity_points p ON p.ticker = s.ticker AND p.i = s.i + 1))
-      SELECT * FROM st WHERE moved)""",
-)
-def _(t):
-    # z of the hourly trade rate against its last 20 points; acceleration is the change of the rate.
+      SELECT * FROM st WHERE moved)"""
+
+
+def activity_points(t):
+    """z of the hourly trade rate against its last 20 points; acceleration is the change of the rate."""
     f = event_table(t).filter("trade_rate IS NOT NULL")
     w = Window.partitionBy("ticker").orderBy("ts_ms")
-    z = T.z_score(f, "trade_rate", 20, order="ts_ms").withColumn("accel", F.col("trade_rate") - F.lag("trade_rate").over(w))
-    return E.activity_states(z, 1.0, 2 * HOUR)
+    return T.z_score(f, "trade_rate", 20, order="ts_ms").withColumn("accel", F.col("trade_rate") - F.lag("trade_rate").over(w))
+
+
+@query("E8_activity_states", STATES_SQL)
+def _(t):
+    return E.activity_states(activity_points(t), 1.0, 2 * HOUR)
 
 
 fragment("fast_signals", "SELECT ticker, ts_ms, trade_rate FROM event_table WHERE trade_rate > 2.0")

@@ -79,22 +79,22 @@ def report_sql(rows, keys="strategy"):
     "exit_price pnl_pct mfe_pct mae_pct duration_min",
 )
 def _(t):
-    return X.simulate(path(t), ONE).select("entry_id", "strategy", "exit_ms", "exit_price", "exit_reason", "pnl_pct", "mfe_pct", "mae_pct", "duration_min")
+    return X.simulate_entries(entries(t), clean(t), ONE).select("entry_id", "strategy", "exit_ms", "exit_price", "exit_reason", "pnl_pct", "mfe_pct", "mae_pct", "duration_min")
 
 
 @query("X3_strategy_report", report_sql("SELECT * FROM sim_one"), REPORT_F)
 def _(t):
-    return X.strategy_report(X.simulate(path(t), ONE))
+    return X.strategy_report(X.simulate_entries(entries(t), clean(t), ONE))
 
 
 @query("X4_strategy_sweep", "SELECT * FROM sweep_report", REPORT_F)
 def _(t):
-    return X.strategy_report(X.simulate(path(t), X.SWEEP))
+    return X.strategy_report(X.simulate_entries(entries(t), clean(t), X.SWEEP))
 
 
 @query("X4_best_strategies", "SELECT * FROM sweep_report ORDER BY expectancy_pct DESC, strategy LIMIT 5", REPORT_F)
 def _(t):
-    return X.best_strategies(X.strategy_report(X.simulate(path(t), X.SWEEP)))
+    return X.best_strategies(X.strategy_report(X.simulate_entries(entries(t), clean(t), X.SWEEP)))
 
 
 fragment(
@@ -106,7 +106,7 @@ fragment(
 
 @query("X5_excursions", "SELECT * FROM excursions", "entry_price mfe_pct mae_pct close_pct")
 def _(t):
-    return X.excursions(path(t))
+    return X.excursions(entries(t), clean(t))
 
 
 @query(
@@ -116,7 +116,7 @@ def _(t):
     "mean_mfe median_mfe mean_close median_close",
 )
 def _(t):
-    return X.excursion_summary(X.excursions(path(t)))
+    return X.excursion_summary(X.excursions(entries(t), clean(t)))
 
 
 def partial_sql(c: X.PartialExits) -> str:
@@ -259,7 +259,7 @@ def hold_trades(t):
     s = thin_by_interval(s, ["ticker"], "ts_ms", 6 * HOUR, ["signal_id"])
     e = J.entry_prices(s.withColumnRenamed("ts_ms", "entry_ms"), clean(t), fallback_ms=None)
     e = e.select(F.col("signal_id").alias("entry_id"), "ticker", "entry_ms", "entry_price", (F.col("entry_ms") + 12 * HOUR).alias("session_end_ms"))
-    return X.simulate_holds(X.price_path(e, clean(t)), 720.0, -5.0, 10.0)
+    return X.simulate_holds(e, clean(t), -5.0, 10.0)
 
 
 fragment(
@@ -301,9 +301,10 @@ fragment("sim_chosen", strategy_rows((X.Strategy(sl=15.0),), "(CASE WHEN gain_at
 
 @query("X13_chosen_target", report_sql("SELECT * REPLACE ('chosen' AS strategy) FROM sim_chosen UNION ALL SELECT * FROM sim_base"), REPORT_F)
 def _(t):
-    p = path(t)
-    chosen = X.simulate(p, (X.Strategy(sl=15.0),), tp=F.when(F.col("gain_at_entry") >= 12, 10.0).otherwise(5.0)).withColumn("strategy", F.lit("chosen"))
-    return X.strategy_report(chosen.unionByName(X.simulate(p, (X.Strategy(tp=5.0, sl=15.0), X.Strategy(tp=10.0, sl=15.0)))))
+    e, tr = entries(t), clean(t)
+    chosen = X.simulate_entries(e, tr, (X.Strategy(sl=15.0),), ("gain_at_entry",), F.when(F.col("gain_at_entry") >= 12, 10.0).otherwise(5.0)).drop("gain_at_entry")
+    base = X.simulate_entries(e, tr, (X.Strategy(tp=5.0, sl=15.0), X.Strategy(tp=10.0, sl=15.0)))
+    return X.strategy_report(chosen.withColumn("strategy", F.lit("chosen")).unionByName(base))
 
 
 fragment(
@@ -316,7 +317,7 @@ fragment(
 
 @query("X14_continuation_labels", "SELECT entry_id, hit_ms, hit_price, label FROM labels5", "hit_price")
 def _(t):
-    return X.continuation_labels(path(t)).select("entry_id", "hit_ms", "hit_price", "label")
+    return X.continuation_labels(entries(t), clean(t)).select("entry_id", "hit_ms", "hit_price", "label")
 
 
 def backtest(t, config=X.TP10_SL15):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.durable import checkpoint
 from tapewright.operators import exits as X, gates as G, ignition as I
+from tapewright.operators.passage import span_stats
 from tapewright.plans.ctes import fragment
 from tapewright.plans.q_exits import REPORT_F, entries, path, report_sql, strategy_rows
 from tapewright.plans.q_events import event_table
@@ -115,7 +116,7 @@ fragment("hit_snap", _snap_sql("labels5", "hit_ms"))
 
 @query("G12_snapshot_at_five_percent", "SELECT entry_id, label, " + ", ".join(SNAP_NAMES) + " FROM hit_snap JOIN labels5 USING (entry_id)", " ".join(SNAP_NAMES))
 def _(t):
-    pts = X.continuation_labels(path(t))
+    pts = X.continuation_labels(entries(t), clean(t))
     return I.factor_snapshot(event_table(t), pts, SNAP_NAMES, "hit_ms", HOUR, 12).select("entry_id", "label", *SNAP_NAMES)
 
 
@@ -170,7 +171,7 @@ def gated(t):
 
 
 def tp5(t, strategies=(X.Strategy(tp=5.0),)):
-    return X.simulate(path(t), strategies)
+    return X.simulate_entries(entries(t), clean(t), strategies)
 
 
 @query("G8_gates", "SELECT entry_id, reject_layer, reject_reason, fail_mask FROM gated")
@@ -350,9 +351,9 @@ fragment(
     "entry_to_peak_pct final_pnl_pct ignition_to_peak_pct ig_dollar_vol_5min",
 )
 def _(t):
-    p, e = path(t), entries(t)
-    hits = I.volume_expansion(p, minute_ms=M).unionByName(I.spread_collapse(e, t.quotes(), 40.0))
-    return I.two_anchor(e, p, hits, clean(t), 8 * M, M)
+    e = entries(t)
+    hits = I.volume_expansion(path(t), minute_ms=M).unionByName(I.spread_collapse(e, t.quotes(), 40.0))
+    return I.two_anchor(e, hits, clean(t), 8 * M, M)
 
 
 @query(
@@ -365,11 +366,12 @@ def _(t):
     "float_shares max_gap_sec entry_to_peak_pct mae_pct close_pct p1 p4",
 )
 def _(t):
-    p = path(t)
-    hits = I.ignition_table(I.detect_all(p, entries(t), t.quotes(), M, 40.0))
-    gain = (F.col("px") - F.col("entry_price")) / F.col("entry_price") * 100
-    peaks = p.groupBy("entry_id").agg(*[F.max(F.when(F.col("ts_ms") <= F.col("entry_ms") + k * 2 * M, gain)).alias(f"p{k}") for k in (1, 4)])
-    c = contexts(t).join(X.excursions(p).select("entry_id", "mae_pct", "close_pct"), "entry_id").join(peaks, "entry_id").join(hits, "entry_id", "left")
+    e, tr = entries(t), clean(t)
+    hits = I.ignition_table(I.detect_all(path(t), e, t.quotes(), M, 40.0))
+    c = contexts(t).join(X.excursions(e, tr).select("entry_id", "mae_pct", "close_pct"), "entry_id").join(hits, "entry_id", "left")
+    for k in (1, 4):
+        early = span_stats(e.withColumn("session_end_ms", F.least("session_end_ms", F.col("entry_ms") + k * 2 * M)), tr)
+        c = c.join(early.select("entry_id", F.col("hi").alias(f"_hi{k}")), "entry_id", "left").withColumn(f"p{k}", (F.col(f"_hi{k}") - F.col("entry_price")) / F.col("entry_price") * 100)
     return c.select(
         "entry_id", "date", "country", "sector", "float_shares", "n_fwd_trades", "max_gap_sec", "entry_to_peak_pct", "mae_pct", "close_pct", "p1", "p4",
         *[(F.col(f"{m}_ms") - F.col("entry_ms")).alias(f"{m}_delay_ms") for m in I.METHODS],

@@ -6,8 +6,9 @@ from tapewright.operators import exits as X, stats as R
 from tapewright.plans.ctes import fragment
 from tapewright.functions.rules import any_of
 from tapewright.plans.q_events import ANTI, ANTI_SQL, ENTRY, TIMEOUT, WATCH, _stage_sql, candidates, event_table, staged
-from tapewright.plans.q_exits import H9, PARTIALS, outcome_table, path, union_partials
+from tapewright.plans.q_exits import H9, PARTIALS, entries, outcome_table, path, union_partials
 from tapewright.plans.q_gates import SNAP_NAMES, entry_snapshot
+from tapewright.plans.q_ticks import clean
 from tapewright.plans.registry import query
 from tapewright.operators import events as E, research as Q, ticks as K
 
@@ -380,7 +381,7 @@ def _(t):
     "mean_close",
 )
 def _(t):
-    return Q.mfe_histogram(X.excursions(path(t)))
+    return Q.mfe_histogram(X.excursions(entries(t), clean(t)))
 
 
 HOURS = (2, 4, 8)

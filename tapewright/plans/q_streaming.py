@@ -6,7 +6,7 @@ from tapewright.functions import session as S
 from tapewright.operators import bars as A, ticks as K
 from tapewright.plans.ctes import bars_sql, fragment
 from tapewright.plans.q_bars import FACTOR_SQL, hour_bars
-from tapewright.plans.q_events import ENTRY, event_table, news as catalyst_news
+from tapewright.plans.q_events import ENTRY, STATES_SQL, activity_points, event_table, news as catalyst_news
 from tapewright.plans.q_news import DEDUP_SQL, news
 from tapewright.plans.q_snapshots import snap, windows
 from tapewright.plans.registry import query
@@ -156,6 +156,15 @@ def _(t):
     return t.spark.read.parquet(f"{path}/data")
 
 
+@query("W10_live_activity_states", STATES_SQL)
+def _(t):
+    # The factors arrive in two stages; the state of each ticker lasts from one to the next.
+    z = activity_points(t).select("ticker", "ts_ms", "z", "accel")
+    path = work_dir(t.spark)
+    in_stages(t.spark, [z.filter(F.col("ts_ms") <= CUT), z.filter(F.col("ts_ms") > CUT)], path, lambda live: append_files(GX.activity_stream(live, 1.0, 2 * H), path))
+    return t.spark.read.parquet(f"{path}/data")
+
+
 @query("W11_news_dedup_stream", DEDUP_SQL)
 def _(t):
     # Three stages in the order of arrival; together they keep what one pass over all articles keeps.

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tapewright.functions.folds import thin_by_interval
 from tapewright.operators import bar_factors as B, tick_factors as T, ticks as K
 from tapewright.operators.joins import factor_timeseries
 from tapewright.plans.ctes import fragment
@@ -89,9 +88,44 @@ for _id, _f in (("T4", "bid_ask_spread"), ("T5", "order_imbalance"), ("T6", "quo
     "bid_ask_spread",
 )
 def _(t):
-    q = t.quotes().filter(K.valid_quote()).withColumn("_bps", K.spread_bps())
-    avg = T.rolling_at_ticks(q, {"bid_ask_spread": lambda w: F.avg("_bps").over(w)}, SPREAD_WIN)
-    return thin_by_interval(avg.select("ticker", "seq", "ts_ms", "bid_ask_spread"), ["ticker"], "ts_ms", GRID, ["seq"])
+    f = T.arrival_quote_factors(t.quotes(), GRID, SPREAD_WIN, names=("bid_ask_spread",))
+    return f.select("ticker", "seq", "ts_ms", F.col("value").alias("bid_ask_spread"))
+
+
+def _arrivals_sql(factor: str, value: str, window: int) -> str:
+    """SQL of a factor thrown by any quote at least GRID after the last one."""
+    return f"""SELECT ticker, seq, ts_ms, {factor} FROM (
+      WITH RECURSIVE q AS (SELECT ticker, seq, ts_ms, {value} AS {factor} FROM quotes WINDOW w AS (PARTITION BY ticker ORDER BY ts_ms RANGE BETWEEN {window} PRECEDING AND CURRENT ROW)),
+        chain AS (SELECT ticker, min(ts_ms) AS ts_ms FROM q GROUP BY 1
+          UNION ALL
+          SELECT c.ticker, min(q.ts_ms) FROM chain c JOIN q ON q.ticker = c.ticker AND q.ts_ms >= c.ts_ms + {GRID} GROUP BY c.ticker, c.ts_ms)
+      SELECT q.* FROM chain JOIN q USING (ticker, ts_ms) QUALIFY row_number() OVER (PARTITION BY ticker, ts_ms ORDER BY seq) = 1)"""
+
+
+fragment("arrival_imbalance", _arrivals_sql("order_imbalance", f"coalesce((sum(bid_size) OVER w - sum(ask_size) OVER w) / nullif(sum(bid_size) OVER w + sum(ask_size) OVER w, 0), 0)", SPREAD_WIN))
+fragment("arrival_rate", _arrivals_sql("quote_rate", f"CASE WHEN count(*) OVER w >= 3 THEN count(*) OVER w / {RATE_WIN / 1000} END", RATE_WIN))
+
+
+@query("T7_event_driven_imbalance", "SELECT * FROM arrival_imbalance", "order_imbalance")
+def _(t):
+    f = T.arrival_quote_factors(t.quotes(), GRID, imbalance_ms=SPREAD_WIN, names=("order_imbalance",))
+    return f.select("ticker", "seq", "ts_ms", F.col("value").alias("order_imbalance"))
+
+
+@query("T7_event_driven_quote_rate", "SELECT * FROM arrival_rate", "quote_rate")
+def _(t):
+    f = T.arrival_quote_factors(t.quotes(), GRID, rate_ms=RATE_WIN, min_quotes=3, names=("quote_rate",))
+    return f.select("ticker", "seq", "ts_ms", F.col("value").alias("quote_rate"))
+
+
+@query(
+    "T7_event_driven_factors",
+    """SELECT ticker, seq, ts_ms, 'order_imbalance' AS factor, order_imbalance AS value FROM arrival_imbalance
+    UNION ALL SELECT ticker, seq, ts_ms, 'quote_rate', quote_rate FROM arrival_rate""",
+    "value",
+)
+def _(t):
+    return T.arrival_quote_factors(t.quotes(), GRID, SPREAD_WIN, SPREAD_WIN, RATE_WIN, 3, ("order_imbalance", "quote_rate"))
 
 
 @query(
