@@ -292,9 +292,9 @@ def mine(
     folder = shared_folder(spark, "hard-negatives")
     rows_of(df, scale, relabel_every, classes).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    size = longest(rows, "x")
+    size = max(1, longest(rows, "x"))
     rows = rows.withColumn("x", padded(F.col("x"), size, 0))
-    if not size:
+    if rows.isEmpty():
         return spark.createDataFrame([], "anchor_id long, positive_id long, positive_rank int, rank int, negative_id long, positive_score long, negative_score long")
     without_spare_copies(rows, max(positives + 1, negatives)).write.parquet(f"{folder}/apart")
     index = build(spark.read.parquet(f"{folder}/apart"), cell_rows)
