@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tapewright.functions.extremes import window_extremes
 from tapewright.functions.numeric import floor_div, ratio
 from tapewright.functions.ranks import attach_scalars, exact_quantiles
 from tapewright.functions.timewin import carried, interval_join
@@ -337,14 +338,14 @@ def outcomes(obs: DataFrame, trades: DataFrame, horizons_ms: dict[str, int], key
     spans = {"trigger": 0, **horizons_ms}
     rows = nearest(_at_horizons(obs, "trigger_ms", spans), t, "_t", "ts_ms", "price", "seq", window_ms, "_px")
     out = _one_row(rows, obs, {"_p": F.col("_px")}, spans)
-    # The widest horizon's trades are met once; each horizon takes its own maximum from them.
-    j = interval_join(obs.select(key, "ticker", "trigger_ms"), t, ["ticker"], "trigger_ms", F.col("trigger_ms") + max(horizons_ms.values()), "ts_ms", include_start=True, how="inner")
-    best = j.groupBy(key).agg(*[F.max(F.when(F.col("ts_ms") <= F.col("trigger_ms") + h, F.col("price"))).alias(f"_m_{n}") for n, h in horizons_ms.items()])
+    for n, h in horizons_ms.items():
+        best = window_extremes(obs, t, key, "trigger_ms", h, include_start=True)
+        out = out.join(best.select(key, F.col("hi").alias(f"_m_{n}")), key, "left")
     tp = F.col("_p_trigger")
     cols = []
     for n in horizons_ms:
         cols += [ratio(F.col(f"_p_{n}") - tp, tp).alias(f"return_{n}"), ratio(F.col(f"_m_{n}") - tp, tp).alias(f"max_return_{n}")]
-    return out.join(best, key, "left").select(*obs.columns, tp.alias("trigger_price"), *cols)
+    return out.select(*obs.columns, tp.alias("trigger_price"), *cols)
 
 
 def continuation_labels(entries: DataFrame, trades: DataFrame, first: float = 5.0, target: float = 10.0) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tapewright.functions.durable import checkpoint
 from tapewright.functions import session as S
+from tapewright.functions.extremes import window_extremes
 from tapewright.functions.numeric import ratio, round_scaled
-from tapewright.functions.timewin import UNB, asof_join, interval_join
-from tapewright.operators.ticks import order_key
+from tapewright.functions.timewin import UNB, asof_join
 
 HOUR = 3_600_000
 
@@ -64,47 +64,31 @@ def close_at(bars: DataFrame, points: DataFrame, ts: str, bar_ms: int = 60_000,
     return out.select(*points.columns, F.coalesce("_c_close", "_f_close").alias(name))
 
 
-def max_in_window(points: DataFrame, trades: DataFrame, ts: str, length_ms: int, key: str, name: str, bucket_ms: int = HOUR) -> DataFrame:
+def max_in_window(points: DataFrame, trades: DataFrame, ts: str, length_ms: int, key: str, name: str) -> DataFrame:
     """Highest price in [ts, ts + length] per point; null without trades."""
-    j = interval_join(points, trades.select("ticker", "ts_ms", "price"), ["ticker"], ts, F.col(ts) + length_ms, "ts_ms", include_start=True, bucket_ms=bucket_ms)
-    return j.groupBy(key).agg(F.max("price").alias(name))
+    best = window_extremes(points, trades, key, ts, length_ms, include_start=True)
+    return points.select(key).join(best.select(key, F.col("hi").alias(name)), key, "left")
 
 
-def signal_exit_stats(signals: DataFrame, trades: DataFrame, hold_ms: int | Column, key: str = "signal_id", bucket_ms: int = HOUR) -> DataFrame:
+def signal_exit_stats(signals: DataFrame, trades: DataFrame, hold_ms: int, key: str = "signal_id", bucket_ms: int = HOUR) -> DataFrame:
     """Entry, exit, extremes and their delays over (entry, entry + hold] for signals with a price at entry.
 
-    An empty window exits at the next trade after entry, if there is one. Signals are few next to trades,
-    so the interval join is keyed by (ticker, hour) and reduced per signal before it is shuffled again.
+    An empty window exits at the next trade after entry, if there is one. Equal extremes count at the first time they are reached.
     """
     sig = entry_prices(signals, trades, fallback_ms=None, bucket_ms=bucket_ms).filter(F.col("entry_price").isNotNull())
-    hold = hold_ms if isinstance(hold_ms, Column) else F.lit(hold_ms).cast("long")
-    j = interval_join(
-        sig.select(key, "ticker", "entry_ms", hold.alias("_hold")),
-        trades.select("ticker", "ts_ms", "seq", "price"),
-        ["ticker"], "entry_ms", F.col("entry_ms") + F.col("_hold"), "ts_ms", bucket_ms=bucket_ms, how="inner",
-    )
-    k = order_key()
-    # Equal extremes are reached first at the smallest key, hence the negated key in the comparison.
-    stats = j.groupBy(key).agg(
-        F.max_by("price", k).alias("_last"),
-        F.max("price").alias("_max"),
-        F.min("price").alias("_min"),
-        F.max(F.struct("price", -F.col("ts_ms")))["col2"].alias("_tmax"),
-        F.min(F.struct("price", "ts_ms"))["ts_ms"].alias("_tmin"),
-    )
-    out = sig.join(stats, key, "left")
+    out = sig.join(window_extremes(sig, trades, key, "entry_ms", hold_ms), key, "left")
     out = asof_join(out, trades, ["ticker"], "entry_ms", "ts_ms", ["price"], "seq", "forward", True, bucket_ms=bucket_ms, prefix="_n_")
-    empty = F.col("_last").isNull()
+    empty = F.col("last").isNull()
     price = F.col("entry_price")
     nxt = F.coalesce(F.col("_n_ts_ms") - F.col("entry_ms"), F.lit(0))
     out = out.select(
         *signals.columns,
         "entry_price",
-        F.when(empty, F.coalesce("_n_price", price)).otherwise(F.col("_last")).alias("exit_price"),
-        F.greatest(price, "_max").alias("max_price"),
-        F.least(price, "_min").alias("min_price"),
-        F.when(empty, nxt).when(F.col("_max") > price, -F.col("_tmax") - F.col("entry_ms")).otherwise(0).alias("time_to_max_ms"),
-        F.when(empty, nxt).when(F.col("_min") < price, F.col("_tmin") - F.col("entry_ms")).otherwise(0).alias("time_to_min_ms"),
+        F.when(empty, F.coalesce("_n_price", price)).otherwise(F.col("last")).alias("exit_price"),
+        F.greatest(price, "hi").alias("max_price"),
+        F.least(price, "lo").alias("min_price"),
+        F.when(empty, nxt).when(F.col("hi") > price, F.col("hi_ms") - F.col("entry_ms")).otherwise(0).alias("time_to_max_ms"),
+        F.when(empty, nxt).when(F.col("lo") < price, F.col("lo_ms") - F.col("entry_ms")).otherwise(0).alias("time_to_min_ms"),
     )
     return out.withColumn("return_pct", F.coalesce(ratio(F.col("exit_price") - price, price) * 100, F.lit(0.0)))
 

@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapewright.functions import session as S
+from tapewright.functions.extremes import window_extremes
 from tapewright.functions.numeric import ratio
 from tapewright.functions.ranks import attach_scalars, average_ranks, exact_quantiles, running_counts
 from tapewright.operators.stats import long_factors
-from tapewright.functions.timewin import interval_join
-from tapewright.operators.ticks import OFF_EXCHANGE, on_time, order_key
+from tapewright.operators.ticks import OFF_EXCHANGE, on_time
 
 
 def experiment_stats(signals: DataFrame, keys: Sequence[str], first_date: bool = False) -> DataFrame:
@@ -155,10 +155,10 @@ def dense_signals(trades: DataFrame, block_ms: int = 120_000, first_ms: int = 60
     m = S.ms_of_day(et)
     s = trades.filter((F.pmod(F.col("ts_ms"), F.lit(block_ms)) <= first_ms) & (m >= 7 * S.HOUR_MS) & (m < 9 * S.HOUR_MS))
     s = s.select("seq", "ticker", "ts_ms", F.col("price").alias("entry_price"))
-    t = trades.select("ticker", F.col("ts_ms").alias("_t"), F.col("seq").alias("_q"), F.col("price").alias("_p"))
-    j = interval_join(s, t, ["ticker"], "ts_ms", F.col("ts_ms") + hold_ms, "_t")
-    g = j.groupBy("seq", "ticker", "ts_ms", "entry_price").agg(F.max_by("_p", order_key("_t", "_q")).alias("_last"), F.max("_p").alias("_max"))
-    return g.select("seq", "ticker", "ts_ms", "entry_price", F.coalesce("_last", "entry_price").alias("last_price"), F.greatest("entry_price", "_max").alias("max_price"))
+    after = window_extremes(s, trades, "seq", "ts_ms", hold_ms)
+    return s.join(after, "seq", "left").select(
+        "seq", "ticker", "ts_ms", "entry_price", F.coalesce("last", "entry_price").alias("last_price"), F.greatest("entry_price", "hi").alias("max_price")
+    )
 
 
 def sample_stats(df: DataFrame) -> DataFrame:

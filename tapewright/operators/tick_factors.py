@@ -7,11 +7,14 @@ ticker is spread over its time buckets, a hot second is one row, and no pair of
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tapewright.functions.folds import thin_by_interval
 from tapewright.functions.numeric import floor_div, floor_to, ratio
-from tapewright.functions.timewin import asof_join, interval_join, range_windows
+from tapewright.functions.rangecount import count_above
+from tapewright.functions.timewin import asof_join, default_bucket, range_windows, with_halo
 from tapewright.operators.ticks import spread_bps, valid_quote
 
 
@@ -258,34 +261,39 @@ def signal_density(factors: DataFrame, value: str, threshold: float, window_ms:
     )
 
 
-def labeling_factors(trades: DataFrame, window_ms: int = 30_000, min_trades: int = 5, points: DataFrame | None = None) -> DataFrame:
+def labeling_factors(trades: DataFrame, window_ms: int = 30_000, min_trades: int = 5, points: DataFrame | None = None, bucket_ms: int | None = None) -> DataFrame:
     """Trade rate over the effective span, large-trade and sticky-side aggressor shares at every trade.
 
     `points` (ticker, ts_ms, seq) are the trades to label, all by default; a chart passes those of
-    `decimate`. Only they meet the trades of their windows; of equal times a point sees the trades up to its
-    own sequence number.
+    `decimate`. Of equal times a point sees the trades up to its own sequence number. A (ticker, time bucket) with the
+    window before it is ordered once; counts, volumes and buys are differences of running sums, and the trades larger than twice the window's
+    mean size are counted for all points together (`count_above`), so no trade meets the trades of its window.
     """
-    points = trades.select("ticker", "ts_ms", "seq") if points is None else points
-    t = tick_side(trades, sticky=True).select("ticker", F.col("ts_ms").alias("_t"), F.col("seq").alias("_q"), "size", "is_buy")
-    j = interval_join(points, t, ["ticker"], F.col("ts_ms") - window_ms, "ts_ms", "_t", include_start=True, how="inner")
-    j = j.filter((F.col("_t") < F.col("ts_ms")) | (F.col("_q") <= F.col("seq")))
-    # Equal sizes of a point are counted together, so the second pass is over distinct sizes.
-    g = j.groupBy("ticker", "seq", "ts_ms", "size").agg(F.count(F.lit(1)).alias("_k"), F.sum("is_buy").alias("_b"), F.min("_t").alias("_f"))
-    whole = Window.partitionBy("ticker", "seq", "ts_ms")
-    g = g.withColumn("_limit", F.sum(F.col("size") * F.col("_k")).over(whole) / F.sum("_k").over(whole) * 2.0)
-    out = g.groupBy("ticker", "seq", "ts_ms").agg(
-        F.sum("_k").alias("_n"), F.sum("_b").alias("_buys"), F.min("_f").alias("_first"), F.coalesce(F.sum(F.when(F.col("size") > F.col("_limit"), F.col("_k"))), F.lit(0)).alias("_large")
-    )
-    span = F.col("ts_ms") - F.col("_first")
-    ok = (F.col("_n") >= min_trades) & (span > 0)
-    return out.select(
-        "ticker",
-        "seq",
-        "ts_ms",
-        F.when(ok, F.round(F.col("_n") / (F.when(span > 0, span) / 1000.0), 3)).otherwise(0.0).alias("trade_rate"),
-        F.when(ok, F.round(F.col("_large") / F.col("_n"), 3)).otherwise(0.0).alias("large_trade_ratio"),
-        F.when(ok, F.round(F.col("_buys") / F.col("_n"), 3)).otherwise(0.0).alias("aggressor_ratio"),
-    )
+    t = tick_side(trades, sticky=True).select("ticker", "ts_ms", "seq", "size", F.col("is_buy").cast("int").alias("is_buy"))
+    if points is None:
+        t = t.withColumn("_point", F.lit(True))
+    else:
+        marks = points.select("ticker", "ts_ms", "seq").distinct().withColumn("_point", F.lit(True))
+        t = t.join(marks, ["ticker", "ts_ms", "seq"], "left").withColumn("_point", F.coalesce("_point", F.lit(False)))
+    halo = with_halo(t, "ts_ms", bucket_ms or default_bucket(window_ms), window_ms).withColumn("_point", F.col("_point") & F.col("_tw_own"))
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts_ms", "seq"], kind="stable", ignore_index=True)
+        ts, size = rows["ts_ms"].to_numpy(np.int64), rows["size"].to_numpy(np.int64)
+        at = np.flatnonzero(rows["_point"].to_numpy(bool))
+        start, end = np.searchsorted(ts, ts[at] - window_ms), at + 1
+        total = lambda x: (lambda c: c[end] - c[start])(np.concatenate([[0], np.cumsum(x)]))
+        n, span = end - start, ts[at] - ts[start]
+        large = count_above(size, start, end, total(size) / n * 2.0)
+        out = rows.loc[at, ["ticker", "seq", "ts_ms"]]
+        return out.assign(_n=n, _buys=total(rows["is_buy"].to_numpy(np.int64)), _large=large, _span=span)
+
+    key = "ticker string, seq long, ts_ms long"
+    out = halo.select("ticker", "_tw_bucket", "ts_ms", "seq", "size", "is_buy", "_point").groupBy("ticker", "_tw_bucket").applyInPandas(label, f"{key}, _n long, _buys long, _large long, _span long")
+    ok = (F.col("_n") >= min_trades) & (F.col("_span") > 0)
+    rate = F.col("_n") / (F.when(F.col("_span") > 0, F.col("_span")) / 1000.0)
+    shares = {"trade_rate": rate, "large_trade_ratio": F.col("_large") / F.col("_n"), "aggressor_ratio": F.col("_buys") / F.col("_n")}
+    return out.select("ticker", "seq", "ts_ms", *[F.when(ok, F.round(c, 3)).otherwise(0.0).alias(n) for n, c in shares.items()])
 
 
 def decimate(points: DataFrame, max_points: int, bucket_ms: int = 3_600_000) -> DataFrame:
