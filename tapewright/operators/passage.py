@@ -28,30 +28,46 @@ def _inside(include_start: bool) -> Column:
     return start & (F.col("ts_ms") <= F.col("session_end_ms"))
 
 
-def _summed(rows: DataFrame, keys: Sequence[str], falls: Sequence[float]) -> DataFrame:
-    """n, hi, lo, last_ms, last_px per key, and fall<i>: whether a price stands `falls[i]` percent below an earlier one of the key."""
-    if falls:
-        w = Window.partitionBy(*keys).orderBy("ts_ms", "seq").rowsBetween(UNB, 0)
-        rows = rows.withColumn("_top", F.max("px").over(w))
-    fell = [F.max(F.col("px") <= F.col("_top") * (1 - x / 100)).alias(f"fall{i}") for i, x in enumerate(falls)]
+def _falls(falls: Sequence[float], keys: Sequence[str], rows: DataFrame) -> DataFrame:
+    """Mark rows that stand `falls[i]` percent or more below an earlier one of their key."""
+    if not falls:
+        return rows
+    w = Window.partitionBy(*keys).orderBy("ts_ms", "seq").rowsBetween(UNB, 0)
+    rows = rows.withColumn("_top", F.max("px").over(w))
+    return rows.withColumns({f"fall{i}": F.col("px") <= F.col("_top") * (1 - x / 100) for i, x in enumerate(falls)}).drop("_top")
+
+
+def _summaries(rows: DataFrame, keys: Sequence[str], falls: Sequence[float]) -> DataFrame:
+    """n, hi, lo, last_ms, last_px and fall<i> per key."""
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max("px").alias("hi"), F.min("px").alias("lo"), F.max("ts_ms").alias("last_ms"), F.max_by("px", order_key()).alias("last_px"), *fell
-    )
+        F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("ts_ms").alias("last_ms"), F.max_by("px", order_key()).alias("last_px"),
+        *[F.max(f"fall{i}").alias(f"fall{i}") for i in range(len(falls))],
+    )
 
 
 def span_cells(entries: DataFrame, trades: DataFrame, falls: Sequence[float] = (), include_start: bool = False, bucket_ms: int = BUCKET) -> DataFrame:
-    """(entry_id, _b, n, hi, lo, last_ms, last_px, fall<i>): the trades of (entry_ms, session_end_ms] by time bucket; only buckets that have any."""
-    t = _ticks(trades, bucket_ms)
-    e = entries.select("entry_id", "ticker", "entry_ms", "session_end_ms", floor_div("entry_ms", bucket_ms).alias("_first"), floor_div("session_end_ms", bucket_ms).alias("_last"))
-    whole = e.filter(F.col("_last") - F.col("_first") > 1).select("entry_id", "ticker", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)).alias("_b"))
-    whole = whole.join(_summed(t, ["ticker", "_b"], falls), ["ticker", "_b"]).drop("ticker")
-    ends = e.withColumn("_b", F.explode(F.array_distinct(F.array("_first", "_last")))).join(t, ["ticker", "_b"]).filter(_inside(include_start))
-    return whole.unionByName(_summed(ends, ["entry_id", "_b"], falls))
+    """`entries` by (entry, `_b`) with n, hi, lo, last_ms, last_px, fall<i>: the trades of (entry_ms, session_end_ms] by time bucket.
+
+    Only buckets that have any. An entry's first and last bucket are matched with ticks, those between with summaries, in one join.
+    """
+    cols = entries.columns
+    ticks = _ticks(trades, bucket_ms).withColumns({"n": F.lit(1).cast("long"), "hi": F.col("px"), "lo": F.col("px"), "_whole": F.lit(False)})
+    cells = _summaries(_falls(falls, ["ticker", "_b"], ticks), ["ticker", "_b"], falls)
+    cells = cells.withColumnsRenamed({"last_ms": "ts_ms", "last_px": "px"}).withColumns({"seq": F.lit(0).cast("long"), "_whole": F.lit(True)})
+    source = ticks.unionByName(cells, allowMissingColumns=True).withColumnsRenamed({"ticker": "_ticker", "_b": "_tb", "_whole": "_tw"})
+    first, last = floor_div("entry_ms", bucket_ms), floor_div("session_end_ms", bucket_ms)
+    e = entries.filter(F.col("session_end_ms") >= F.col("entry_ms")).select("*", F.explode(F.sequence(first, last)).alias("_b"))
+    e = e.withColumn("_whole", (F.col("_b") > first) & (F.col("_b") < last))
+    rows = e.join(source, (F.col("ticker") == F.col("_ticker")) & (F.col("_b") == F.col("_tb")) & (F.col("_whole") == F.col("_tw")) & (F.col("_whole") | _inside(include_start)))
+    if falls:
+        marked = _falls(falls, ["entry_id", "_b"], rows.withColumnsRenamed({f"fall{i}": f"_cell{i}" for i in range(len(falls))}))
+        rows = marked.withColumns({f"fall{i}": F.coalesce(f"_cell{i}", F.col(f"fall{i}") & ~F.col("_whole")) for i in range(len(falls))})
+    return _summaries(rows, [*cols, "_b"], falls)
 
 
 def span_stats(entries: DataFrame, trades: DataFrame, include_start: bool = False, bucket_ms: int = BUCKET) -> DataFrame:
     """(entry_id, n, hi, lo, last_ms, last_px) over (entry_ms, session_end_ms]; entries without trades have no row."""
-    c = span_cells(entries, trades, (), include_start, bucket_ms)
+    c = span_cells(entries.select("entry_id", "ticker", "entry_ms", "session_end_ms"), trades, (), include_start, bucket_ms)
     return c.groupBy("entry_id").agg(
         F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last_ms").alias("last_ms"), F.max_by("last_px", "_b").alias("last_px")
     )
@@ -71,7 +87,7 @@ def first_hits(
     e = entries.select(*dict.fromkeys([*keep, "entry_id", "ticker", "entry_ms", "session_end_ms"]))
     before, whole = Window.partitionBy("entry_id").orderBy("_b").rowsBetween(UNB, -1), Window.partitionBy("entry_id")
     c = span_cells(e, trades, falls, include_start, bucket_ms)
-    c = c.withColumns({"peak_in": F.max("hi").over(before), "trough_in": F.min("lo").over(before)}).join(e, "entry_id")
+    c = c.withColumns({"peak_in": F.max("hi").over(before), "trough_in": F.min("lo").over(before)})
     c = c.withColumns({f"_f{i}": F.min(F.when(cross, F.col("_b"))).over(whole) for i, cross in enumerate(crossed)})
     here = [F.coalesce(F.col(f"_f{i}") == F.col("_b"), F.lit(False)) for i in range(len(crossed))]
     opened = F.lit(False)
