@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from tapewright.functions import session as S
+from tapewright.functions.durable import checkpoint
 from tapewright.functions.folds import thin_by_interval
+from tapewright.functions.rules import rule
 from tapewright.operators import events as E, exits as X, joins as J
 from tapewright.plans.ctes import fragment
 from tapewright.plans.q_bars import hour_bars
-from tapewright.plans.q_events import ANTI, ENTRY, TIMEOUT, WATCH, candidates, staged
+from tapewright.plans.q_events import ANTI, ANTI_SQL, ENTRY, RULE_SQL, TIMEOUT, WATCH, candidates, event_table, staged
 from tapewright.plans.q_joins import signals
 from tapewright.plans.q_ticks import clean
 from tapewright.plans.registry import query
@@ -322,8 +324,12 @@ def _(t):
 
 def backtest(t, config=X.TP10_SL15):
     """Stage signals with their entry price, walked to the end of the day under one exit configuration."""
-    s = E.stage_signals(staged(t), candidates(t), WATCH, ENTRY, ANTI, TIMEOUT, ("date", "ticker"))
-    e = J.entry_prices(s, clean(t), fallback_ms=None)
+    return walked(t, E.stage_signals(staged(t), candidates(t), WATCH, ENTRY, ANTI, TIMEOUT, ("date", "ticker")), config)
+
+
+def walked(t, s, config=X.TP10_SL15):
+    # A few rows a day, behind a long plan, which the path reads more than once: written.
+    e = checkpoint(J.entry_prices(s, clean(t), fallback_ms=None))
     left = S.AFTERHOURS_END_MS - S.ms_of_day(S.to_et_ms("entry_ms"))
     e = e.withColumn("entry_id", F.concat_ws("-", "ticker", F.col("date").cast("string"))).withColumn("session_end_ms", F.col("entry_ms") + left)
     return X.partial_exits(X.price_path(e, clean(t), include_entry=True), config, ("date", "event_name"))
@@ -349,3 +355,52 @@ fragment("bt_path", _BT_PATH)
 )
 def _(t):
     return backtest(t).select("entry_id", "event_name", "entry_ms", "return_pct", "exit_ms")
+
+
+# Batch mode: the factor table gains signal densities, rules may use them, and the first rule that ever matches wins.
+DENSITY = (("trade_rate", 2.0, 12 * HOUR, "signal_density_12h"), ("trade_rate", 3.0, 4 * HOUR, "signal_density_4h"))
+DENSE_RULES = (rule("dense_rate", ("signal_density_12h", "gte", 6.0), ("signal_density_4h", "gte", 1.0), ("trade_rate", "gt", 2.0)), *ENTRY)
+_DENSE_SQL = {"dense_rate": "(signal_density_12h >= 6 AND signal_density_4h >= 1 AND trade_rate > 2.0)"} | RULE_SQL
+fragment(
+    "dense_staged",
+    "SELECT s.*, " + ", ".join(f"d.{name}" for *_, name in DENSITY) + " FROM staged s JOIN (SELECT ticker, ts_ms, "
+    + ", ".join(f"CAST(sum(CASE WHEN {f} > {x} THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY ts_ms RANGE BETWEEN {ms - 1} PRECEDING AND CURRENT ROW) AS DOUBLE) AS {name}" for f, x, ms, name in DENSITY)
+    + " FROM event_table) d USING (ticker, ts_ms)",
+)
+fragment(
+    "dense_hits",
+    "SELECT r.*, watch_ms, watch_event FROM (" + " UNION ALL ".join(f"SELECT *, {i} AS i, '{n}' AS rule FROM dense_staged WHERE {x}" for i, (n, x) in enumerate(_DENSE_SQL.items()))
+    + f") r JOIN watched USING (date, ticker) WHERE ts_ms >= watch_ms AND ts_ms - watch_ms <= {TIMEOUT} AND NOT {ANTI_SQL}",
+)
+fragment("dense_entries", "SELECT date, ticker, any_value(watch_ms) AS watch_ms, any_value(watch_event) AS watch_event, arg_min(ts_ms, (i, ts_ms)) AS entry_ms, arg_min(rule, (i, ts_ms)) AS event_name FROM dense_hits GROUP BY 1, 2")
+fragment("dense_path", _BT_PATH.replace("stage_entries", "dense_entries"))
+
+
+def dense_signals(t):
+    f = E.with_signal_density(event_table(t), DENSITY)
+    c = candidates(t).select("date", "ticker", "first_entry_ms", F.col("gain_at_entry").alias("entry_gap_pct"))
+    rows = f.join(c, ["date", "ticker"]).filter("ts_ms >= first_entry_ms").drop("first_entry_ms")
+    return E.stage_signals(rows, candidates(t), WATCH, DENSE_RULES, ANTI, TIMEOUT, ("date", "ticker"), rule_order_first=True)
+
+
+@query("E5_signal_density", "SELECT ticker, ts_ms, " + ", ".join(n for *_, n in DENSITY) + " FROM dense_staged", " ".join(n for *_, n in DENSITY))
+def _(t):
+    c = candidates(t).select("date", "ticker", "first_entry_ms")
+    rows = E.with_signal_density(event_table(t), DENSITY).join(c, ["date", "ticker"]).filter("ts_ms >= first_entry_ms")
+    return rows.select("ticker", "ts_ms", *[n for *_, n in DENSITY])
+
+
+@query("E5_density_entries", "SELECT * FROM dense_entries")
+def _(t):
+    return dense_signals(t)
+
+
+@query(
+    "E5_batch_backtest",
+    """SELECT b.entry_id, b.event_name, b.entry_ms, coalesce(arg_min(b.gain, b.step) FILTER (b.gain >= 10 OR b.gain <= -15), arg_max(b.gain, b.step)) AS return_pct,
+      coalesce(min(b.ts_ms) FILTER (b.step = b.f), max(b.ts_ms)) AS exit_ms FROM (
+      SELECT *, min(step) FILTER (gain >= 10 OR gain <= -15) OVER (PARTITION BY entry_id) AS f FROM (SELECT *, (px - entry_price) / entry_price * 100 AS gain FROM dense_path)) b GROUP BY 1, 2, 3""",
+    "return_pct",
+)
+def _(t):
+    return walked(t, dense_signals(t)).select("entry_id", "event_name", "entry_ms", "return_pct", "exit_ms")
