@@ -50,22 +50,27 @@ class FactorSpec:
         return _MAKERS[self.factor](window, **self.params).alias(self.id)
 
 
-def parse_specs(config: Mapping[str, Mapping]) -> list[FactorSpec]:
-    """Check a configuration: known factor, known parameter names, numeric values (a number in quotes is an error)."""
-    specs = []
+def check_params(config: Mapping[str, Mapping], makers: Mapping[str, Callable], skip: int) -> list[tuple[str, str, dict]]:
+    """(output id, factor name, parameters) of a checked configuration; `skip` leading arguments of a maker are no parameters."""
+    out = []
     for fid, c in config.items():
         name = c.get("factor", fid)
-        if name not in _MAKERS:
+        if name not in makers:
             raise ValueError(f"{fid}: unknown factor {name!r}")
         params = dict(c.get("params", {}))
-        known = list(inspect.signature(_MAKERS[name]).parameters)[1:]
+        known = list(inspect.signature(makers[name]).parameters)[skip:]
         for k, v in params.items():
             if k not in known:
                 raise ValueError(f"{fid}: unknown parameter {k!r}, known: {known}")
             if isinstance(v, str) or not isinstance(v, (int, float)):
                 raise ValueError(f"{fid}: parameter {k!r} is not a number: {v!r}")
-        specs.append(FactorSpec(fid, name, params, tuple(c.get("timeframes", ()))))
-    return specs
+        out.append((fid, name, params))
+    return out
+
+
+def parse_specs(config: Mapping[str, Mapping]) -> list[FactorSpec]:
+    """Check a configuration: known factor, known parameter names, numeric values (a number in quotes is an error)."""
+    return [FactorSpec(fid, name, params, tuple(config[fid].get("timeframes", ()))) for fid, name, params in check_params(config, _MAKERS, 1)]
 
 
 def add_factors(bars: DataFrame, specs: Sequence[FactorSpec], timeframe: str, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
