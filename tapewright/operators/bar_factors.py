@@ -12,7 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from tapewright.functions.numeric import clamp, ratio
+from tapewright.functions.numeric import clamp, floor_div, ratio
+from tapewright.functions.timewin import UNB, window_sum_carry
+
+DAY = 86_400_000
+#: Calendar blocks whose maps compose to one map of the moving average.
+SPAN_BLOCKS = 32
 
 
 def bar_window(keys: tuple[str, ...] = ("ticker",), order: str = "bar_start") -> WindowSpec:
@@ -95,46 +100,53 @@ def add_ema(
     value: str = "close",
     name: str = "ema",
     warmup: bool = True,
+    block_ms: int = DAY,
 ) -> DataFrame:
     """Exponential moving average seeded with the first value; null before `period` rows if `warmup`.
 
-    The recursion is linear, so a ticker's bars are cut into blocks: inside a block the average is
-    decay^(i+1) * entry value + decay^i * sum(alpha * x_j / decay^j), a plain running sum. Only the
-    entry values are folded in order, over one summary row per block. The block length keeps decay^-i
-    far from overflow, and all terms have the sign of the data, so nothing cancels.
+    The recursion is a chain of affine maps, which compose. A ticker's bars are cut into calendar blocks (`order` in ms, `block_ms` each) of at
+    most so many rows that decay^-rows stays far from overflow. Inside a block the average is decay^(i+1) * entry value +
+    decay^i * sum(alpha * x_j / decay^j), a plain running sum whose terms all have the sign of the data. A block is one map, entry -> last
+    value; the maps of SPAN_BLOCKS calendar blocks compose to one, and only those are chained from the first value on. So no row is
+    numbered over a whole ticker, and no list is longer than the blocks of a span or the spans of a ticker.
     """
     alpha = 2.0 / (period + 1)
     decay = 1.0 - alpha
-    block = max(1, min(2000, int(200 / -math.log(decay)))) if 0 < decay < 1 else 2000
-    w = Window.partitionBy(*keys).orderBy(order)
-    b = bars.withColumn("_i", (F.row_number().over(w) - 1).cast("long"))
-    b = b.withColumn("_blk", (F.col("_i") / block).cast("long")).withColumn("_p", F.col("_i") % block)
-    term = F.lit(alpha) * F.col(value) * F.pow(F.lit(decay), -F.col("_p").cast("double"))
-    wb = Window.partitionBy(*keys, "_blk").orderBy("_i")
-    b = b.withColumn("_s", F.sum(term).over(wb.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(decay), F.col("_p").cast("double")))
-    ends = b.groupBy(*keys, "_blk").agg(
-        F.max_by("_s", "_i").alias("_b"),
-        F.pow(F.lit(decay), F.count(F.lit(1)).cast("double")).alias("_a"),
-        F.min_by(value, "_i").alias("_first"),
+    most = max(1, min(2000, int(200 / -math.log(decay)))) if 0 < decay < 1 else 2000
+    power = lambda n: F.pow(F.lit(decay), n.cast("double"))
+    key, blk = [*keys, "_day", "_sub"], F.struct("_day", "_sub")
+    day = Window.partitionBy(*keys, "_day").orderBy(order)
+    b = bars.withColumn("_day", floor_div(order, block_ms)).withColumn("_i", F.row_number().over(day) - 1)
+    b = b.withColumn("_sub", (F.col("_i") / most).cast("int")).withColumn("_p", F.col("_i") % most)
+    term = F.lit(alpha) * F.col(value) * power(-F.col("_p"))
+    inside = Window.partitionBy(*key).orderBy("_i")
+    b = b.withColumn("_s", F.sum(term).over(inside.rowsBetween(UNB, 0)) * power(F.col("_p")))
+    ends = b.groupBy(*key).agg(F.max_by("_s", "_i").alias("_b"), F.count(F.lit(1)).alias("_n"), F.min_by(value, "_i").alias("_first"))
+    ends = ends.withColumns({"_a": power(F.col("_n")), "_span": floor_div("_day", SPAN_BLOCKS)})
+    maps = lambda w: F.collect_list(F.struct("_a", "_b")).over(w.rowsBetween(UNB, -1))
+    compose = lambda earlier: F.aggregate(
+        earlier, F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda m, e: F.struct((e["_a"] * m["a"]).alias("a"), (e["_a"] * m["b"] + e["_b"]).alias("b"))
     )
-    wk = Window.partitionBy(*keys).orderBy("_blk")
-    earlier = F.collect_list(F.struct("_a", "_b")).over(wk.rowsBetween(Window.unboundedPreceding, -1))
-    seed = F.first("_first").over(wk.rowsBetween(Window.unboundedPreceding, 0))
-    entry = F.aggregate(earlier, seed, lambda acc, e: e["_a"] * acc + e["_b"])
-    b = b.join(ends.select(*keys, "_blk", entry.alias("_in")), [*keys, "_blk"])
-    ema = F.col("_s") + F.pow(F.lit(decay), (F.col("_p") + 1).cast("double")) * F.col("_in")
+    in_span, by_span, by_block = (Window.partitionBy(*keys, *k).orderBy(o) for k, o in ((("_span",), blk), ((), "_span"), ((), blk)))
+    ends = ends.withColumns({"_m": compose(maps(in_span)), "_more": F.lead(F.lit(1)).over(in_span)})
+    # The last block of a span, after the map of those before it, gives the map of the span.
+    whole = F.when(F.col("_more").isNull(), F.struct((F.col("_a") * F.col("_m.a")).alias("_a"), (F.col("_a") * F.col("_m.b") + F.col("_b")).alias("_b")))
+    earlier = F.collect_list(whole).over(by_span.rangeBetween(UNB, -1))
+    ends = ends.withColumns({"_e": F.aggregate(earlier, F.first("_first").over(by_block), lambda acc, e: e["_a"] * acc + e["_b"]), "_rows": F.sum("_n").over(by_block.rowsBetween(UNB, 0)) - F.col("_n")})
+    b = b.join(ends.select(*key, (F.col("_m.a") * F.col("_e") + F.col("_m.b")).alias("_in"), "_rows"), key)
+    ema = F.col("_s") + power(F.col("_p") + 1) * F.col("_in")
     if warmup:
-        ema = F.when(F.col("_i") >= period - 1, ema)
+        ema = F.when(F.col("_rows") + F.col("_p") >= period - 1, ema)
     return b.select(*bars.columns, ema.alias(name))
 
 
 def session_vwap(bars: DataFrame, keys: tuple[str, ...] = ("ticker",), order: str = "bar_start") -> DataFrame:
     """Cumulative typical-price VWAP per session, its deviation in percent, growing relative volume, plain EMA(20)."""
     w = Window.partitionBy(*keys).orderBy(order)
-    cum = w.rowsBetween(Window.unboundedPreceding, 0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    vwap = F.coalesce(ratio(F.sum(typical * F.col("volume")).over(cum), F.sum("volume").over(cum)), F.col("close"))
-    b = bars.withColumn("vwap", vwap)
+    sums = {"_pv": typical * F.col("volume"), "_vol": F.col("volume")}
+    b = window_sum_carry(bars, keys, [order], sums, floor_div(order, DAY))
+    b = b.withColumn("vwap", F.coalesce(ratio("_pv", "_vol"), F.col("close"))).drop("_pv", "_vol")
     b = b.withColumn("vwap_deviation", (F.col("close") - F.col("vwap")) / F.col("vwap") * 100)
     b = b.withColumn("relative_volume", ratio("volume", F.avg("volume").over(w.rowsBetween(-19, 0)), otherwise=1.0))
     return add_ema(b, 20, keys, order, name="ema_20", warmup=False)
