@@ -23,10 +23,13 @@ PRIOR_NGRAMS = 20
 #: Buckets of the toxic model, which tells single words; log-likelihood ratio (G-test) from which a bucket counts.
 TOXIC_BUCKETS, TOXIC_TEST = 1 << 20, 10.0
 
-#: Scale of the mean log ratio against the Gumbel noise.
-SHARPNESS = 400.0
+#: Documents are drawn by their odds of being clean to the power 1 / TEMPERATURE: 1 draws by the odds themselves, 0 would keep the likeliest.
+TEMPERATURE = 0.5
 SEED = 11
 
+#: Ridge of the calibration, a share of the number of labelled documents.
+RIDGE = 1e-4
+
 
 def ngram_buckets(text: str, buckets: int = BUCKETS):
     """Buckets of all tokens and pairs of neighbours; a token after itself is one special pair."""
@@ -143,10 +146,10 @@ def scorer(ratios, buckets: int = BUCKETS):
     return score
 
 
-def sampling_key(score: Column, name: Column, seed: int = SEED, sharpness: float = SHARPNESS) -> Column:
+def sampling_key(log_weight: Column, name: Column, seed: int | Column = SEED) -> Column:
     """Log weight plus Gumbel noise that depends on the document's name and the seed only."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return sharpness * score - F.log(-F.log(u))
+    return log_weight - F.log(-F.log(u))
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1000) -> float:
@@ -163,59 +166,73 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1000) -> float:
     return lo
 
 
-def cut_between(scores: list[float], good: list[int]) -> float | None:
-    """The score that separates good from bad best (mean of both shares right), or None with one kind only."""
-    pairs = sorted(zip(scores, good))
-    n_good = sum(good)
-    n_bad = len(good) - n_good
-    if not n_good or not n_bad:
+def calibrate(features, clean):
+    """(coefficients, offset) of the log odds of `clean` by a ridge logistic fit, or None with one kind only.
+
+    Both kinds weigh the same, and the targets are drawn in by one document of each kind, so that separable features
+    have finite odds. Newton steps on as many rows as there are labelled documents at most.
+    """
+    import numpy as np
+
+    x, y = np.asarray(features, float), np.asarray(clean, float)
+    n_clean, n_other = y.sum(), (1 - y).sum()
+    if not n_clean or not n_other:
         return None
-    best, cut, bad_below, good_below = 0.0, None, 0, 0
-    for i, (s, g) in enumerate(pairs):
-        good_below += g
-        bad_below += 1 - g
-        right = bad_below / n_bad + 1 - good_below / n_good
-        if right > best and (i + 1 == len(pairs) or pairs[i + 1][0] > s):
-            best, cut = right, (s + pairs[i + 1][0]) / 2 if i + 1 < len(pairs) else s
-    return cut
-
-
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED):
-    """(table, score, cutoff): (id, mark, log_weight, key, kept) of every document, the score function and the smallest key kept.
-
-    The weight is the mean ratio of good over all text, less the toxic evidence beyond the bound that separates
-    labelled toxic documents from clean ones best. k, the size of the sample, is the number of documents whose
-    weight is above the cut that separates labelled clean documents (good and not toxic) from the others best; the k documents with the largest keys are kept (Gumbel top-k, which
-    samples by weight without replacement). Without labels of both kinds all are kept. Null and
-    empty texts have weight 1. Repeated rows share their fate. A null id is a name like any other.
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 0, scale, 1.0)
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    target = np.where(y == 1, (n_clean + 1) / (n_clean + 2), 1 / (n_other + 2))
+    share = np.where(y == 1, 0.5 / n_clean, 0.5 / n_other) * len(y)
+    ridge = np.diag([RIDGE * len(y)] * x.shape[1] + [1e-9])
+    beta = np.zeros(z.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
+        curve = share * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve(z.T @ (z * curve[:, None]) + ridge, z.T @ (share * (target - p)) - ridge @ beta)
+        beta += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
+        if np.abs(step).max() < 1e-9:
+            break
+    return beta[:-1] / scale, float(beta[-1] - (beta[:-1] * mean / scale).sum())
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, temperature: float = TEMPERATURE):
+    """(table, weight, cutoff): (id, mark, log_weight, key, kept) of every document, log weight as a function of text, and the smallest key kept.
+
+    Two log ratios of hashed n-gram models describe a document: the mean ratio of clean over all text, and the sum of toxic over clean
+    ones. Their log odds of clean (good and not toxic) are calibrated on labelled documents that did not train the models; the
+    weight of a document is these odds to the power 1 / temperature. k is the number of documents whose odds are 1 or more, and the k
+    largest keys are kept: Gumbel top-k, which samples by weight without replacement, so a document whose odds are
+    near 1 is kept in some draws and not in others. Without labels of both kinds all are kept. Null and empty texts have ratios
+    of 0. Repeated rows share their fate. A null id is a name like any other.
     """
     sample = checkpoint(labelled_sample(labels))
     ratios = log_ratios(docs, sample)
+    keep_all = documents(docs).select("id", "mark", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"), F.lit(True).alias("kept")), None, None
     if ratios is None:
-        none = documents(docs).select("id", "mark", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
-        return none, None, None
+        return keep_all
     quality = scorer(ratios)
     toxic = toxic_ratios(docs, sample)
     evidence = toxic_scorer(toxic) if toxic is not None else lambda text: F.lit(0.0)
     raw = checkpoint(documents(docs).select("id", "mark", quality("text").alias("quality_ratio"), evidence("text").alias("evidence")))
-    labelled = sample.filter(~F.col("fit")).select("id", "clean", "toxic")
-    held = raw.join(F.broadcast(labelled), "id").select("quality_ratio", "evidence", "clean", "toxic").toPandas()
-    either = held[(held["clean"] == 1) | (held["toxic"] == 1)]
-    bound = cut_between((-either["evidence"]).tolist(), either["clean"].tolist())
+    labelled = sample.filter(~F.col("fit")).select("id", "clean")
+    # One document of each labelled id, so that no more rows than the sample's reach the driver.
+    held = raw.join(F.broadcast(labelled), "id").groupBy("id").agg(F.min(F.struct("mark", "quality_ratio", "evidence", "clean")).alias("r")).select("r.*").toPandas()
+    fitted = calibrate(held[["quality_ratio", "evidence"]], held["clean"])
+    if fitted is None:
+        return keep_all
+    (by_quality, by_evidence), offset = fitted
 
-    def weight(ratio: Column, seen: Column) -> Column:
-        return ratio if bound is None else ratio - F.greatest(F.lit(0.0), seen + F.lit(bound))
+    def log_odds(ratio: Column, seen: Column) -> Column:
+        return ratio * float(by_quality) + seen * float(by_evidence) + offset
 
-    def score(text: Column) -> Column:
-        return weight(quality(text), evidence(text))
+    def weight(text: Column) -> Column:
+        return log_odds(quality(text), evidence(text)) / temperature
 
-    scored = raw.select("id", "mark", weight(F.col("quality_ratio"), F.col("evidence")).alias("log_weight"))
-    held["log_weight"] = held["quality_ratio"] - (0 if bound is None else (held["evidence"] + bound).clip(lower=0))
-    cut = cut_between(held["log_weight"].tolist(), held["clean"].tolist())
-    keyed = scored.withColumn("key", sampling_key(F.col("log_weight"), F.struct("id", "mark"), seed))
-    k = scored.filter(F.col("log_weight") >= cut).count() if cut is not None else 0
-    cutoff = kth_largest(keyed, "key", k) if k else float("-inf")
-    return keyed.withColumn("kept", F.col("key") >= cutoff), score, cutoff
+    keyed = raw.select("id", "mark", (log_odds(F.col("quality_ratio"), F.col("evidence")) / temperature).alias("log_weight"))
+    keyed = keyed.withColumn("key", sampling_key(F.col("log_weight"), F.struct("id", "mark"), seed))
+    k = keyed.filter("log_weight >= 0").count()
+    cutoff = kth_largest(keyed, "key", k) if k else float("inf")
+    return keyed.withColumn("kept", F.col("key") >= cutoff), weight, cutoff
 
 
 def digest(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
@@ -226,9 +243,9 @@ def digest(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
 
 def select(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """`docs` without the rejected documents; keys are worked out again on the rows, so texts are not shuffled."""
-    _, score, cutoff = resample(docs, labels, seed)
-    if score is None:
+    _, weight, cutoff = resample(docs, labels, seed)
+    if weight is None:
         return docs
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("mark")).alias("name"), score(text).alias("log_weight"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("mark")).alias("name"), weight(text).alias("log_weight"))
     return rows.filter(sampling_key(F.col("log_weight"), F.col("name"), seed) >= cutoff).select("row.*")

@@ -137,6 +137,43 @@ def test_quality_drops_toxic_documents(spark):
     assert np.mean(toxic) < 0.3 and np.mean(clean) > 0.9
 
 
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.95), ("sf0.1", 0.97)])
+def test_quality_agrees_with_clean_labels(spark, sf, least):
+    """Clean means good and not toxic; the tables have about 400 and 4,000 labels."""
+    d = SF.replace("sf0.001", sf)
+    got = {r.doc_id: r.kept for r in importance.digest(table(spark, d, "documents"), table(spark, d, "labels")).collect()}
+    labels = table(spark, d, "labels").collect()
+    assert np.mean([got[r.doc_id] == (r.quality == 1 and r.toxic == 0) for r in labels]) > least
+    assert np.mean([got[r.doc_id] for r in labels if r.quality == 1 and r.toxic == 0]) > 0.98
+
+
+def test_sampling_follows_the_weights(spark):
+    """Over 400 draws of 30 of 60 documents, inclusion is that of Gumbel top-k; no weight but the extreme ones decides alone."""
+    from pyspark.sql import functions as F
+
+    weights = [(i - 30) / 4 for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(weights)), "id long, w double").crossJoin(spark.range(400).withColumnRenamed("id", "seed"))
+    keys = d.withColumn("key", importance.sampling_key(F.col("w"), F.struct("id"), F.col("seed"))).toPandas()
+    kept = keys["key"] >= keys.groupby("seed")["key"].transform(lambda k: k.nlargest(30).iloc[-1])
+    assert (kept.groupby(keys["seed"]).sum() == 30).all()
+    share = kept.groupby(keys["id"]).mean().to_numpy()
+    noise = np.random.default_rng(1).gumbel(size=(40_000, 60)) + weights
+    want = (noise >= np.sort(noise, axis=1)[:, [30]]).mean(0)
+    assert np.abs(share - want).max() < 4.5 * 0.5 / np.sqrt(400)
+    assert share[:5].max() < 0.05 and share[-5:].min() > 0.95 and ((share > 0.05) & (share < 0.95)).sum() > 10
+
+
+def test_the_draw_differs_from_the_likeliest(spark):
+    d = SF.replace("0.001", "0.01")
+    got = importance.digest(table(spark, d, "documents"), table(spark, d, "labels")).toPandas()
+    k = int((got["log_weight"] >= 0).sum())
+    assert got["kept"].sum() == k
+    likeliest = set(got.nlargest(k, "log_weight")["doc_id"])
+    other = importance.digest(table(spark, d, "documents"), table(spark, d, "labels"), seed=12).toPandas()
+    a, b = (set(x.loc[x["kept"], "doc_id"]) for x in (got, other))
+    assert a != likeliest and a != b and len(a & likeliest) > 0.97 * k
+
+
 def test_pages(spark):
     import html
 
