@@ -176,6 +176,32 @@ def test_personal_data(docs, empty):
     assert red[7] == dict(texts()[:-3])[7]
 
 
+def test_planted_kinds_are_found_and_look_alikes_are_not(spark):
+    """Spans that no base rule knows, in sentences of their own, and others of the same look that are no personal data."""
+    rnd = random.Random(21)
+    prose = lambda n: " ".join(f"Word{rnd.randrange(300)}" if rnd.random() < 0.1 else f"word{rnd.randrange(300)}" for _ in range(n))
+    known = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "ES9121000418450200051332", "NL91ABNA0417164300", "DE89 3704 0044 0532 0130 00"]
+    plants = {
+        "iban": [f"Please transfer it to {x} by Friday" for x in known], "person_id": [f"His social security number is {a}." for a in ("078-05-1120", "219-09-9999", "457-55-5462")],
+        "email": ["You can reach me, anna.lee at example dot com, any time", "mail bob (at) firm.example.org", "ask carl[at]house.net", "dora_1 at post dot office dot info"],
+    }
+    alike = [f"Please transfer it to {x[:2]}{(int(x[2:4]) + 7) % 97:02d}{x[4:]} by Friday" for x in known] + [
+        "order part 219-09-9999 today", "His social security number is 000-12-3456.", "meet us at example.com for lunch", "the museum at www.example.org opens", "serial AB12CD34EF56GH78IJ90",
+    ]
+    rows, want = [], {}
+    for i in range(400):
+        kind = rnd.choice(["none", "alike", *plants])
+        own = "" if kind == "none" else rnd.choice(alike if kind == "alike" else plants[kind])
+        rows.append((i, f"{prose(rnd.randrange(3, 40))} {own} {prose(rnd.randrange(3, 40))}"))
+        want[i] = kind if kind in plants else ""
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in plants:
+        planted = [i for i, k in want.items() if k == kind]
+        assert len(planted) > 50 and np.mean([got[i].startswith(kind + ":") and "," not in got[i] for i in planted]) > 0.95, kind
+    others = [i for i, k in want.items() if not k]
+    assert np.mean([got[i] == "" for i in others]) > 0.98
+
+
 @pytest.mark.parametrize("text", ["a@b@c.d x@y a.b@-.-.. @q.r", "1.2.3.4.5.6.7.8 999.1.1.1 1.2.3", "4111-1111 1111-1111 1", "+1 2 3 +1(23)456-7890. +12", "a@b.c,d@e.f@g.h" * 50])
 def test_personal_data_rules(text):
     from tapewright.llm.pii_rules import KINDS, base_spans
@@ -199,6 +225,34 @@ def test_secrets(spark, docs, empty):
     assert out[9].spans.startswith("github:5:45") and out[9].n_assign == 0
 
 
+PREFIXES = {
+    "assign": ['password = "', "token", "password" + " " * 50, "api_key:"], "access": ["AKIA"], "hex": ["0123456789abcdef", "abcdef0123456789abcdef012345678-"], "github": ["ghp_", "ghp_" + "a" * 35],
+    "slack": ["xoxb-", "xoxb-12345"], "live_key": ["sk_live_"], "jwt": ["eyJ", "eyJabcdefgh.", "eyJabcdefgh.eyJ"], "url_login": ["://", "://user", "://user:", "://user:pass"],
+    "pem": ["-----BEGIN ", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----" + "A" * 64 + "\n", "A" * 64 + "\n"],
+}
+
+
+def test_every_pattern_is_linear(spark):
+    """A megabyte of the beginnings of each pattern, where trying again from every place would take hours."""
+    import time
+
+    assert set(PREFIXES) == {k for k, *_ in secret_scan.KINDS}
+    rows = [(i, (p * (1_000_000 // len(p) + 1))[:1_000_000], "s") for i, p in enumerate(x for xs in PREFIXES.values() for x in xs)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).cache()
+    d.count()
+    t0 = time.time()
+    got = {r.doc_id: r for r in secret_scan.digest(d).collect()}
+    assert len(got) == len(rows) and time.time() - t0 < 100
+
+
+def test_long_secrets_are_found_whole(spark):
+    key = "\n".join("".join(random.Random(i).choices("ABCDEFGHabcdefgh0123+/", k=64)) for i in range(1000))
+    text = f"x\n-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----\nurl https://{'u' * 90}:{'p4Ss' * 30}@host and token eyJ{'aB3' * 400}.eyJ{'cD4' * 400}.{'eF5' * 400} end"
+    got = {r.kind: text[r.start : r.stop] for r in secret_scan.judged(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()}
+    assert len(got["pem"]) > 65_000 and got["pem"].startswith("-----BEGIN") and got["pem"].endswith("-----END")
+    assert got["url_login"].endswith("p4Ss@") and len(got["jwt"]) == 2 * 1203 + 1202
+
+
 def test_secrets_copied_within_an_owner(spark):
     keys = [f"ghp_{c}B3dE6gH9jK2mN5pQ8sT1vW4yZ7cF0iL3oR6" for c in "abcd"]
     rows = [(i, f"text {i} {keys[0]}", "one") for i in range(20)]  # many documents of one owner
