@@ -54,10 +54,9 @@ def watch(factors: DataFrame, candidates: DataFrame, rules: Sequence[Rule], keys
 
     `factors` already starts at the first entry, so that row is the earliest one of its key.
     """
-    first = factors.groupBy(*keys).agg(F.min("ts_ms").alias("watch_ms"))
-    at = factors.join(first, list(keys)).filter(F.col("ts_ms") == F.col("watch_ms"))
     name = F.coalesce(*[F.when(r.matches(factors.columns), F.lit(r.name)) for r in rules])
-    return at.select(*keys, "watch_ms", name.alias("watch_event")).filter(F.col("watch_event").isNotNull())
+    first = factors.groupBy(*keys).agg(F.min("ts_ms").alias("watch_ms"), F.min_by(name, "ts_ms").alias("watch_event"))
+    return first.filter(F.col("watch_event").isNotNull())
 
 
 def entries(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapewright.functions.ranks import attach_scalars, exact_quantiles
 from tapewright.operators.exits import strategy_report
 
 
@@ -137,9 +138,10 @@ def gate_report(gated: DataFrame, results: DataFrame, momo_pct: float = 50.0) ->
         F.count(pnl).alias("n_traded_baseline"), F.count(F.when(live, pnl)).alias("n_traded_survivor"),
         F.avg(pnl).alias("baseline_expectancy"), F.avg(F.when(live, pnl)).alias("survivor_expectancy"),
         F.avg(win).alias("baseline_win_rate"), F.avg(F.when(live, win)).alias("survivor_win_rate"),
-        F.percentile(peak, 0.5).alias("baseline_median_peak"), F.percentile(F.when(live, peak), 0.5).alias("survivor_median_peak"),
         F.count(F.when(momo, 1)).alias("baseline_momo"), F.count(F.when(momo & live, 1)).alias("survivor_momo"),
     )
+    for name, rows in (("baseline", gated), ("survivor", gated.filter(live))):
+        g = attach_scalars(g, exact_quantiles(rows, "entry_to_peak_pct", {f"{name}_median_peak": 0.5}))
     return g.withColumn("expectancy_delta", F.col("survivor_expectancy") - F.col("baseline_expectancy")).withColumn(
         "momo_retention", F.col("survivor_momo") / F.greatest("baseline_momo", F.lit(1))
     )

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tapewright.functions.durable import checkpoint
+from tapewright.functions.components import components
 from tapewright.functions import session as S
 from tapewright.functions.extremes import window_extremes
 from tapewright.functions.numeric import ratio, round_scaled
@@ -141,25 +141,14 @@ def adjust_for_splits(bars: DataFrame, splits: DataFrame, decimals: int = 4) ->
 def connected_groups(edges: DataFrame, node: str, link: str) -> DataFrame:
     """Connected components of a bipartite node-link table: (node, group_id), group_id = smallest node.
 
-    Labels spread over links and, through a lookup of the label's own label, over the groups already
-    found, so the rounds grow with the logarithm of the longest chain. Each round is checkpointed; a hot
-    link is reduced by min() on the map side.
+    Nodes and links are nodes of one graph, nodes first in order, so the smallest of a component is a node.
     """
-    pairs = edges.select(node, link).filter(F.col(link).isNotNull()).distinct()
-    labels = edges.select(node).distinct().withColumn("group_id", F.col(node))
-    labels = checkpoint(labels)
-    while True:
-        by_link = pairs.join(labels, node).groupBy(link).agg(F.min("group_id").alias("_g"))
-        spread = pairs.join(by_link, link).groupBy(node).agg(F.min("_g").alias("_g"))
-        step = labels.join(spread, node, "left").select(node, F.least("group_id", F.coalesce("_g", "group_id")).alias("group_id"), F.col("group_id").alias("_old"))
-        jump = step.select(F.col(node).alias("_n"), F.col("group_id").alias("_gg"))
-        nxt = step.join(jump, F.col("group_id") == F.col("_n"), "left").select(
-            node, F.least("group_id", F.coalesce("_gg", "group_id")).alias("group_id"), "_old"
-        )
-        nxt = checkpoint(nxt)
-        labels = nxt.drop("_old")
-        if nxt.filter(F.col("group_id") != F.col("_old")).isEmpty():
-            return labels
+    rows = edges.filter(F.col(node).isNotNull())
+    types = {c: edges.schema[c].dataType for c in (node, link)}
+    end = lambda k, n, x: F.struct(F.lit(k).alias("k"), n.cast(types[node]).alias("n"), x.cast(types[link]).alias("x"))
+    of_link = rows.filter(F.col(link).isNotNull()).select(end(0, F.col(node), F.lit(None)).alias("a"), end(1, F.lit(None), F.col(link)).alias("b"))
+    found = components(of_link).filter("node.k = 0").select(F.col("node.n").alias(node), F.col("comp.n").alias("_g"))
+    return rows.select(node).distinct().join(found, node, "left").select(node, F.coalesce("_g", node).alias("group_id"))
 
 
 def ticker_groups(identities: DataFrame) -> DataFrame:

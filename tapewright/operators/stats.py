@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapewright.functions.numeric import ratio
 from tapewright.functions.pvalues import kolmogorov_p, student_p
-from tapewright.functions.ranks import attach_scalars, average_ranks, exact_quantiles, running_counts
+from tapewright.functions.ranks import RANGES, attach_scalars, average_ranks, exact_quantiles, running_counts
 
 # Outcome tiers by maximum return, right-closed bounds, and the tiers that count as winners.
 TIERS = (("loser", 0.0), ("flat", 10.0), ("small", 20.0), ("medium", 50.0))
@@ -71,8 +71,11 @@ def _with_p(df: DataFrame, rho: str) -> DataFrame:
 def _describe(df: DataFrame, value: str, keys: Sequence[str], quantiles: Mapping[str, float], weight: str | None = None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(1)
     v = F.col(value)
-    g = df.groupBy(*keys).agg(
-        F.sum(w).alias("n"), (F.sum(w * v) / F.sum(w)).alias("mean"), F.sum(w * v * v).alias("_q"), F.sum(w * v).alias("_s"),
+    # Squares are of distances to the overall mean, so that a large mean does not cancel the variance.
+    centred = attach_scalars(df, df.agg(F.avg(value).alias("_mid")))
+    off = v - F.col("_mid")
+    g = centred.groupBy(*keys).agg(
+        F.sum(w).alias("n"), (F.sum(w * v) / F.sum(w)).alias("mean"), F.sum(w * off * off).alias("_q"), F.sum(w * off).alias("_s"),
         (F.sum(F.when(v > 0, w).otherwise(0)) / F.sum(w)).alias("pos_rate"),
     )
     q = exact_quantiles(df, value, quantiles, keys, weight)
@@ -209,18 +212,44 @@ def condition_matrix(df: DataFrame, factors: Sequence[str], grid: Mapping[str, S
     return g.select(*factors, "n_signals", ratio("_hit", "n_signals").alias("precision"), ratio("_hit", "_total").alias("recall"), ratio("_s", "n_signals").alias("avg_return"))
 
 
-def condition_medians(df: DataFrame, factors: Sequence[str], grid: Mapping[str, Sequence[float]], value: str = "max_ret") -> DataFrame:
-    """Exact median of the value for every combination of given thresholds, from counted (cell, value) pairs."""
-    d = _cell_numbers(df.select(*factors, value), factors, grid)
-    pairs = d.groupBy(*[f"_i_{f}" for f in factors], *[f"_g_{f}" for f in factors], value).agg(F.count(F.lit(1)).alias("_n"))
-    return exact_quantiles(_expand_cells(pairs, factors), value, {"median_return": 0.5}, list(factors), "_n")
+def condition_medians(df: DataFrame, factors: Sequence[str], grid: Mapping[str, Sequence[float]], value: str = "max_ret", ranges: int = RANGES) -> DataFrame:
+    """Exact median of the value for every combination of given thresholds.
+
+    Values are cut into ranges. The cube of (cell, range) counts is expanded to combinations, which locates the range of each
+    combination's median; then only the values of that range are looked at, so rows meet the few combinations whose median lies
+    among them instead of all that they satisfy.
+    """
+    d = _cell_numbers(df.select(*factors, value).filter(F.col(value).isNotNull()), factors, grid)
+    at, numbers = [f"_i_{f}" for f in factors], [f"_k_{f}" for f in factors]
+    pairs = d.groupBy(*at, *[f"_g_{f}" for f in factors], value).agg(F.count(F.lit(1)).alias("_n"))
+    edges = pairs.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("_edges"))
+    pairs = attach_scalars(pairs, edges).withColumn("_r", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    cube = _expand_cells(pairs.groupBy(*at, *[f"_g_{f}" for f in factors], "_r").agg(F.sum("_n").alias("_n")), factors)
+    whole = Window.partitionBy(*factors)
+    upto = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    cube = cube.groupBy(*factors, *numbers, "_r").agg(F.sum("_n").alias("_n")).withColumns({"_before": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_half": (F.sum("_n").over(whole) - 1) / 2})
+    holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    lower, upper = F.floor("_half"), F.ceil("_half")
+    located = cube.filter(holds(lower) | holds(upper)).drop("_n")
+    inside = pairs.select(*at, "_r", value, F.col("_n").alias("_m"))
+    fits = inside["_r"] == located["_r"]
+    for f in factors:
+        fits = fits & (inside[f"_i_{f}"] >= located[f"_k_{f}"])
+    opened = located.join(inside, fits).groupBy(*factors, located["_r"].alias("_range"), "_before", "_half", value).agg(F.sum("_m").alias("_n"))
+    within = Window.partitionBy(*factors, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    opened = opened.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    low, high = (F.max(F.when(holds(k), F.col(value))) for k in (lower, upper))
+    ends = opened.groupBy(*factors).agg(low.alias("_low"), high.alias("_high"))
+    return ends.select(*factors, ((F.col("_low") + F.col("_high")) / 2).alias("median_return"))
 
 
 def _cell_numbers(d: DataFrame, factors: Sequence[str], grid: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Per factor its threshold array and how many of the thresholds the row exceeds."""
-    for f in [f for f in factors if f not in grid]:
-        q = exact_quantiles(d, f, {f"_q{i}": p for i, p in enumerate(GRID_PROBS)})
-        d = attach_scalars(d, q.select(F.array(*[f"_q{i}" for i in range(len(GRID_PROBS))]).alias(f"_g_{f}")))
+    """Per factor its threshold array and how many of the thresholds the row exceeds; thresholds not given are quantiles, all from one pass."""
+    free = [f for f in factors if f not in grid]
+    if free:
+        q = exact_quantiles(long_factors(d, free, []), "x", {f"_q{i}": p for i, p in enumerate(GRID_PROBS)}, ["factor"])
+        arrays = F.array(*[f"_q{i}" for i in range(len(GRID_PROBS))])
+        d = attach_scalars(d, q.agg(*[F.max(F.when(F.col("factor") == f, arrays)).alias(f"_g_{f}") for f in free]))
     for f in grid:
         d = d.withColumn(f"_g_{f}", F.array(*[F.lit(float(x)) for x in grid[f]]))
     for f in factors:

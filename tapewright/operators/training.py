@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tapewright.functions.numeric import ratio
 from tapewright.functions.ranks import attach_scalars, exact_quantiles
+from tapewright.operators.stats import long_factors
 
 # Phase codes and the default regression parameters.
 PHASES = {"early": 0, "mid": 1, "late": 2}
@@ -47,9 +48,9 @@ def date_folds(df: DataFrame, n: int = 5) -> DataFrame:
 
 def preprocess(df: DataFrame, factors: Sequence[str], q: float = CLIP) -> DataFrame:
     """Clip factors at their upper quantile and encode the session phase (-1 when unknown)."""
-    out = df
-    for f in factors:
-        out = attach_scalars(out, exact_quantiles(df, f, {f"_u_{f}": q}))
+    # All factors in one pass over long rows.
+    upper = exact_quantiles(long_factors(df, factors, []), "x", {"_u": q}, ["factor"])
+    out = attach_scalars(df, upper.agg(*[F.max(F.when(F.col("factor") == f, F.col("_u"))).alias(f"_u_{f}") for f in factors]))
     code = F.lit(-1)
     for name, c in PHASES.items():
         code = F.when(F.col("phase") == name, c).otherwise(code)

@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from tapewright.functions import session as S
+from tapewright.functions.durable import checkpoint
 from tapewright.functions.folds import thin_by_interval
 from tapewright.functions.rules import Condition, Rule, all_of, keyword_conditions, rule
 from tapewright.operators import events as E, joins as J, tick_factors as T, ticks as K
@@ -127,8 +128,9 @@ fragment(
 
 
 def staged(t):
+    """The factor rows of each day's candidates from their first entry on: few rows behind a long plan, read by both stages, so written."""
     c = candidates(t).select("date", "ticker", "first_entry_ms", F.col("gain_at_entry").alias("entry_gap_pct"))
-    return event_table(t).join(c, ["date", "ticker"]).filter("ts_ms >= first_entry_ms").drop("first_entry_ms")
+    return checkpoint(event_table(t).join(c, ["date", "ticker"]).filter("ts_ms >= first_entry_ms").drop("first_entry_ms"))
 
 
 _RANKED = "SELECT s.date, s.ticker, s.ts_ms, watch_ms, watch_event, r.i, r.rule FROM staged s JOIN watched USING (date, ticker) JOIN (" + " UNION ALL ".join(

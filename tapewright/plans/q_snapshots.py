@@ -41,10 +41,12 @@ fragment(
     FROM tw LEFT JOIN qw USING (ticker, window_ms) WINDOW w AS (PARTITION BY date, ticker ORDER BY window_ms)""",
 )
 _RANK = "CAST(row_number() OVER (PARTITION BY date, window_ms ORDER BY change_pct DESC NULLS LAST, ticker) AS INTEGER)"
-_FILL = """SELECT s.* EXCLUDE (window_ms, nxt), w.window_ms, w.window_ms <> s.window_ms AS carried, s.window_ms AS seen_ms
-    FROM (SELECT *, lead(window_ms) OVER (PARTITION BY date, ticker ORDER BY window_ms) AS nxt FROM {snap}) s
-    JOIN (SELECT DISTINCT date, window_ms FROM {snap}) w ON w.date = s.date AND w.window_ms >= s.window_ms
-      AND (s.nxt IS NULL OR w.window_ms < s.nxt)"""
+# Windows are numbered per date and each row is repeated up to its ticker's next one, so only equal values are joined.
+_NUMBERED = "SELECT date, window_ms, row_number() OVER (PARTITION BY date ORDER BY window_ms) AS i, count(*) OVER (PARTITION BY date) AS n FROM (SELECT DISTINCT date, window_ms FROM {snap})"
+_FILL = f"""SELECT s.* EXCLUDE (window_ms, j), w.window_ms, w.window_ms <> s.window_ms AS carried, s.window_ms AS seen_ms FROM (
+      SELECT * EXCLUDE (i, until), unnest(range(i, until + 1)) AS j FROM (
+        SELECT s.*, w.i, coalesce(lead(w.i) OVER (PARTITION BY s.date, s.ticker ORDER BY w.i) - 1, w.n) AS until FROM {{snap}} s JOIN ({_NUMBERED}) w ON w.date = s.date AND w.window_ms = s.window_ms)) s
+    JOIN ({_NUMBERED}) w ON w.date = s.date AND w.i = s.j"""
 fragment("filled", _FILL.format(snap="snap"))
 fragment("ranked_filled", f"SELECT *, {_RANK} AS rank FROM filled")
 fragment("top_rows", "SELECT * FROM (SELECT *, max(change_pct) OVER (PARTITION BY date, window_ms) AS best FROM ranked_filled) WHERE rank <= 20 AND best > 0")

@@ -19,37 +19,31 @@ def _latest_rows(rows: DataFrame) -> DataFrame:
 def process_stream(spark: SparkSession, stream: DataFrame, path: str, top_n: int = TOP_N) -> None:
     """Rank every arriving window over all tickers seen before on its date, and record first entries.
 
-    The state between batches is the newest row per (date, ticker) of the newest date, plus the entries
-    recorded so far; both are tables under `path`, written per batch, so a restart resumes from them and
-    a replayed batch overwrites its own output.
+    The state between batches is one row per ticker of the newest date: its newest row and whether its first entry is
+    recorded. A batch reads what the batch before it wrote and writes the other of two folders, so the state does not grow
+    with the batches, a restart resumes from it, and a replayed batch finds its input unchanged and replaces its own output.
+    Ranks and entries are written per batch under `path`.
     """
 
-    def table(name: str, before: int, schema) -> DataFrame:
-        try:
-            return spark.read.parquet(f"{path}/{name}").filter(F.col("batch_id") < before)
-        except Exception as e:  # noqa: BLE001 - the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], schema)
-
-    def write(df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch}")
+    def write(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
 
     def run(batch_df: DataFrame, batch: int) -> None:
         batch_df = checkpoint(batch_df)  # read once, used by every table below
         cols = batch_df.columns
-        state = table("state", batch, batch_df.withColumn("batch_id", F.lit(0)).schema)
-        newest = state.agg(F.max("batch_id")).first()[0]
-        prior = state.filter(F.col("batch_id") == newest).select(*cols) if newest is not None else batch_df.limit(0)
-        rows = prior.unionByName(batch_df)
+        fresh = batch_df.withColumn("entered", F.lit(False))
+        state = spark.read.schema(fresh.schema).parquet(f"{path}/state/{(batch - 1) % 2}") if batch else fresh.limit(0)
+        rows = state.select(*cols).unionByName(batch_df)
         arrived = batch_df.select("date", "window_ms").distinct()
         # Carried rows are needed at the arrived windows only; the prior rows seed them.
         filled = carry_forward(rows).join(arrived, ["date", "window_ms"], "left_semi")
-        write(rank_cross_section(filled), "ranked", batch)
-        entered = top_entries(filled, top_n).groupBy("date", "ticker").agg(F.min("window_ms").alias("first_entry_ms"))
-        known = table("entries", batch, entered.withColumn("batch_id", F.lit(0)).schema)
-        write(entered.join(known.select("date", "ticker"), ["date", "ticker"], "left_anti"), "entries", batch)
-        keep = attach_scalars(_latest_rows(rows), rows.agg(F.max("date").alias("_d"))).filter(F.col("date") == F.col("_d")).drop("_d")
-        write(keep, "state", batch)
+        write(rank_cross_section(filled), f"ranked/batch_id={batch}")
+        first = top_entries(filled, top_n).groupBy("date", "ticker").agg(F.min("window_ms").alias("first_entry_ms"))
+        known = state.filter("entered").select("date", "ticker")
+        entered = checkpoint(first.join(known, ["date", "ticker"], "left_anti"))
+        write(entered, f"entries/batch_id={batch}")
+        newest = attach_scalars(_latest_rows(rows), rows.agg(F.max("date").alias("_d"))).filter(F.col("date") == F.col("_d")).drop("_d")
+        marks = known.unionByName(entered.select("date", "ticker")).distinct().withColumn("_e", F.lit(True))
+        write(newest.join(marks, ["date", "ticker"], "left").select(*cols, F.coalesce("_e", F.lit(False)).alias("entered")), f"state/{batch % 2}")
 
     each_batch(stream, path, run)

@@ -1,5 +1,6 @@
 """Streams give what the batch operators give; late rows are dropped; state survives a restart."""
 
+import datetime
 import os
 
 import pytest
@@ -67,3 +68,31 @@ def test_keyed_bars_drop_late_trades(spark, tmp_path):
     got = sorted((r["close"], r["volume"]) for r in spark.read.parquet(f"{path}/data").collect())
     assert got == [(10.0, 5), (11.0, 5)]
     assert [(r["close"], r["volume"]) for r in B.open_bars(spark, path).collect()] == [(12.0, 5)]
+
+
+def test_snapshot_state_does_not_grow(spark, tmp_path):
+    """Batches of one date: the state stays a row a ticker, first entries are recorded once, a new date starts anew."""
+    from tapewright.streaming import snapshots as SX
+
+    path = str(tmp_path)
+    schema = "date date, ticker string, window_ms long, price double, change_pct double"
+    day = [datetime.date(2024, 1, 9), datetime.date(2024, 1, 10)]
+    like = spark.createDataFrame([], schema)
+    best, sizes = {}, []
+    for b in range(13):
+        d = day[b // 12]
+        rows = [(d, f"T{i}", b * 5_000, 10.0, float((i * 7 + b * 3) % 11)) for i in range(8) if b % 12 == 0 or (i + b) % 3]
+        for r in rows:
+            best.setdefault((d, b), {})[r[1]] = r[4]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        SX.process_stream(spark, stream_parquet(spark, f"{path}/in", like), path, 2)
+        sizes.append((spark.read.parquet(f"{path}/state/{b % 2}").count(), len(os.listdir(f"{path}/state"))))
+    assert {n for n, _ in sizes} == {8} and sizes[-1][1] == 2
+    want, held = {}, {}
+    for (d, b), values in sorted(best.items()):
+        now = held.setdefault(d, {})
+        now.update(values)
+        for t in sorted(now, key=lambda t: (-now[t], t))[:2]:
+            want.setdefault((d, t), b * 5_000)
+    got = spark.read.parquet(f"{path}/entries").collect()
+    assert {(r["date"], r["ticker"]): r["first_entry_ms"] for r in got} == want and len(got) == len(want)
