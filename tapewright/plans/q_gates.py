@@ -151,7 +151,7 @@ def contexts(t):
     """Candidate table: path features, factor snapshot at entry, profile."""
     snap = entry_snapshot(t).select("entry_id", "date", "gain_at_entry", *SNAP_NAMES)
     users = t.read("events").select(F.col("event_type").alias("ticker"), F.expr("unix_millis(CAST(ts AS TIMESTAMP))").alias("entry_ms"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("_wide"))
-    feats = I.trade_intensity(path(t), M)
+    feats = checkpoint(I.trade_intensity(path(t), M))  # one row a candidate, used twice
     users = users.join(feats.select("ticker", "entry_ms"), ["ticker", "entry_ms"], "left_semi").groupBy("ticker", "entry_ms").agg(F.min("_wide").alias("_wide"))
     prof = t.profiles().select(F.col("ticker").alias("_wide"), "country", "sector", "float_shares", "market_cap")
     return feats.join(snap, "entry_id").join(users, ["ticker", "entry_ms"], "left").join(prof, "_wide", "left").drop("_wide")
