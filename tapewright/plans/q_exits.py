@@ -169,7 +169,30 @@ def _(t):
 TRAILING = X.PartialExits("trailing", ((5.0, 0.50), (15.0, 0.30)), 8.0, trail_trigger=5.0, trail=4.0, max_hold_min=480)
 
 
-@query("X1_scaled_exits_trailing")
+def trailing_sql(c: X.PartialExits) -> str:
+    """SQL of a scaled exit with a trailing stop, which starts at the first sale at or above the trigger."""
+    big, k = 2**62, range(len(c.steps))
+    firsts = "".join(f", coalesce(min(step) FILTER (gain >= {at}), {big}) AS f{i}, arg_min(gain, step) FILTER (gain >= {at}) AS g{i}" for i, (at, _) in enumerate(c.steps))
+    start = "least(" + ", ".join(f"CASE WHEN g{i} >= {c.trail_trigger} THEN f{i} ELSE {big} END" for i in k) + f", {big})"
+    w = "".join(f", CASE WHEN f{i} < cut AND f{i} <= tm THEN {s} ELSE 0 END AS w{i}" for i, (_, s) in enumerate(c.steps))
+    left_at_time = "1" + "".join(f" - CASE WHEN f{i} <= tm THEN {s} ELSE 0 END" for i, (_, s) in enumerate(c.steps))
+    sold = " + ".join(f"w{i}" for i in k)
+    gains = "".join(f" + coalesce(max(gain) FILTER (step = f{i}) * any_value(w{i}), 0)" for i in k)
+    reason = lambda hit: f"CASE WHEN any_value({hit}) THEN any_value(rest) ELSE 0 END"
+    return f"""WITH p AS (SELECT *, (px - entry_price) / entry_price * 100 AS gain FROM path),
+      f AS (SELECT entry_id, coalesce(min(step) FILTER (gain <= -{c.stop_loss}), {big}) AS st, coalesce(min(step) FILTER ((ts_ms - entry_ms) / 60000.0 >= {c.max_hold_min}), {big}) AS tm{firsts} FROM p GROUP BY 1),
+      r AS (SELECT p.*, f.* EXCLUDE (entry_id), {start} AS a FROM p JOIN f USING (entry_id)),
+      t AS (SELECT entry_id, min(step) AS tr FROM (SELECT *, (max(px) OVER (PARTITION BY entry_id ORDER BY step) - entry_price) / entry_price * 100 AS top FROM r WHERE step >= a) WHERE step > a AND gain <= top - {c.trail} GROUP BY 1),
+      x AS (SELECT *, least(cut, lim) AS e, 1 - ({sold}) AS rest, {sold} AS sold FROM (SELECT *{w}, CASE WHEN tm < cut AND {left_at_time} > 1e-12 THEN tm ELSE {big} END AS lim FROM (
+        SELECT r.*, coalesce(tr, {big}) AS tr, least(st, coalesce(tr, {big})) AS cut FROM r LEFT JOIN t USING (entry_id))))
+      SELECT entry_id, '{c.name}' AS strategy, coalesce(max(gain) FILTER (step = e), arg_max(gain, step)) * any_value(rest){gains} AS return_pct, any_value(sold) AS take_profit_share,
+        {reason(f'e = st AND e < {big}')} AS stop_loss_share, {reason(f'e = tr AND e <> st AND e < {big}')} AS trailing_share, {reason(f'e = lim AND e <> st AND e <> tr AND e < {big}')} AS time_share, {reason(f'e = {big}')} AS close_share,
+        greatest(any_value(entry_price), max(px) FILTER (step <= e)) AS max_price, least(any_value(entry_price), min(px) FILTER (step <= e)) AS min_price,
+        CASE WHEN max(px) FILTER (step <= e) > any_value(entry_price) THEN arg_min(ts_ms, (-px, step)) FILTER (step <= e) - any_value(entry_ms) ELSE 0 END AS time_to_max_ms,
+        CASE WHEN min(px) FILTER (step <= e) < any_value(entry_price) THEN arg_min(ts_ms, (px, step)) FILTER (step <= e) - any_value(entry_ms) ELSE 0 END AS time_to_min_ms FROM x GROUP BY 1"""
+
+
+@query("X1_scaled_exits_trailing", f"SELECT * FROM ({trailing_sql(TRAILING)})", PART_F)
 def _(t):
     return X.partial_exits(path(t), TRAILING).select(*PART_COLS)
 

@@ -18,24 +18,29 @@ def stream_parquet(spark: SparkSession, path: str, like: DataFrame, glob: str |
     return r.parquet(path)
 
 
+def _to_files(stream: DataFrame, path: str):
+    return stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+
+
 def append_files(stream: DataFrame, path: str) -> None:
     """Process what is available, appending to Parquet files with an exactly-once file sink."""
-    q = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _to_files(stream, path).awaitTermination()
 
 
 def drain_files(stream: DataFrame, path: str) -> None:
     """`append_files` for a query with clock timers, which without new input would have empty batches forever.
 
-    Only batches with input are run; what the timers would emit later stays in the state.
+    Only batches with input are run; what the timers would emit later stays in the state. A query takes a copy of the
+    session when it starts, so the setting is back before the first batch runs and no other query is started under it.
     """
     conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(key)
     conf.set(key, "false")
     try:
-        append_files(stream, path)
+        query = _to_files(stream, path)
     finally:
         conf.set(key, before)
+    query.awaitTermination()
 
 
 def each_batch(stream: DataFrame, path: str, fn: Callable[[DataFrame, int], None], mode: str = "append") -> None:
