@@ -208,3 +208,25 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     gone = groups(docs, shingle, similarity).filter(F.col("id") != F.col("component_id")).select("id", "mark").distinct()
     rows = whole_rows(docs)
     return rows.join(gone, same_document(rows, gone), "left_anti").select("row.*")
+
+
+#: The definition itself: all pairs of documents that share a shingle, and a walk over their links.
+DIGEST_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM words
+), shingles AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM sets d JOIN least USING (doc_id)
+"""

@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.DIGEST_SQL,
     "op5_decontaminate": decontaminate.REPORT_SQL,
+    "op9_minmax": minmax.DIGEST_SQL,
     "op11_inverted_multi_index": hard_negatives.MINE_SQL,
     "op13_jump_hash": sharding.DIGEST_SQL,
 }
