@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from tapewright.functions.durable import checkpoint
 from tapewright.llm.common import documents
@@ -19,14 +20,20 @@ ANCHORS = (
     "al como con del el ella en entre es esta este la las lo los más no o para pero por se sin su sus un una y"
 ).split()
 CHAIN = 2
+#: Of texts without such words, one word of so many is an anchor.
+HASHED = 4
+#: Ids that cut the ranges where ids are no whole numbers, at most.
+SAMPLED_IDS = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def signatures(text: str):
     """Sorted distinct 32-bit signatures of a text.
 
-    Each anchor gives one: the anchor and the next CHAIN words that are no anchors, fewer at the end. A text
-    that gives none has one of all its words; without words, one of its characters; an empty text has none.
+    Each anchor gives one: the anchor and the next CHAIN words that are no anchors, fewer at the end. A text whose common words
+    give none (keyword lists, other languages) has anchors that do not depend on any list: the words whose hash is 0 modulo
+    HASHED, or every word where there are none, each with the next CHAIN words. Without words it has one of its
+    characters; an empty text has none.
     """
     import numpy as np
     from xxhash import xxh3_64_intdigest
@@ -41,10 +48,13 @@ def signatures(text: str):
     held = nxt < len(content)
     at, nxt = at[held], nxt[held]
     if not len(at):
-        whole = xxh3_64_intdigest(" ".join(words) or text) & 0xFFFFFFFF
-        return np.array([whole] if text else [], np.uint32)
+        if not len(h):
+            return np.array([xxh3_64_intdigest(text) & 0xFFFFFFFF] if text else [], np.uint32)
+        at = np.nonzero(mix(h) % np.uint64(HASHED) == 0)[0]
+        at = at if len(at) else np.arange(len(h))
+        content, nxt = np.arange(len(h)), at + 1
     sig = mix(h[at])
-    chain = np.concatenate([h[content], np.zeros(CHAIN, np.uint64)])
+    chain = np.concatenate([h[content], np.zeros(CHAIN + 1, np.uint64)])
     for j in range(CHAIN):
         sig = mix(sig + chain[nxt + j])
     return np.unique((sig >> np.uint64(32)).astype(np.uint32))
@@ -73,8 +83,15 @@ def _in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = documents(docs).select("id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(d.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    cuts = [int(c) for c in cuts]
+    kind = d.schema["id"].dataType
+    if parts < 2:
+        cuts = []
+    elif isinstance(kind, IntegralType):
+        cuts = [int(c) for c in sorted(set(d.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)))]
+    else:  # of other types, quantiles of a bounded sample, in the order of a hash
+        sample = sorted(r[0] for r in d.filter("id IS NOT NULL").select("id").distinct().orderBy(F.xxhash64("id")).limit(SAMPLED_IDS).collect())
+        cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    ids = f"array<{kind.simpleString()}>"
     width = max(1, math.isqrt(len(cuts)))
     coarse = cuts[::width]
     fine = [[]] + [cuts[i + 1 : i + width] for i in range(0, len(cuts), width)]
@@ -83,8 +100,8 @@ def _in_order(docs: DataFrame) -> DataFrame:
         return F.size(F.filter(edges, lambda e: e <= F.col("id")))
 
     if cuts:
-        c = below(F.lit(coarse).cast("array<long>"))
-        rows = F.array(*[F.lit(x).cast("array<long>") if x else F.array().cast("array<long>") for x in fine])
+        c = below(F.lit(coarse).cast(ids))
+        rows = F.array(*[F.lit(x).cast(ids) if x else F.array().cast(ids) for x in fine])
         bucket = F.when(F.col("id").isNull() | (c == 0), 0).otherwise((c - 1) * width + below(F.get(rows, c)) + 1)
     else:
         bucket = F.lit(0)
@@ -94,14 +111,14 @@ def _in_order(docs: DataFrame) -> DataFrame:
         return dealt.withColumn("look", F.lit(0))
     order, n = sorted(firsts), max(firsts) + 1
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    first_id = F.lit([None if b not in firsts or firsts[b]["null"] else firsts[b]["id"] for b in range(n)]).cast("array<long>")
+    first_id = F.lit([None if b not in firsts or firsts[b]["null"] else firsts[b]["id"] for b in range(n)]).cast(ids)
     previous = F.lit([before.get(b, 0) for b in range(n)]).cast("array<int>")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("look"))
     copy = F.struct(F.get(previous, F.col("bucket")).alias("bucket"), F.lit(1).alias("look"))
     to = F.when(F.col("id").eqNullSafe(F.get(first_id, F.col("bucket"))), F.array(own, copy)).otherwise(F.array(own))
     return (
         dealt.withColumn("to", F.explode(to)).select("id", "text", "to.bucket", "to.look")
-        .repartition(parts, "bucket").sortWithinPartitions("bucket", "look", F.col("id").asc_nulls_first(), "text")
+        .repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "look", F.col("id").asc_nulls_first(), "text")
     )
 
 

@@ -202,6 +202,28 @@ def test_planted_kinds_are_found_and_look_alikes_are_not(spark):
     assert np.mean([got[i] == "" for i in others]) > 0.98
 
 
+def test_fingerprints_of_string_ids(spark):
+    """Ids of any type; the next document is that of the next id in their own order."""
+    rnd = random.Random(4)
+    rows = [(f"id-{rnd.randrange(10**6)}-ä{i}", " ".join(f"the w{rnd.randrange(60)}" for _ in range(30))) for i in range(150)]
+    got = {r.doc_id: r for r in spotsigs.digest(spark.createDataFrame(rows, "doc_id string, text string").repartition(7)).collect()}
+    order = sorted(rows, key=lambda r: r[0].encode())
+    assert len(got) == len(rows)
+    for (i, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        assert got[i].edited_sha256 == hashlib.sha256((text[: len(text) - len(text) // 4] + after[: len(text) // 4]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("words", [[f"k{chr(97 + i // 20)}{chr(97 + i % 20)}ey" for i in range(200)], ["zamanda", "buradan", "yine", "geldik", "ancak", "dönüş", "yolu", "uzun"] * 12, ["alone"]])
+def test_texts_without_common_words_have_several_signatures(words):
+    random.seed(1)
+    text = " ".join(random.sample(words, len(words)))
+    sig = spotsigs.signatures(text)
+    assert len(sig) >= min(3, len(set(words)))
+    if len(set(words)) > 8:
+        edited = " ".join(text.split()[: len(words) * 3 // 4] + [f"new{chr(97 + i % 26)}" for i in range(len(words) // 4)])
+        assert 0.4 < spotsigs.likeness(sig, spotsigs.signatures(edited)) < 0.9
+
+
 @pytest.mark.parametrize("text", ["a@b@c.d x@y a.b@-.-.. @q.r", "1.2.3.4.5.6.7.8 999.1.1.1 1.2.3", "4111-1111 1111-1111 1", "+1 2 3 +1(23)456-7890. +12", "a@b.c,d@e.f@g.h" * 50])
 def test_personal_data_rules(text):
     from tapewright.llm.pii_rules import KINDS, base_spans
