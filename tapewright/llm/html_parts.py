@@ -28,8 +28,9 @@ PHRASE = 8
 MAIN_TAGS = frozenset(("article", "main"))
 
 
-def _boiler(tag: str, attrs: str) -> bool:
-    if tag in BOILER_TAGS:
+def _boiler(tag: str, attrs: str, in_main: bool) -> bool:
+    """Whether an element is boilerplate by its name or class. Forms are judged with the page; the header of an article is its title."""
+    if tag in BOILER_TAGS and tag != "form" and not (in_main and tag == "header"):
         return True
     if tag in ("body", "html") or not attrs:
         return False
@@ -44,12 +45,15 @@ def read(page: str) -> tuple[list, list]:
 
     A segment is (path, words, is tag): the chain of open elements with the words, or phrases, of a text in it, or, for
     an opening tag, with the name of an inline element. A block is (text, boiler, main, first, end) with
-    its range of segments.
+    its range of segments. A form is boilerplate, but not around an article, and not where no other text is left: some pages
+    lie in one form whole.
     """
     segments: list[tuple[int, list[str], bool]] = []
     blocks: list[tuple[str, bool, bool, int, int]] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, path, depth of boilerplate, depth of main
-    paths: dict[tuple[int, str, str], tuple[int, bool]] = {}
+    around: list[bool] = []  # of each block: in a form that is not inside an article
+    # tag, path, depth of boilerplate (forms inside articles among it), depth of main, depth of forms around
+    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+    paths: dict[tuple[int, str, str, bool], tuple[int, bool]] = {}
     parts: list[str] = []
     first = 0
 
@@ -57,6 +61,7 @@ def read(page: str) -> tuple[list, list]:
         text = " ".join("".join(parts).split())
         if text:
             blocks.append((text, at[2] > 0, at[3] > 0, first, len(segments)))
+            around.append(at[4] > 0 and not at[3])
         parts.clear()
 
     at = stack[-1]
@@ -96,16 +101,20 @@ def read(page: str) -> tuple[list, list]:
                 if stack[k][0] in BLOCKS and stack[k][0] not in ("p", "li", "dt", "dd", "tr"):
                     break
             up = stack[-1]
-            known = paths.get((up[1], tag, attrs))
+            in_main = up[3] > 0
+            known = paths.get((up[1], tag, attrs, in_main))
             if known is None:
-                known = paths[up[1], tag, attrs] = (hash_path(up[1], tag, attrs) if block else up[1], _boiler(tag, attrs))
+                known = paths[up[1], tag, attrs, in_main] = (hash_path(up[1], tag, attrs) if block else up[1], _boiler(tag, attrs, in_main))
             segments.append((known[0], ["" if block else tag], True))
             if tag not in VOID and not attrs.endswith("/"):
-                stack.append((tag, known[0], up[2] + known[1], up[3] + (tag in MAIN_TAGS)))
+                form = tag == "form"
+                stack.append((tag, known[0], up[2] + (known[1] or form and in_main), up[3] + (tag in MAIN_TAGS), up[4] + (form and not in_main)))
         at = stack[-1]
         if block:
             first = len(segments)
     flush()
+    if any(around) and any(not boiler and not form for (_, boiler, *_), form in zip(blocks, around, strict=True)):
+        blocks = [(text, boiler or form, *rest) for (text, boiler, *rest), form in zip(blocks, around, strict=True)]
     return segments, blocks
 
 

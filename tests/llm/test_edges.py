@@ -350,6 +350,22 @@ def test_pages(spark):
     assert html_template.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><form action=x><div>Whole page</div><p>in one form<input name=q></p><nav>Menu</nav></form></body>", "Whole page\n\nin one form"),
+        ("<body><form><article><p>Article in a form</p></article><p>Label</p></form><p>after</p></body>", "Article in a form"),
+        ("<body><article><header><h1>Title</h1></header><p>Text</p><form><p>Your mail</p></form></article></body>", "Title\n\nText"),
+        ("<body><header><p>Site</p></header><p>Text</p><form><p>Subscribe</p></form></body>", "Text"),
+        ("<body><p>Text</p><form class=search><p>Find</p></form></body>", "Text"),
+        ("<body><form class=search><p>Find</p></form></body>", ""),
+    ],
+)
+def test_forms_around_and_inside(spark, page, want):
+    df = spark.createDataFrame([(1, "https://f.example/1", page)], "page_id long, url string, html string")
+    assert html_template.extract(df).first().text == want
+
+
 def test_pipeline_on_edges(spark, tmp_path, docs, bench, labels):
     for name, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
