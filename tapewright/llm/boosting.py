@@ -1,4 +1,4 @@
-"""A small gradient-boosted classifier for one driver-side fit on a bounded sample."""
+"""A small gradient-boosted classifier for one driver-side fit on weighted rows of a bounded number of forms."""
 
 from __future__ import annotations
 
@@ -6,20 +6,26 @@ import numpy as np
 
 
 class BoostedTrees:
-    """Logistic boosting of trees of fixed depth over at most `bins` cuts a feature; calibrated by a logistic curve."""
+    """Logistic boosting of trees of fixed depth over at most `bins` cuts a feature; calibrated by a logistic curve. A row counts as often as its weight says."""
 
     def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16):
         self.rounds, self.depth, self.rate, self.bins = rounds, depth, rate, bins
         self.trees: list = []
         self.start, self.slope, self.shift = 0.0, 1.0, 0.0
 
-    def fit(self, x, y) -> BoostedTrees:
-        self.start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+    def _cuts(self, c, w):
+        order = np.argsort(c, kind="stable")
+        below = np.cumsum(w[order])
+        at = np.searchsorted(below, np.linspace(0, 1, self.bins + 1)[1:-1] * below[-1])
+        return np.unique(c[order][np.minimum(at, len(c) - 1)])
+
+    def fit(self, x, y, w) -> BoostedTrees:
+        self.start = float(np.log(((w * y).sum() + 1) / ((w * (1 - y)).sum() + 1)))
+        cuts = [self._cuts(c, w) for c in x.T]
         f = np.full(len(y), self.start)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(x, y - p, p * (1 - p), np.arange(len(y)), cuts, self.depth)
+            tree = self._grow(x, w * (y - p), w * p * (1 - p), np.arange(len(y)), cuts, self.depth)
             self.trees.append(tree)
             f = f + self.rate * self._walk(tree, x)
         return self
@@ -53,13 +59,13 @@ class BoostedTrees:
     def raw(self, x):
         return self.start + self.rate * sum(self._walk(t, x) for t in self.trees)
 
-    def calibrate(self, x, y) -> BoostedTrees:
+    def calibrate(self, x, y, w) -> BoostedTrees:
         """Logistic curve through the raw scores of held-out rows, by gradient steps."""
-        f = np.clip(self.raw(x), -20, 20)
+        f, w = np.clip(self.raw(x), -20, 20), w / w.sum()
         a, b = 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-(a * f + b)))
-            a, b = a + 0.02 * float(((y - p) * f).mean()), b + 0.2 * float((y - p).mean())
+            a, b = a + 0.02 * float((w * (y - p) * f).sum()), b + 0.2 * float((w * (y - p)).sum())
         self.slope, self.shift = a, b
         return self
 

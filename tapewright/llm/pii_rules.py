@@ -136,17 +136,21 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return [(m.start(), r, m.end()) for r, (_, p) in enumerate(CANDIDATES) for m in p.finditer(text)]
 
 
-def features(text: str, start: int, rank: int, end: int) -> list[float]:
-    """Format of the span and words around it."""
+#: Greatest values of the features that count: length, digits, groups, longest group, lengths of groups. The distinct share of the digits goes by tenths.
+CAPS = (40, 24, 8, 16, 4)
+
+
+def features(text: str, start: int, rank: int, end: int) -> bytes:
+    """Format of the span and words around it, as small whole numbers, so that there are only so many forms of candidates."""
     span = text[start:end]
     digits = "".join(c for c in span if "0" <= c <= "9")
     groups = re.split(r"[^0-9]+", span.strip("+() "))
     before, after = text[max(0, start - 40) : start], text[end : end + 20]
     own = [
-        *(float(rank == r) for r in range(len(CANDIDATES))),
-        float(len(span)), float(len(digits)), float(len(groups)), float(max(map(len, groups))), float(len(set(map(len, groups)))),
-        float(span[:1] == "+"), float("(" in span), float(luhn(digits) if digits else 0), float(all(len(g.lstrip("0")) <= 3 and int(g.lstrip("0") or 0) <= 255 for g in groups)),
-        float(len(set(digits)) / max(1, len(digits))), float("@" in span), float(before[-1:].isalnum()), float(after[:1].isalnum()),
-        float(rank == 4 and iban(span)), float(rank == 5 and person_id(span)), float(rank == 0 and bool(BRACKET_AT.search(span))), float(rank == 0 and bool(SPELLED_DOT.search(span))),
+        *(rank == r for r in range(len(CANDIDATES))),
+        *map(min, (len(span), len(digits), len(groups), max(map(len, groups)), len(set(map(len, groups)))), CAPS),
+        span[:1] == "+", "(" in span, bool(digits) and luhn(digits), all(len(g.lstrip("0")) <= 3 and int(g.lstrip("0") or 0) <= 255 for g in groups),
+        10 * len(set(digits)) // max(1, len(digits)), "@" in span, before[-1:].isalnum(), after[:1].isalnum(),
+        rank == 4 and iban(span), rank == 5 and person_id(span), rank == 0 and bool(BRACKET_AT.search(span)), rank == 0 and bool(SPELLED_DOT.search(span)),
     ]
-    return own + [float(bool(p.search(before))) for p in CONTEXT]
+    return bytes(own) + bytes(bool(p.search(before)) for p in CONTEXT)

@@ -202,6 +202,19 @@ def test_planted_kinds_are_found_and_look_alikes_are_not(spark):
     assert np.mean([got[i] == "" for i in others]) > 0.98
 
 
+def test_the_model_learns_from_all_documents(spark):
+    """Candidates are counted over every document, also those of one id and of none, and few forms give the same base spans."""
+    from tapewright.llm import pii_rules
+
+    rows = [(None if i % 50 == 0 else i // 2, f"call +1 555 {i:07d} or write a{i}@b.org" if i % 3 else f"version {i}.2.3.4") for i in range(6_000)]
+    found = pii.proposals(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).cache()
+    want = sum(len(pii_rules.candidates(t)) for _, t in rows)
+    forms = pii.counted_forms(found).count()
+    assert sum(r.n for r in pii.counted_forms(found).collect()) == sum(r.n for r in pii.counted_forms(found, 3).collect()) == want
+    assert pii.train(found)[2] == 0 and pii.train(found, forms - 1)[2] > 0
+    assert set(pii.train(found, forms - 1)[1]) >= {0}
+
+
 def test_fingerprints_of_string_ids(spark):
     """Ids of any type; the next document is that of the next id in their own order."""
     rnd = random.Random(4)
