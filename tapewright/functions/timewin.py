@@ -1,10 +1,12 @@
 """Time-bucketed windows: the way every tick-level window and as-of lookup is distributed.
 
 A window partitioned by ticker alone puts a whole ticker in one task, and one hot ticker may hold a
-third of all ticks. Two helpers split a ticker by time instead:
+third of all ticks. Three helpers split a ticker by time instead:
 
 * `range_windows` partitions by (keys, time bucket) and copies a row into the neighbouring buckets
   whose frames can see it (a halo no wider than the frame). Only the bucket that owns a row emits it.
+* `sliding` aggregates over one time-range frame in work linear in the rows, however many a frame holds;
+  a frame of `range_windows` is gone through anew for each row, which suits few rows a frame.
 * `asof_join` finds the last row at or before a time. Each (key, bucket) is first reduced to its last
   row; those summaries (one per key and bucket, so bounded by the calendar) are carried forward over
   empty buckets, and the carried row is placed in front of the bucket it belongs to.
@@ -60,6 +62,45 @@ def range_windows(
     return out.drop(_BUCKET, _OWN)
 
 
+_MERGE = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "count": (F.count, lambda a, b: a + b), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def sliding(df: DataFrame, keys: Sequence[str], ts: str, frames: Mapping[str, tuple[str, Column]], start_ms: int, end_ms: int = 0, keep: Column | None = None) -> DataFrame:
+    """Add (kind, value) aggregates over the key's rows in [t + start_ms, t + end_ms]; kind is sum, avg, count, max or min.
+
+    Time is cut into blocks as long as the frame, so a frame is the end of one block and the beginning of the next. Either is a
+    running aggregate: of the block's own rows up to t, and of the rows of the block before, moved by one length, after t. Nothing
+    is subtracted. Rows without a time are left out. `keep` drops rows that only serve as frame content.
+    """
+    length = end_ms - start_ms + 1
+    parts = {}
+    for n, (kind, value) in frames.items():
+        parts |= {(n, "sum"): ("sum", value), (n, "count"): ("count", value)} if kind == "avg" else {(n, kind): (kind, value)}
+    # 0 is the row itself, 1 what it adds to the frames of its block, 2 to those of the next one.
+    side, t = F.col("_sl.s"), F.col(ts).cast("long")
+    moved = [F.struct(F.lit(0).alias("s"), t.alias("t")), F.struct(F.lit(1).alias("s"), (t - end_ms).alias("t")), F.struct(F.lit(2).alias("s"), (t - end_ms + length).alias("t"))]
+    if end_ms or keep is not None:
+        own = side == 1
+        moved = F.array(*moved) if keep is None else F.when(keep, F.array(*moved)).otherwise(F.array(*moved[1:]))
+    else:
+        own = side == 0
+        moved = F.array(moved[0], moved[2])
+    rows = df.filter(t.isNotNull()).select(
+        *[F.col(k).alias(f"_sl_{k}") for k in keys], F.struct(*df.columns).alias("_sl_row"), *[v.alias(f"_sl_v{i}") for i, (_, v) in enumerate(parts.values())], F.explode(moved).alias("_sl")
+    )
+    rows = rows.select(
+        *[f"_sl_{k}" for k in keys], F.when(side == 0, F.col("_sl_row")).alias("_sl_row"), "_sl", floor_div("_sl.t", length).alias("_sl_block"),
+        *[F.when(c, F.col(f"_sl_v{i}")).alias(f"_sl_{n}{i}") for i in range(len(parts)) for n, c in (("a", own), ("b", side == 2))],
+    )
+    block = Window.partitionBy(*[f"_sl_{k}" for k in keys], "_sl_block")
+    until, after = block.orderBy(F.col("_sl.t")).rangeBetween(UNB, 0), block.orderBy(-F.col("_sl.t")).rangeBetween(UNB, -1)
+    for part, w in (("a", until), ("b", after)):
+        rows = rows.select("*", *[_MERGE[kind][0](f"_sl_{part}{i}").over(w).alias(f"_sl_{part}w{i}") for i, (kind, _) in enumerate(parts.values())])
+    whole = {part: _MERGE[kind][1](F.col(f"_sl_aw{i}"), F.col(f"_sl_bw{i}")) for i, (part, (kind, _)) in enumerate(parts.items())}
+    value = lambda n, kind: whole[n, "sum"] / F.when(whole[n, "count"] > 0, whole[n, "count"]) if kind == "avg" else whole[n, kind]
+    return rows.filter(side == 0).select("_sl_row.*", *[value(n, kind).alias(n) for n, (kind, _) in frames.items()])
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tapewright.functions.folds import thin_by_interval, transitions
 from tapewright.functions.numeric import clamp, ratio
 from tapewright.functions.rules import ANTI_PATTERNS, ENTRY_RULES, WATCH_RULES, WATCH_TIMEOUT_MS, Rule, any_of
-from tapewright.functions.timewin import asof_join, range_windows
+from tapewright.functions.timewin import asof_join, sliding
 from tapewright.operators.joins import first_at_or_after
 
 
@@ -24,14 +24,11 @@ DENSITIES = (("trade_rate", 150.0, 300_000, "signal_density_5m"), ("trade_rate",
 
 
 def with_signal_density(factors: DataFrame, densities: Sequence[tuple[str, float, int, str]] = DENSITIES, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """`factors` with, per density, how often its factor exceeded the threshold in (t - window, t]; all of them over one sort."""
-
-    def count(factor: str, threshold: float, window_ms: int):
+    """`factors` with, per density, how often its factor exceeded the threshold in (t - window, t]."""
+    for factor, threshold, window_ms, name in densities:
         hit = F.when((F.col(factor) > threshold) & ~F.isnan(factor), 1).otherwise(0)
-        return lambda w: F.sum(hit).over(w.rangeBetween(-window_ms + 1, 0)).cast("double")
-
-    exprs = {name: count(f, x, ms) for f, x, ms, name in densities}
-    return range_windows(factors, list(keys), "ts_ms", exprs, max(ms for _, _, ms, _ in densities))
+        factors = sliding(factors, list(keys), "ts_ms", {name: ("sum", hit)}, -window_ms + 1)
+    return factors.withColumns({name: F.col(name).cast("double") for *_, name in densities})
 
 
 def rule_matches(factors: DataFrame, rules: Sequence[Rule], ids: Sequence[str] = ("ticker", "ts_ms")) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapewright.functions.numeric import floor_div, ratio
-from tapewright.functions.timewin import UNB, asof_join, interval_join, lagged, range_windows
+from tapewright.functions.timewin import UNB, asof_join, interval_join, lagged, range_windows, sliding
 from tapewright.operators.passage import span_stats
 from tapewright.operators.ticks import spread_bps, valid_quote
 
@@ -24,16 +24,16 @@ def _first(rows: DataFrame, ms: str | Column, price: str | Column, method: str)
 
 def volume_expansion(path: DataFrame, ratio_min: float = 3.0, min_history: float = 100.0, minute_ms: int = MINUTE) -> DataFrame:
     """First trade whose last minute's volume exceeds `ratio_min` times the per-minute mean of the five before."""
-    recent, older = (-minute_ms, 0), (-6 * minute_ms, -minute_ms - 1)
-    sums = {n: (lambda w, f=f: F.sum("sz").over(w.rangeBetween(*f))) for n, f in (("_v1", recent), ("_v5", older))}
-    p = range_windows(path, ["entry_id"], "ts_ms", sums, 6 * minute_ms)
+    p = path.select("entry_id", "entry_ms", "ts_ms", "px", "sz")
+    for name, frame in (("_v1", (-minute_ms, 0)), ("_v5", (-6 * minute_ms, -minute_ms - 1))):
+        p = sliding(p, ["entry_id"], "ts_ms", {name: ("sum", F.col("sz"))}, *frame)
     ok = (F.col("ts_ms") >= F.col("entry_ms") + 6 * minute_ms) & (F.col("_v5") >= min_history) & (F.col("_v1") / (F.col("_v5") / 5.0) > ratio_min)
     return _first(p.filter(ok), "ts_ms", "px", "vol_exp")
 
 
 def range_breakout(path: DataFrame, minute_ms: int = MINUTE) -> DataFrame:
     """First trade above the highest price of the ten minutes before it."""
-    p = range_windows(path, ["entry_id"], "ts_ms", {"_m": lambda w: F.max("px").over(w.rangeBetween(-10 * minute_ms, -1))}, 10 * minute_ms)
+    p = sliding(path.select("entry_id", "entry_ms", "ts_ms", "px"), ["entry_id"], "ts_ms", {"_m": ("max", F.col("px"))}, -10 * minute_ms, -1)
     return _first(p.filter((F.col("ts_ms") >= F.col("entry_ms") + 10 * minute_ms) & (F.col("px") > F.col("_m"))), "ts_ms", "px", "range_breakout")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from tapewright.functions.folds import thin_by_interval
 from tapewright.functions.numeric import floor_div, floor_to, ratio
 from tapewright.functions.rangecount import count_above
-from tapewright.functions.timewin import asof_join, default_bucket, range_windows, with_halo
+from tapewright.functions.timewin import asof_join, default_bucket, range_windows, sliding, with_halo
 from tapewright.operators.ticks import spread_bps, valid_quote
 
 
@@ -187,9 +187,9 @@ def arrival_quote_factors(
     bps = F.when(valid_quote(), spread_bps())
     total = F.col("_bid_w") + F.col("_ask_w")
     sums = {
-        "bid_ask_spread": {"_bps_w": lambda w: F.avg("_bps").over(_back(w, spread_ms))},
-        "order_imbalance": {f"_{s}_w": (lambda w, s=s: F.sum(f"{s}_size").over(_back(w, imbalance_ms))) for s in ("bid", "ask")},
-        "quote_rate": {"_n_w": lambda w: F.count(F.lit(1)).over(_back(w, rate_ms))},
+        "bid_ask_spread": {"_bps_w": ("avg", F.col("_bps"))},
+        "order_imbalance": {f"_{s}_w": ("sum", F.col(f"{s}_size")) for s in ("bid", "ask")},
+        "quote_rate": {"_n_w": ("count", F.lit(1))},
     }
     values = {
         "bid_ask_spread": lambda: F.col("_bps_w"),
@@ -197,7 +197,9 @@ def arrival_quote_factors(
         "quote_rate": lambda: F.when(F.col("_n_w") >= min_quotes, F.col("_n_w") / (rate_ms / 1000.0)),
     }
     rows = quotes.select("ticker", "ts_ms", "seq", "bid_size", "ask_size", bps.alias("_bps"))
-    rolled = range_windows(rows, ["ticker"], "ts_ms", {k: f for n in names for k, f in sums[n].items()}, max(spans[n] for n in names))
+    rolled = rows
+    for n in names:
+        rolled = sliding(rolled, ["ticker"], "ts_ms", sums[n], -spans[n])
     out = None
     # Spreads keep a beat of their own, since an invalid quote throws none; the other factors share one.
     for part, fit in ((["bid_ask_spread"], F.col("_bps").isNotNull()), (["order_imbalance", "quote_rate"], F.lit(True))):
@@ -256,9 +258,7 @@ def price_acceleration(trades: DataFrame, half_ms: int) -> DataFrame:
 def signal_density(factors: DataFrame, value: str, threshold: float, window_ms: int) -> DataFrame:
     """How often `value` exceeded the threshold in (t - window, t]."""
     hit = F.when(F.col(value) > threshold, 1).otherwise(0)
-    return range_windows(
-        factors, ["ticker"], "ts_ms", {"signal_density": lambda w: F.sum(hit).over(w.rangeBetween(-window_ms + 1, 0))}, window_ms
-    )
+    return sliding(factors, ["ticker"], "ts_ms", {"signal_density": ("sum", hit)}, -window_ms + 1)
 
 
 def labeling_factors(trades: DataFrame, window_ms: int = 30_000, min_trades: int = 5, points: DataFrame | None = None, bucket_ms: int | None = None) -> DataFrame:
