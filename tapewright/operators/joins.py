@@ -10,7 +10,7 @@ from tapewright.functions.components import components
 from tapewright.functions import session as S
 from tapewright.functions.extremes import window_extremes
 from tapewright.functions.numeric import ratio, round_scaled
-from tapewright.functions.timewin import UNB, asof_join
+from tapewright.functions.timewin import UNB, asof_join, sliding
 
 HOUR = 3_600_000
 
@@ -45,6 +45,17 @@ def first_at_or_after(left: DataFrame, right: DataFrame, left_ts: str, right_ts:
     )
 
 
+def interval_volume(points: DataFrame, trades: DataFrame, ts: str, hold_ms: int) -> DataFrame:
+    """`points` with the number and the volume (0 without any) of their ticker's trades in (ts, ts + hold_ms]; no trade is paired with a point. Points without a time are left out."""
+    here = F.struct(*points.columns).alias("_point")
+    p = points.select("ticker", F.col(ts).alias("ts_ms"), here)
+    rows = trades.select("ticker", "ts_ms", "size", F.lit(1).alias("_one")).unionByName(p, allowMissingColumns=True)
+    frames = {"n": ("count", F.col("_one")), "volume": ("sum", F.col("size"))}
+    out = sliding(rows.filter(F.col("ticker").isNotNull()), ["ticker"], "ts_ms", frames, 1, hold_ms, F.col("_point").isNotNull())
+    blank = p.filter(F.col("ticker").isNull() & F.col("ts_ms").isNotNull()).select("_point.*", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("volume"))
+    return out.select("_point.*", "n", F.coalesce("volume", F.lit(0)).alias("volume")).unionByName(blank)
+
+
 def nearest(
     left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value: str, seq: str | None, window_ms: int, name: str,
     bucket_ms: int = HOUR,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import session as S
 from tapewright.functions.numeric import floor_div
-from tapewright.functions.timewin import asof_join, interval_join
+from tapewright.functions.timewin import asof_join
 from tapewright.operators.snapshots import common_stocks
 from tapewright.operators import joins as J, tick_factors as T, ticks as K
 from tapewright.plans.ctes import fragment
@@ -108,9 +108,8 @@ def _(t):
     LEFT JOIN clean c ON c.ticker = s.ticker AND c.ts_ms > entry_ms AND c.ts_ms <= entry_ms + {HOLD} GROUP BY 1""",
 )
 def _(t):
-    tr = clean(t).select("ticker", "ts_ms", F.col("size").alias("_size"))
-    j = interval_join(signals(t).select("signal_id", "ticker", "entry_ms"), tr, ["ticker"], "entry_ms", F.col("entry_ms") + HOLD, "ts_ms")
-    return j.groupBy("signal_id").agg(F.count("ts_ms").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("volume"))
+    v = J.interval_volume(signals(t).select("signal_id", "ticker", "entry_ms"), clean(t), "entry_ms", HOLD)
+    return v.groupBy("signal_id").agg(F.sum("n").alias("n"), F.sum("volume").alias("volume"))
 
 
 @query(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.functions.timewin import asof_join, interval_join, latest_by, range_windows, window_sum_carry
+from tapewright.functions.timewin import asof_join, interval_join, latest_by, range_windows, sliding, window_sum_carry
 
 HOUR = 3_600_000
 
@@ -74,3 +74,53 @@ def test_running_sums_and_latest(spark):
     last = {x["ticker"]: x["seq"] for x in latest_by(d, ["ticker"], ["ts", "seq"]).collect()}
     for k in {k for k, *_ in data}:
         assert last[k] == max((tt, ss) for kk, tt, ss, _ in data if kk == k)[1]
+
+
+@pytest.mark.parametrize("start,end", [(-2 * HOUR, 0), (-3 * HOUR, -1), (1, 5 * HOUR), (-HOUR, HOUR), (0, 0)])
+def test_sliding_frames(spark, start, end):
+    data = [(k if i % 40 else None, t if i % 37 else None, i, None if i % 9 == 0 else float("nan") if i % 31 == 0 else p) for k, t, i, p in rows(300, 5)]
+    d = spark.createDataFrame(data, "ticker string, ts long, id int, px double")
+    frames = {"s": ("sum", F.col("id")), "m": ("max", F.col("px")), "l": ("min", F.col("px")), "n": ("count", F.col("px")), "a": ("avg", F.col("id") * 1.0)}
+    kept = F.col("id") % 4 == 0 if end > 0 else None
+    got = {r["id"]: r for r in sliding(d, ["ticker"], "ts", frames, start, end, kept).collect()}
+    assert sorted(got) == [i for _, t, i, _ in data if t is not None and (kept is None or i % 4 == 0)]
+    greatest = lambda v: (v != v, v)
+    for i, r in got.items():
+        key, at = data[i][0], data[i][1]
+        near = [(j, p) for k, t, j, p in data if k == key and t is not None and at + start <= t <= at + end]
+        ids, prices = [j for j, _ in near], [p for _, p in near if p is not None]
+        assert r["s"] == (sum(ids) if ids else None) and r["n"] == len(prices)
+        assert r["a"] == (pytest.approx(sum(ids) / len(ids)) if ids else None)
+        for name, pick in (("m", max), ("l", min)):
+            assert str(r[name]) == str(pick(prices, key=greatest) if prices else None)
+        assert (r["ticker"], r["ts"]) == (key, at)
+
+
+def test_frames_of_ticks_are_gone_through_once(spark):
+    """No window over ticks has a frame that moves at both ends, whose rows would be summed anew for each row."""
+    from tapewright.operators import events as E, ignition as I, joins as J, tick_factors as T
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    t = spark.createDataFrame(rows(20, 1), "ticker string, ts_ms long, seq long, bid double").selectExpr("*", "bid + 1 AS ask", "seq AS bid_size", "seq AS ask_size", "seq AS size", "bid AS trade_rate")
+    p = t.selectExpr("ticker AS entry_id", "ts_ms", "ts_ms - 5 AS entry_ms", "bid AS px", "seq AS sz")
+    points = t.selectExpr("ticker", "ts_ms AS entry_ms", "seq AS signal_id")
+    for df in (T.arrival_quote_factors(t), I.volume_expansion(p), I.range_breakout(p), E.with_signal_density(t), J.interval_volume(points, t, "entry_ms", HOUR)):
+        text = plan(df)
+        assert "RangeFrame, unboundedpreceding" in text
+        assert text.count("specifiedwindowframe(RangeFrame,") == text.count("specifiedwindowframe(RangeFrame, unboundedpreceding")
+
+
+def test_interval_volume(spark):
+    from tapewright.operators.joins import interval_volume
+
+    trades = [(k, t, i, None if i % 7 == 0 else i) for k, t, i, _ in rows(200, 8)]
+    points = [(k if i % 5 else None, t if i % 11 else None, i) for k, t, i, _ in rows(80, 9)] * 2
+    got = interval_volume(spark.createDataFrame(points, "ticker string, entry_ms long, signal_id long"), spark.createDataFrame(trades, "ticker string, ts_ms long, seq long, size long"), "entry_ms", 2 * HOUR).collect()
+    want = []
+    for k, t, i in points:
+        if t is not None:
+            near = [z for kk, tt, _, z in trades if kk == k and t < tt <= t + 2 * HOUR]
+            want.append((i, len(near), sum(z or 0 for z in near)))
+    assert sorted((r["signal_id"], r["n"], r["volume"]) for r in got) == sorted(want)
