@@ -83,11 +83,12 @@ def extreme_winners(df: DataFrame, n: int = 2, value: str = "max_ret") -> DataFr
 
 def winner_percentiles(df: DataFrame, factors: Sequence[str], n: int = 2, min_rows: int = 10) -> DataFrame:
     """Share of the date's rows strictly below each extreme winner, per factor."""
-    long = long_factors(df, factors, ["date", "sample_id"])
-    below = running_counts(long, "x", {"n": F.lit(1)}, ["date", "factor"])
-    w = long_factors(extreme_winners(df, n), factors, ["date", "sample_id"])
-    j = w.join(below, ["date", "factor", "x"]).filter(F.col("total_n") >= min_rows)
-    return j.select("date", "sample_id", "factor", (F.col("before_n") / F.col("total_n") * 100).alias("percentile"))
+    # A date's few winners go to each of its rows, and the counts are combined before the shuffle.
+    w = long_factors(extreme_winners(df, n), factors, ["date", "sample_id", "pos"]).withColumnRenamed("x", "_x")
+    w = w.groupBy("date", "factor").agg(F.collect_list(F.struct("sample_id", "pos", "_x")).alias("_w"))
+    rows = long_factors(df, factors, ["date"]).join(F.broadcast(w), ["date", "factor"]).select("date", "factor", "x", F.inline("_w"))
+    g = rows.groupBy("date", "sample_id", "factor", "pos").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("x") < F.col("_x"), 1)).alias("_b"))
+    return g.filter(F.col("_n") >= min_rows).select("date", "sample_id", "factor", (F.col("_b") / F.col("_n") * 100).alias("percentile"))
 
 
 def filter_overlap(df: DataFrame, filters: Mapping[str, Column], n: int = 2) -> DataFrame:
@@ -107,19 +108,22 @@ def extreme_vs_rest(df: DataFrame, cols: Sequence[str], bound: float, value: str
 
 def composite_rank(df: DataFrame, weights: Mapping[str, float], n: int = 2) -> DataFrame:
     """Percent rank of each factor (descending, ties averaged), their weighted sum and its rank, for the extreme winners."""
-    out = df.select("date", "sample_id", "max_ret", *weights)
-    # Ranks come from running counts over value ranges, so a date is spread over many tasks.
-    base = out
-    for f in weights:
-        ranks = average_ranks(base, f, ["date"]).select("date", f, ((F.col("n") + 1 - F.col("rank")) / F.col("n")).alias(f"{f}_pct"))
-        out = out.join(ranks, ["date", f])
-    score = sum((F.col(f"{f}_pct") * w for f, w in weights.items()), F.lit(0.0))
-    out = out.withColumn("composite", score)
-    out = out.withColumn("_c", F.round("composite", 9))
-    places = running_counts(out, "_c", {"n": F.lit(1)}, ["date"])
+    # Ranks come from running counts over value ranges, so a date is spread over many tasks. Equal rows are ranked once.
+    whole = df
+    for c in ("date", *weights):
+        whole = whole.filter(F.col(c).isNotNull())
+    ranks = {f: average_ranks(df, f, ["date"]).select("date", f, ((F.col("n") + 1 - F.col("rank")) / F.col("n")).alias(f"{f}_pct")) for f in weights}
+
+    def scored(rows: DataFrame) -> DataFrame:
+        for f in weights:
+            rows = rows.join(ranks[f], ["date", f])
+        score = sum((F.col(f"{f}_pct") * w for f, w in weights.items()), F.lit(0.0))
+        return rows.withColumn("composite", score).withColumn("_c", F.round("composite", 9))
+
+    places = running_counts(scored(whole.groupBy("date", *weights).agg(F.count(F.lit(1)).alias("_w"))), "_c", {"n": "_w"}, ["date"])
     places = places.select("date", "_c", F.col("total_n").alias("n_total"), (F.col("total_n") - F.col("before_n") - F.col("cnt_n") + 1).cast("int").alias("overall_rank"))
-    out = out.join(places, ["date", "_c"])
-    return extreme_winners(out, n).select("date", "sample_id", "n_total", *[f"{f}_pct" for f in weights], "composite", "overall_rank")
+    winners = extreme_winners(whole.select("date", "sample_id", "max_ret", *weights), n)
+    return scored(winners).join(places, ["date", "_c"]).select("date", "sample_id", "n_total", *[f"{f}_pct" for f in weights], "composite", "overall_rank")
 
 
 def mask_by_date(df: DataFrame, on: Column, value: str = "ret", best: str = "max_ret") -> DataFrame:

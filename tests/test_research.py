@@ -109,3 +109,56 @@ def test_pareto(spark):
     d = spark.createDataFrame(pts, "recall double, precision double")
     want = sorted(p for p in pts if not any(q[0] >= p[0] and q[1] >= p[1] and q != p for q in pts))
     assert sorted((r["recall"], r["precision"]) for r in pareto_frontier(d).collect()) == want
+
+
+def test_ranges_of_values(spark):
+    import bisect
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tapewright.functions.ranks import running_counts, with_range
+
+    rnd = random.Random(3)
+    for n in (1, 2, 5, 127):
+        edges = sorted(rnd.randrange(40) / 2 for _ in range(n))
+        values = [rnd.randrange(-4, 90) / 4 for _ in range(200)] + [float("nan")]
+        d = spark.createDataFrame([(v, edges) for v in values], "v double, e array<double>")
+        for r in with_range(d, "v", "e", n).collect():
+            assert r["_r"] == (n if r["v"] != r["v"] else bisect.bisect_left(edges, r["v"]))
+    rows = [(None if i % 50 == 0 else i % 3, None if i % 17 == 0 else rnd.randrange(30) / 4) for i in range(400)]
+    counts = running_counts(spark.createDataFrame(rows, "k int, v double"), "v", {"n": F.lit(1)}, ["k"], 8)
+    assert "lambda" not in counts._jdf.queryExecution().optimizedPlan().toString()  # no walk over all edges
+    for r in counts.collect():
+        own = [v for k, v in rows if k == r["k"] and v is not None]
+        assert (r["cnt_n"], r["before_n"], r["total_n"]) == (own.count(r["v"]), sum(v < r["v"] for v in own), len(own))
+
+
+def test_ranks_of_extreme_winners(spark):
+    """Equal winners keep a row each; rows without a factor are no winners but count for the factors that they have."""
+    import random
+
+    from tapewright.operators import research as Q
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", None]), f"s{i % 90}", float(rnd.randrange(30)), None if i % 13 == 0 else rnd.randrange(8) / 2, float("nan") if i % 29 == 0 else float(rnd.randrange(5))) for i in range(120)]
+    rows += [("a", "top", 99.0, 2.0, 3.0)] * 2 + [("b", "none", 98.0, None, 1.0)]
+    d = spark.createDataFrame(rows, "date string, sample_id string, max_ret double, x double, y double")
+    key = lambda v: (v != v, v)
+    share, score = {}, {}
+    for day in ("a", "b"):
+        for i, f in ((3, "x"), (4, "y")):
+            own = [key(r[i]) for r in rows if r[0] == day and r[i] is not None]
+            for v in set(own):
+                higher = sum(o > v for o in own)
+                share[day, f, str(v)] = (higher + (own.count(v) + 1) / 2) / len(own), 100 * sum(o < v for o in own) / len(own)
+    full = [r for r in rows if r[0] and r[3] is not None]
+    pct = lambda r: (share[r[0], "x", str(key(r[3]))][0], share[r[0], "y", str(key(r[4]))][0])
+    for r in full:
+        score.setdefault(r[0], []).append(round(0.6 * pct(r)[0] + 0.4 * pct(r)[1], 9))
+    top = lambda rs, day: sorted((r for r in rs if r[0] == day), key=lambda r: (-r[2], r[1]))[:2]
+    got = sorted((r["date"], r["sample_id"], r["n_total"], round(r["x_pct"], 9), round(r["y_pct"], 9), r["overall_rank"]) for r in Q.composite_rank(d, {"x": 0.6, "y": 0.4}).collect())
+    want = sorted((r[0], r[1], len(score[r[0]]), *[round(p, 9) for p in pct(r)], 1 + sum(s > round(0.6 * pct(r)[0] + 0.4 * pct(r)[1], 9) for s in score[r[0]])) for day in "ab" for r in top(full, day))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and all(abs(g[5] - w[5]) <= 1 for g, w in zip(got, want, strict=True))
+    below = sorted((r["date"], r["sample_id"], r["factor"], round(r["percentile"], 9)) for r in Q.winner_percentiles(d, ["x", "y"]).collect())
+    assert below == sorted((r[0], r[1], f, round(share[r[0], f, str(key(r[i]))][1], 9)) for day in "ab" for r in top(rows, day) for i, f in ((3, "x"), (4, "y")) if r[i] is not None)
