@@ -43,7 +43,7 @@ def date_folds(df: DataFrame, n: int = 5) -> DataFrame:
     i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1
     k = F.greatest(F.floor(F.col("_n") / n), F.lit(1)).cast("int")
     folds = attach_scalars(dates.withColumn("_i", i), dates.agg(F.count(F.lit(1)).alias("_n"))).select("date", F.least(F.floor(F.col("_i") / k).cast("int"), F.lit(n - 1)).alias("fold"))
-    return df.join(folds, "date")
+    return df.join(F.broadcast(folds), "date")
 
 
 def preprocess(df: DataFrame, factors: Sequence[str], q: float = CLIP) -> DataFrame:
@@ -81,7 +81,7 @@ def importance(model, features: Sequence[str]) -> dict[str, float]:
 
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, n: int = 5, kind: str = "ridge") -> list[float]:
     """R2 per date fold; n is the number of models, a small constant."""
-    folds, ev = date_folds(df, n), RegressionEvaluator(labelCol=target, metricName="r2")
+    folds, ev = date_folds(df.select("date", *features, target), n), RegressionEvaluator(labelCol=target, metricName="r2")
     out = []
     for i in range(n):
         m = train(folds.filter(F.col("fold") != i), features, target, kind)

@@ -162,3 +162,13 @@ def test_ranks_of_extreme_winners(spark):
     assert [g[:5] for g in got] == [w[:5] for w in want] and all(abs(g[5] - w[5]) <= 1 for g, w in zip(got, want, strict=True))
     below = sorted((r["date"], r["sample_id"], r["factor"], round(r["percentile"], 9)) for r in Q.winner_percentiles(d, ["x", "y"]).collect())
     assert below == sorted((r[0], r[1], f, round(share[r[0], f, str(key(r[i]))][1], 9)) for day in "ab" for r in top(rows, day) for i, f in ((3, "x"), (4, "y")) if r[i] is not None)
+
+
+def test_folds_move_no_rows(spark):
+    """The calendar goes to the rows, so that nine readings of the folds shuffle only dates."""
+    from tapewright.operators import training as L
+
+    d = spark.createDataFrame([(f"2024-01-{1 + i % 10:02d}", i) for i in range(50)], "date string, i int")
+    folds = L.date_folds(d, 3)
+    assert {(r["date"], r["fold"]) for r in folds.collect()} == {(f"2024-01-{k + 1:02d}", min(k // 3, 2)) for k in range(10)}
+    assert "strategy=broadcast" in folds._jdf.queryExecution().optimizedPlan().toString()
