@@ -96,3 +96,76 @@ def test_snapshot_state_does_not_grow(spark, tmp_path):
             want.setdefault((d, t), b * 5_000)
     got = spark.read.parquet(f"{path}/entries").collect()
     assert {(r["date"], r["ticker"]): r["first_entry_ms"] for r in got} == want and len(got) == len(want)
+
+
+def test_carry_forward_deals_rows_out_once(spark):
+    """Repeated rows are not shuffled to find their windows, whatever the sizes say; the wanted windows are those of a semi join."""
+    from tapewright.operators.snapshots import carry_forward
+
+    day = [datetime.date(2024, 1, 9), datetime.date(2024, 1, 10), None]
+    rows = [(day[i % 3], None if i % 11 == 5 else f"T{i % 4}", None if i % 13 == 7 else (i * 7 % 10) * 5_000, float(i)) for i in range(60)]
+    rows = [*{r[:3]: r for r in rows}.values()]
+    snap = spark.createDataFrame(rows, "date date, ticker string, window_ms long, change_pct double")
+    wanted = snap.filter(F.col("window_ms") % 15_000 == 0).select("date", "window_ms")
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        filled = carry_forward(snap)
+        plan = filled._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Generate explode")]
+    finally:
+        spark.conf.set(key, before)
+    want, times = [], {}
+    for d, _, w, _ in rows:
+        if d and w is not None:
+            times.setdefault(d, set()).add(w)
+    for d, t, w, c in rows:
+        if d and w is not None:
+            end = min((x[2] for x in rows if x[:2] == (d, t) and x[2] is not None and x[2] > w), default=1 << 60)
+            want += [(d, str(t), at, c, at != w, w) for at in times[d] if w <= at < end]
+    got = lambda df: sorted((r["date"], str(r["ticker"]), r["window_ms"], r["change_pct"], r["carried"], r["seen_ms"]) for r in df.collect())
+    assert got(filled) == sorted(want) and filled.columns == ["date", "window_ms", "ticker", "change_pct", "carried", "seen_ms"]
+    assert got(carry_forward(snap, wanted)) == sorted(w for w in want if w[2] % 15_000 == 0)
+
+
+def test_snapshot_stages_are_cut_from_written_rows(spark, monkeypatch):
+    """The stages of the live snapshots read one written snapshot; none of them computes it."""
+    from tapewright.plans import q_streaming as Q
+    from tapewright.sources.canonical import Tables
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    plans, counts = [], []
+
+    def stages(_spark, parts, _path, _run):
+        plans.extend(p._jdf.queryExecution().optimizedPlan().toString() for p in parts)
+        counts.extend(p.count() for p in parts)
+
+    monkeypatch.setattr(Q, "in_stages", stages)
+    t = Tables(spark, SF)
+    Q.live_snapshots(t)
+    assert len(plans) == 3 and not any("Window" in p or "Aggregate" in p for p in plans)
+    assert sum(counts) == Q.snap(t).count()
+
+
+def test_snapshot_batch_is_ranked_once(spark, tmp_path, monkeypatch):
+    """A batch's first entries come from the ranks that it wrote; prior rows are carried to the arrived windows only."""
+    from tapewright.operators import snapshots as N
+    from tapewright.streaming import snapshots as SX
+
+    path, day, calls = str(tmp_path), datetime.date(2024, 1, 9), []
+    schema = "date date, ticker string, window_ms long, change_pct double"
+    like = spark.createDataFrame([], schema)
+    rank = N.rank_cross_section
+    for module in (N, SX):
+        monkeypatch.setattr(module, "rank_cross_section", lambda *a: calls.append(a) or rank(*a))
+    for rows in ([("A", 0, 3.0), ("B", 0, 1.0), ("B", 5_000, 4.0)], [("C", 10_000, 9.0), ("B", 15_000, 2.0)]):
+        spark.createDataFrame([(day, *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        SX.process_stream(spark, stream_parquet(spark, f"{path}/in", like), path, 1)
+    ranked = sorted((r["window_ms"], r["rank"], r["ticker"], r["seen_ms"]) for r in spark.read.parquet(f"{path}/ranked").collect())
+    assert ranked == [
+        (0, 1, "A", 0), (0, 2, "B", 0), (5_000, 1, "B", 5_000), (5_000, 2, "A", 0), (10_000, 1, "C", 10_000), (10_000, 2, "B", 5_000), (10_000, 3, "A", 0),
+        (15_000, 1, "C", 10_000), (15_000, 2, "A", 0), (15_000, 3, "B", 15_000),
+    ]
+    assert sorted((r["ticker"], r["first_entry_ms"]) for r in spark.read.parquet(f"{path}/entries").collect()) == [("A", 0), ("B", 5_000), ("C", 10_000)]
+    assert len(calls) == 2
