@@ -169,3 +169,60 @@ def test_snapshot_batch_is_ranked_once(spark, tmp_path, monkeypatch):
     ]
     assert sorted((r["ticker"], r["first_entry_ms"]) for r in spark.read.parquet(f"{path}/entries").collect()) == [("A", 0), ("B", 5_000), ("C", 10_000)]
     assert len(calls) == 2
+
+
+def test_live_snapshots_parse_events_once(spark, tmp_path, monkeypatch):
+    """Daily rows, trade windows and quote windows come from one written parse of the events, and the snapshot is that of a batch."""
+    from tapewright.plans import q_streaming as Q
+    from tapewright.sources.canonical import Tables
+
+    at = lambda i: datetime.datetime(2024, 1, 9 + i % 3, 12 + i % 7, i % 60)
+    rows = [(i, at(i), None if i % 17 == 5 else i % 4, "view", float(i * 7 % 90), '{"k": %d}' % (i % 9)) for i in range(300)] + [(7, at(7), 3, "view", 49.0, '{"k": 7}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    reads, parts, read = [], [], Tables.read
+    monkeypatch.setattr(Tables, "read", lambda self, name: reads.append(name) or read(self, name))
+    monkeypatch.setattr(Q, "in_stages", lambda _spark, p, _path, _run: parts.extend(p))
+    t = Tables(spark, str(tmp_path))
+    Q.live_snapshots(t)
+    assert reads == ["events"]
+    flat = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    got = [r for p in parts for r in flat(p)]
+    assert sorted(got) == flat(Q.snap(t)) and any("-0" in r or "None" in r for r in got)
+
+
+def test_collector_sums_before_unique_quotes(spark):
+    """One quote row a window: the running sums need no shuffle after the join. Repeated quote rows count as before otherwise."""
+    from tapewright.operators.snapshots import collector
+
+    d = [datetime.date(2024, 1, 9), None]
+    trades = [(d[i % 2 * (i % 5 == 1)], None if i % 7 == 3 else f"T{i % 3}", i * 1_000, 10.0 + i, i, 2.0 * i, 9.0, None if i % 4 else 5, 1.0) for i in range(30)]
+    tr = spark.createDataFrame(trades, "date date, ticker string, window_ms long, price double, volume long, turnover double, prev_close double, prev_volume long, change_pct double")
+    quotes = [(None if i % 7 == 3 else f"T{i % 3}", i * 1_000, 1.0, None if i % 5 else 2.0, 3, 4) for i in range(0, 30, 2)]
+    qu = spark.createDataFrame(quotes, "ticker string, window_ms long, bid double, ask double, bid_size long, ask_size long")
+    rows = lambda df: sorted(map(str, df.collect()))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        laid = tr.repartition(4, "date", "ticker")
+        shuffles = [collector(laid, qu, u)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(date") for u in (False, True)]
+        assert shuffles == [2, 1]
+    finally:
+        spark.conf.set(key, before)
+    assert rows(collector(tr, qu, True)) == rows(collector(tr, qu)) and collector(tr, qu, True).columns == collector(tr, qu).columns
+    assert rows(collector(tr, None, True)) == rows(collector(tr))
+    one, two = tr.filter("ticker = 'T0' AND window_ms = 0 AND date IS NOT NULL"), qu.filter("ticker = 'T0' AND window_ms = 0")
+    assert collector(one, two.union(two)).count() == 2
+
+
+def test_carry_forward_cuts_slices(spark):
+    """The windows of a row are one slice of its date's, not a function call a window; repeated rows of a window keep their windows."""
+    from tapewright.operators.snapshots import carry_forward
+
+    day = datetime.date(2024, 1, 9)
+    rows = [(day, "A", 0, 1.0), (day, "A", 5_000, 2.0), (day, "A", 5_000, 2.0), (day, "B", 10_000, 3.0), (day, "C", 0, 4.0), (day, "C", 0, 4.0)]
+    snap = spark.createDataFrame(rows, "date date, ticker string, window_ms long, change_pct double")
+    filled = carry_forward(snap)
+    assert "explode(slice(" in filled._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["ticker"], r["window_ms"], r["seen_ms"]) for r in filled.collect())
+    want = [("A", 0, 0), ("A", 0, 5_000), ("A", 5_000, 5_000), ("A", 5_000, 5_000), ("A", 10_000, 5_000), ("B", 10_000, 10_000)]
+    assert got == sorted(want + [("C", 0, 0), ("C", 0, 0), ("C", 5_000, 0), ("C", 10_000, 0)])
